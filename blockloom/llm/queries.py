@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from .ann import op1_adaptive_dimension_scan
 from .packing import op10_best_fit_packing
 from .sharding import op8_histogram_shards
 
 QUERIES = {
+    "op1_adaptive_dimension_scan": op1_adaptive_dimension_scan,
     "op8_histogram_shards": op8_histogram_shards,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
