@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections import deque
 from collections.abc import Iterator
 
@@ -141,8 +142,15 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, length_col: str = "length"
     )
 
 
-class WordTokenizer:
-    """Ids of a word-wise BPE tokenizer file, each word encoded once by the tokenizers library.
+def byte_letters() -> dict[int, str]:
+    """The printable character that stands for each byte in byte-level vocabularies: itself, or the next from U+0100."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
+class WordTokenizer(dict):
+    """Ids of a word-wise BPE tokenizer file: a cache from word to ids as bytes, filled by the library's model.
 
     Words are independent after the file's normalization and word pattern. The shortcut reads texts of printable
     ASCII and Latin letters up to U+017F only, where that pattern is plain; any other text goes to the library whole.
@@ -151,32 +159,26 @@ class WordTokenizer:
     OTHER = re.compile(r"[^\n\t\r\x20-\x7eÀ-ÖØ-öø-įı-ſ]|<\|")
     WORD = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
 
-    def __init__(self, path: str, max_words: int = 400_000):
+    def __init__(self, path: str, max_words: int = 800_000):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
+        self.model = self.library.model
         self.max_words = max_words
-        self.known: dict[str, bytes] = {}
+        self.letters = byte_letters()
 
-    @staticmethod
-    def as_bytes(ids: list[int]) -> bytes:
-        return b"".join(i.to_bytes(4, "little") for i in ids)
+    def __missing__(self, word: str) -> bytes:
+        written = word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
+        ids = self[word] = array("I", [t.id for t in self.model.tokenize(written)]).tobytes()
+        return ids
 
     def encode(self, text: str) -> bytes:
-        """The ids as little-endian unsigned 32-bit integers."""
+        """The ids as unsigned 32-bit integers, little-endian as on every platform that Spark's Arrow runs on."""
         if self.OTHER.search(text):
-            return self.as_bytes(self.library.encode(text, add_special_tokens=False).ids)
-        words = self.WORD.findall(text.lower())
-        try:
-            return b"".join(map(self.known.__getitem__, words))
-        except KeyError:
-            pass
-        if len(self.known) > self.max_words:
-            self.known.clear()
-        new = list({w for w in words if w not in self.known})
-        for w, e in zip(new, self.library.encode_batch(new, add_special_tokens=False)):
-            self.known[w] = self.as_bytes(e.ids)
-        return b"".join(map(self.known.__getitem__, words))
+            return array("I", self.library.encode(text, add_special_tokens=False).ids).tobytes()
+        if len(self) > self.max_words:
+            self.clear()
+        return b"".join(map(self.__getitem__, self.WORD.findall(text.lower())))
 
 
 _tokenizers: dict[str, WordTokenizer] = {}
