@@ -5,6 +5,7 @@ from __future__ import annotations
 from .ann import op1_adaptive_dimension_scan
 from .langid import op2_hyperdimensional_language
 from .packing import op10_best_fit_packing
+from .pieces import op4_prefix_table_pieces
 from .sharding import op8_histogram_shards
 from .toxicity import op3_positive_unlabelled_toxicity
 
@@ -12,6 +13,7 @@ QUERIES = {
     "op1_adaptive_dimension_scan": op1_adaptive_dimension_scan,
     "op2_hyperdimensional_language": op2_hyperdimensional_language,
     "op3_positive_unlabelled_toxicity": op3_positive_unlabelled_toxicity,
+    "op4_prefix_table_pieces": op4_prefix_table_pieces,
     "op8_histogram_shards": op8_histogram_shards,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
