@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .ann import op1_adaptive_dimension_scan
 from .langid import op2_hyperdimensional_language
+from .media import op9_archive_media
 from .packing import op10_best_fit_packing
 from .pieces import op4_prefix_table_pieces
 from .sharding import op8_histogram_shards
@@ -15,6 +16,7 @@ QUERIES = {
     "op3_positive_unlabelled_toxicity": op3_positive_unlabelled_toxicity,
     "op4_prefix_table_pieces": op4_prefix_table_pieces,
     "op8_histogram_shards": op8_histogram_shards,
+    "op9_archive_media": op9_archive_media,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
 
