@@ -5,7 +5,8 @@ A linear classifier is trained from confirmed toxic texts (P) and unlabelled tex
 negative, as it would once the model fits the positives among the unlabelled: a step that makes it negative is undone
 by ascending it instead (Kiryo et al., 2017).
 
-Features are the distinct words and runs of marks of a text, and the beginnings of its words. Weights are fitted for
+Features are the distinct words and runs of marks of a text, and the beginnings of its words, as 32-bit hashes.
+Weights are fitted for
 a bounded number of features: those whose counts in P and U speak most clearly against equal rates. Copies and near
 copies among the training texts count once. Three models are fitted, each without a third of the rows; their mean is
 the classifier, and the margins that each gives to the rows it has not seen place the threshold, where recall on P
@@ -14,12 +15,12 @@ squared over the share of U is largest (Lee and Liu, 2003), which needs no negat
 
 from __future__ import annotations
 
-import heapq
+import itertools
 import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -32,31 +33,47 @@ TOKEN = re.compile(r"\w+|[^\w\s]+")
 HEADS = (4, 5, 6)
 
 
-def features(text: str) -> set[str]:
-    """Distinct lower-case words and runs of marks, and ``<`` with the first letters of words."""
-    words = set(TOKEN.findall(text.lower()))
-    return words.union(*({"<" + w[:n] for w in words if len(w) > n} for n in HEADS))
+def word_features(word: str) -> tuple[int, ...]:
+    """Hashes of a word and of its beginnings."""
+    return (zlib.crc32(word.encode("utf-8", "surrogatepass")), *(zlib.crc32(b"<" + word[:n].encode("utf-8", "surrogatepass")) for n in HEADS if len(word) > n))
+
+
+def features(text: str) -> np.ndarray:
+    """The distinct features of a text, in ascending order."""
+    found = {h for w in set(TOKEN.findall(text.lower())) for h in word_features(w)}
+    return np.array(sorted(found), np.uint32)
+
+
+class Known(dict):
+    """For each word seen those of its features that have a weight, which are few: mostly none."""
+
+    def __init__(self, weights: dict[int, float]):
+        self.weights = weights
+
+    def __missing__(self, word: str) -> tuple[int, ...]:
+        if len(self) > 500_000:
+            self.clear()
+        own = self[word] = tuple(h for h in word_features(word) if h in self.weights)
+        return own
 
 
 @dataclass
 class Classifier:
-    """Bounded: at most as many weights as ``max_features``."""
+    """Bounded: at most ``folds`` times as many weights as ``max_features``."""
 
-    weights: dict[str, float]
+    weights: dict[int, float]
     bias: float
+    known: Known | None = field(default=None, repr=False)
 
     def margins(self, texts: list[str | None]) -> np.ndarray:
-        get = self.weights
-        heads = {w for w in get if w.startswith("<") and len(w) - 1 in HEADS}
-        words_of, heads_of = get.keys() - heads, {n: {w[1:] for w in heads if len(w) == n + 1} for n in HEADS}
+        """The bias and the weights of a text's distinct features, added in ascending order of the features."""
+        if self.known is None:
+            self.known = Known(self.weights)
+        known, get = self.known, self.weights.__getitem__
         z = np.empty(len(texts))
         for i, text in enumerate(texts):
-            words = set(TOKEN.findall((text or "").lower()))
-            found = sum(get[w] for w in words & words_of)
-            for n, own in heads_of.items():
-                if own:
-                    found += sum(get["<" + w] for w in own.intersection([w[:n] for w in words if len(w) > n]))
-            z[i] = found + self.bias
+            own = set(itertools.chain.from_iterable(map(known.__getitem__, set(TOKEN.findall((text or "").lower())))))
+            z[i] = self.bias + sum(map(get, sorted(own)))
         return z
 
     def score(self, texts: list[str | None]) -> np.ndarray:
@@ -64,11 +81,11 @@ class Classifier:
         return 1 / (1 + np.exp(-np.clip(self.margins(texts), -500, 500)))
 
 
-def once(rows: list[set[str]], k: int = 8) -> list[set[str]]:
-    """``rows`` without those that share half of their ``k`` least hashes with a row kept before."""
+def once(rows: list[np.ndarray], k: int = 8) -> list[np.ndarray]:
+    """``rows`` without those that share half of their ``k`` least features with a row kept before."""
     kept, holders = [], {}
     for f in rows:
-        sketch = heapq.nsmallest(k, (zlib.crc32(w.encode()) for w in f))
+        sketch = f[:k].tolist()
         seen = Counter(i for h in sketch for i in holders.get(h, ()))
         if sketch and seen and max(seen.values()) * 2 >= len(sketch):
             continue
@@ -78,40 +95,38 @@ def once(rows: list[set[str]], k: int = 8) -> list[set[str]]:
     return kept
 
 
-def choose(positive: list[set[str]], unlabelled: list[set[str]], least: int, most: int, sure: float) -> list[str]:
+def choose(positive: list[np.ndarray], unlabelled: list[np.ndarray], least: int, most: int, sure: float) -> np.ndarray:
     """Features in at least ``least`` positives that are more frequent in P than in U, by a log-likelihood ratio that
-    among as many features as there are to choose from would rarely arise by chance; the ``most`` strongest, ties in
-    alphabetical order."""
-    p, u = Counter(), Counter()
-    for f in positive:
-        p.update(f)
-    for f in unlabelled:
-        u.update(f)
+    among as many features as there are to choose from would rarely arise by chance; the ``most`` strongest."""
     n_p, n_u = len(positive), len(unlabelled)
+    names, count = np.unique(np.concatenate(positive), return_counts=True)
+    names, count = names[count >= least], count[count >= least].astype(float)
+    others, other_count = np.unique(np.concatenate(unlabelled), return_counts=True)
+    at = np.minimum(np.searchsorted(others, names), max(0, len(others) - 1))
+    other = np.where(others[at] == names, other_count[at], 0).astype(float) if len(others) else np.zeros(len(names))
 
-    def part(count: int, n: int, rate: float) -> float:
-        return count * np.log(rate) + (n - count) * np.log1p(-rate) if 0 < rate < 1 else 0.0
+    def part(x: np.ndarray, n: int, rate: np.ndarray) -> np.ndarray:
+        r = np.clip(rate, 1e-12, 1 - 1e-12)
+        return x * np.log(r) + (n - x) * np.log1p(-r)
 
-    often = {word: count for word, count in p.items() if count >= least}
-    strength = {}
-    for word, count in often.items():
-        other = u[word]
-        if count * n_u > other * n_p:
-            both = (count + other) / (n_p + n_u)
-            ratio = part(count, n_p, count / n_p) + part(other, n_u, other / n_u) - part(count, n_p, both) - part(other, n_u, both)
-            if ratio > np.log(len(often)) + sure:
-                strength[word] = ratio
-    return sorted(strength, key=lambda w: (-strength[w], w))[:most]
+    both = (count + other) / (n_p + n_u)
+    ratio = part(count, n_p, count / n_p) + part(other, n_u, other / n_u) - part(count, n_p, both) - part(other, n_u, both)
+    ratio = np.where(count * n_u > other * n_p, ratio, 0)
+    order = np.lexsort((names, -ratio))[:most]
+    return np.sort(names[order[ratio[order] > np.log(max(1, len(names))) + sure]])
 
 
 Sparse = tuple[np.ndarray, np.ndarray, int]
 
 
-def sparse(rows: list[set[str]], at: dict[str, int]) -> Sparse:
-    """Row numbers and feature numbers of all features present, and the number of rows."""
-    found = [sorted(at[w] for w in f if w in at) for f in rows]
-    row = np.repeat(np.arange(len(rows)), [len(f) for f in found])
-    return row, np.fromiter((i for f in found for i in f), np.int64, len(row)), len(rows)
+def sparse(rows: list[np.ndarray], names: np.ndarray) -> Sparse:
+    """Row numbers and feature numbers of all of ``names`` present, and the number of rows."""
+    if not rows or not len(names):
+        return np.empty(0, np.int64), np.empty(0, np.int64), len(rows)
+    row, have = np.repeat(np.arange(len(rows)), [len(f) for f in rows]), np.concatenate(rows)
+    at = np.minimum(np.searchsorted(names, have), len(names) - 1)
+    hit = names[at] == have
+    return row[hit], at[hit], len(rows)
 
 
 def margin(x: Sparse, w: np.ndarray, b: float) -> np.ndarray:
@@ -141,8 +156,8 @@ def descend(P: Sparse, U: Sparse, n: int, prior: float, steps: int, rate: float,
 
 
 def fit(
-    positive: list[set[str]],
-    unlabelled: list[set[str]],
+    positive: list[np.ndarray],
+    unlabelled: list[np.ndarray],
     prior: float,
     least: int = 3,
     max_features: int = 4_096,
@@ -164,11 +179,10 @@ def fit(
         seen = lambda rows: [f for i, f in enumerate(rows) if i % folds != k]
         p, u = seen(positive), seen(unlabelled)
         names = choose(p, u, least, max_features, sure)
-        at = {w: i for i, w in enumerate(names)}
-        w, b = descend(sparse(p, at), sparse(u, at), len(names), prior, steps, rate, decay)
-        zp[k::folds] = margin(sparse(positive[k::folds], at), w, b)
-        zu[k::folds] = margin(sparse(unlabelled[k::folds], at), w, b)
-        for name, value in zip(names, w.tolist()):
+        w, b = descend(sparse(p, names), sparse(u, names), len(names), prior, steps, rate, decay)
+        zp[k::folds] = margin(sparse(positive[k::folds], names), w, b)
+        zu[k::folds] = margin(sparse(unlabelled[k::folds], names), w, b)
+        for name, value in zip(names.tolist(), w.tolist()):
             weights[name] += value / folds
         bias += b / folds
     values = np.unique(np.round(np.concatenate((zp, zu)), 6))
@@ -182,8 +196,8 @@ def fit(
 def train(
     docs: DataFrame,
     labels: DataFrame,
-    max_positive: int = 4_000,
-    max_unlabelled: int = 16_000,
+    max_positive: int = 3_000,
+    max_unlabelled: int = 9_000,
     id_col: str = "doc_id",
     text_col: str = "text",
     label_col: str = "toxic",
@@ -206,13 +220,13 @@ def train(
     toxic = texts.join(known.where("y = 1").select("id"), "id", "left_semi").where(share(max_positive, n_toxic)).select("text")
     some = texts.where(share(max_unlabelled, n_texts)).select("text")
 
-    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([sorted(features(t)) for t in b.column(0).to_pylist()], pa.list_(pa.string()))], names=["f"])
+            yield pa.RecordBatch.from_arrays([pa.array([features(t.as_py()).tobytes() for t in b.column(0)], pa.binary())], names=["f"])
 
-    def rows(df: DataFrame) -> list[set[str]]:
-        found = df.mapInArrow(words, "f array<string>").toArrow()["f"]
-        return sorted((set(f) for chunk in found.chunks for f in chunk.to_pylist()), key=sorted)
+    def rows(df: DataFrame) -> list[np.ndarray]:
+        found = df.mapInArrow(hashed, "f binary").toArrow()["f"]
+        return [np.frombuffer(f, np.uint32) for f in sorted(x.as_py() for chunk in found.chunks for x in chunk)]
 
     return fit(rows(toxic), rows(some), n_toxic / n)
 

@@ -33,16 +33,19 @@ def test_learns_from_positives_and_unlabelled_alone():
 
 
 def test_margins_are_sums_of_weights():
-    model = X.Classifier({"scum": 2.0, "<scum": 1.0, "!!": 0.5}, -1.0)
-    texts = ["Scum of scum", "scumbag !!", "", None, "fine"]
-    want = [model.bias + sum(model.weights.get(f, 0) for f in X.features(t or "")) for t in texts]
-    assert model.margins(texts).tolist() == want == [1.0, 0.5, -1.0, -1.0, -1.0]
+    scum, head, marks = (X.zlib.crc32(w) for w in (b"scum", b"<scum", b"!!"))
+    model = X.Classifier({scum: 2.0, head: 1.0, marks: 0.5}, -1.0)
+    assert model.margins(["Scum of scum", "scumbag scumbags !!", "", None, "fine"]).tolist() == [1.0, 0.5, -1.0, -1.0, -1.0]
+    for text in ("Scumbag, scum: the scums !!", "été à l'école"):
+        want = model.bias + sum(model.weights.get(f, 0) for f in X.features(text).tolist())
+        assert model.margins([text]).tolist() == [want]
 
 
 def test_near_copies_count_once():
-    base = {f"a{i}" for i in range(50)}
-    rows = [base, base | {"x"}, base - {"a7"}, {f"b{i}" for i in range(50)}, set(), set()]
-    assert X.once(rows) == [base, rows[3], set(), set()]
+    base = np.arange(10, 500, 10, dtype=np.uint32)
+    other, empty = np.arange(7, 500, 10, dtype=np.uint32), np.empty(0, np.uint32)
+    kept = X.once([base, base[1:], np.append(base, 7_000), other, empty, empty])
+    assert [k.tolist() for k in kept] == [base.tolist(), other.tolist(), [], []]
 
 
 def test_held_out_accuracy(spark):
