@@ -7,6 +7,7 @@ from .langid import op2_hyperdimensional_language
 from .media import op9_archive_media
 from .packing import op10_best_fit_packing
 from .pieces import op4_prefix_table_pieces
+from .pii import op7_random_field_pii
 from .sharding import op8_histogram_shards
 from .toxicity import op3_positive_unlabelled_toxicity
 
@@ -15,6 +16,7 @@ QUERIES = {
     "op2_hyperdimensional_language": op2_hyperdimensional_language,
     "op3_positive_unlabelled_toxicity": op3_positive_unlabelled_toxicity,
     "op4_prefix_table_pieces": op4_prefix_table_pieces,
+    "op7_random_field_pii": op7_random_field_pii,
     "op8_histogram_shards": op8_histogram_shards,
     "op9_archive_media": op9_archive_media,
     "op10_best_fit_packing": op10_best_fit_packing,
