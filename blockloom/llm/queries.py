@@ -5,6 +5,7 @@ from __future__ import annotations
 from .ann import op1_adaptive_dimension_scan
 from .langid import op2_hyperdimensional_language
 from .media import op9_archive_media
+from .ngram_join import op6_ngram_jaccard_join
 from .packing import op10_best_fit_packing
 from .pieces import op4_prefix_table_pieces
 from .pii import op7_random_field_pii
@@ -16,6 +17,7 @@ QUERIES = {
     "op2_hyperdimensional_language": op2_hyperdimensional_language,
     "op3_positive_unlabelled_toxicity": op3_positive_unlabelled_toxicity,
     "op4_prefix_table_pieces": op4_prefix_table_pieces,
+    "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
     "op7_random_field_pii": op7_random_field_pii,
     "op8_histogram_shards": op8_histogram_shards,
     "op9_archive_media": op9_archive_media,
