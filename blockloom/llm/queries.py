@@ -11,12 +11,15 @@ from .pieces import op4_prefix_table_pieces
 from .pii import op7_random_field_pii
 from .sharding import op8_histogram_shards
 from .toxicity import op3_positive_unlabelled_toxicity
+from .warc import ORACLE_SQL as WARC_SQL
+from .warc import op5_revisit_resolution
 
 QUERIES = {
     "op1_adaptive_dimension_scan": op1_adaptive_dimension_scan,
     "op2_hyperdimensional_language": op2_hyperdimensional_language,
     "op3_positive_unlabelled_toxicity": op3_positive_unlabelled_toxicity,
     "op4_prefix_table_pieces": op4_prefix_table_pieces,
+    "op5_revisit_resolution": op5_revisit_resolution,
     "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
     "op7_random_field_pii": op7_random_field_pii,
     "op8_histogram_shards": op8_histogram_shards,
@@ -24,4 +27,4 @@ QUERIES = {
     "op10_best_fit_packing": op10_best_fit_packing,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op5_revisit_resolution": WARC_SQL}
