@@ -231,13 +231,13 @@ def train(
     return fit(rows(toxic), rows(some), n_toxic / n)
 
 
-def score(docs: DataFrame, model: Classifier, keep: list[str], text_col: str = "text") -> DataFrame:
-    """Columns ``keep`` of each row with its toxicity ``score``, from the whole text alone.
+def score(docs: DataFrame, model: Classifier, keep: list[str], text_col: str = "text", score_col: str = "score") -> DataFrame:
+    """Columns ``keep`` of each row with its toxicity ``score_col``, from the whole text alone.
 
     Defined results: a null text scores as an empty one; equal texts score alike; an empty table stays empty.
     ``keep`` may not name the added column.
     """
-    schema = docs.select(*keep).schema.add("score", "double")
+    schema = docs.select(*keep).schema.add(score_col, "double")
 
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
