@@ -1,4 +1,5 @@
 import zlib
+from collections import Counter
 
 import numpy as np
 
@@ -17,10 +18,11 @@ def test_bundle_is_the_sum_of_bound_ngrams():
         if len(s):
             s = list(s) + [0] * max(0, space.n - len(s))
             base = space.letters[space.n - 1]
-            for i in range(len(s) - space.n + 1):
-                bound = np.ones(space.dim)
-                for k in range(space.n):
-                    bound *= np.roll(base[s[i + k]], space.n - 1 - k)
+            grams = Counter(tuple(s[i : i + space.n]) for i in range(len(s) - space.n + 1))
+            for gram, count in grams.items():
+                bound = np.sqrt(count)
+                for k, letter in enumerate(gram):
+                    bound = bound * np.roll(base[letter], space.n - 1 - k)
                 want += bound
             want /= np.linalg.norm(want)
         assert np.allclose(v, want, atol=1e-5)
