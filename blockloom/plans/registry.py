@@ -1,4 +1,8 @@
 """All queries of the library, and their SQL equivalents."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from __future__ import annotations
+
+from . import block_queries, table_queries
+
+QUERIES = {**block_queries.QUERIES, **table_queries.QUERIES}
+ORACLE_SQL = {**block_queries.SQL, **table_queries.SQL}
