@@ -7,9 +7,10 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType, DoubleType, StringType, StructType
+from pyspark.sql.types import BinaryType, DoubleType, IntegerType, StringType, StructType
 
 from ..geom import parcels as K
 from ..geom import planar as L
@@ -17,7 +18,14 @@ from ..geom import shapes as S
 from .metrics import BLOCK
 from .spatial import box_join
 
-MEASURES = StructType.fromDDL("kind string, x0 double, y0 double, x1 double, y1 double, cx double, cy double, area double, length double")
+def _doubles(schema: StructType, *names: str) -> StructType:
+    for n in names:
+        schema = schema.add(n, DoubleType())
+    return schema
+
+
+# Types are built here without a session, as workers import this module.
+MEASURES = _doubles(StructType().add("kind", StringType()), "x0", "y0", "x1", "y1", "cx", "cy", "area", "length")
 
 
 @F.pandas_udf(MEASURES)
@@ -53,7 +61,7 @@ def overlap_area(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([sum(map(S.polygon_area, L.intersection(of(x), of(y)))) for x, y in zip(a, b)], dtype="float64")
 
 
-CIRCLE = StructType.fromDDL("optimal_point string, max_radius double")
+CIRCLE = _doubles(StructType().add("optimal_point", StringType()), "max_radius")
 
 
 def _circle(tolerance: float):
@@ -102,7 +110,7 @@ def rectangle_wkb(x0: pd.Series, y0: pd.Series, x1: pd.Series, y1: pd.Series, de
     return pd.Series(out)
 
 
-PIECE = "length double, px0 double, py0 double, px1 double, py1 double, geometry binary"
+PIECE = _doubles(StructType(), "length", "px0", "py0", "px1", "py1").add("geometry", BinaryType())
 
 
 def clipped_roads(roads: DataFrame, blocks: DataFrame, cell: float = 200.0) -> DataFrame:
@@ -110,7 +118,7 @@ def clipped_roads(roads: DataFrame, blocks: DataFrame, cell: float = 200.0) -> D
     geometry and box columns; roads city and road_id, blocks city and block_id. Roads along a border are in both."""
     pairs = box_join(roads.select("city", "road_id", "x0", "y0", "x1", "y1", F.col("geometry").alias("line")), blocks.select(*BLOCK, "x0", "y0", "x1", "y1", F.col("geometry").alias("area")), ["city"], cell)
     rows = pairs.select(*BLOCK, "road_id", "line", "area")
-    schema = StructType(rows.select(*BLOCK, "road_id").schema.fields + StructType.fromDDL(PIECE).fields)
+    schema = StructType(rows.select(*BLOCK, "road_id").schema.fields + PIECE.fields)
 
     def clip(batches):
         for b in batches:
@@ -148,31 +156,33 @@ def polygonize(lines: DataFrame, tiles: tuple[float, ...] = (2_000.0, 16_000.0))
     that smaller ones could not hold; a face that is wider than the largest tile's surroundings is no block."""
     found = None
     for i, tile in enumerate(tiles):
-        smaller = tiles[:i]
-
-        def faces(pdf: pd.DataFrame, tile=tile, smaller=smaller) -> pd.DataFrame:
-            tx, ty = int(pdf["tx"].iloc[0]), int(pdf["ty"].iloc[0])
-            lines_ = [p for d in pdf["geometry"] for p in S.linework(S.from_wkb(d))]
-
-            def held(p, size: float, x: int | None = None, y: int | None = None) -> bool:
-                low, high = p[0].min(axis=0), p[0].max(axis=0)
-                corner = p[0][np.lexsort((p[0][:, 1], p[0][:, 0]))[0]]
-                cell = np.floor(corner / size)
-                if x is not None and tuple(cell) != (x, y):
-                    return False
-                return bool((low >= (cell - 1) * size).all() and (high <= (cell + 2) * size).all())
-
-            kept = [p for p in L.polygonize(lines_) if held(p, tile, tx, ty) and not any(held(p, s) for s in smaller)]
-            return pd.DataFrame({"city": [pdf["city"].iloc[0]] * len(kept), "geometry": [S.polygon_wkb([p]) for p in kept]})
-
-        cell = lambda c, d: F.floor(F.col(c) / tile) + d  # noqa: E731, B023
+        cell = lambda c, d, tile=tile: F.floor(F.col(c) / tile) + d
         dealt = lines.withColumn("tx", F.explode(F.sequence(cell("x0", -1), cell("x1", 1)))).withColumn("ty", F.explode(F.sequence(cell("y0", -1), cell("y1", 1))))
         schema = StructType([lines.schema["city"], lines.schema["geometry"]])
-        part = dealt.select("city", "tx", "ty", "geometry").groupBy("city", "tx", "ty").applyInPandas(faces, schema)
+        part = dealt.select("city", "tx", "ty", "geometry").groupBy("city", "tx", "ty").applyInPandas(_tile_faces(tile, tiles[:i]), schema)
         found = part if found is None else found.unionByName(part)
     return found
 
 
+def _held(p: list[np.ndarray], size: float, tile: tuple[int, int] | None = None) -> bool:
+    """Whether a face lies in the tile of its lowest leftmost vertex and the tiles around it; and that is ``tile``."""
+    corner = p[0][np.lexsort((p[0][:, 1], p[0][:, 0]))[0]]
+    cell = np.floor(corner / size)
+    if tile is not None and tuple(cell) != tile:
+        return False
+    return bool((p[0].min(axis=0) >= (cell - 1) * size).all() and (p[0].max(axis=0) <= (cell + 2) * size).all())
+
+
+def _tile_faces(tile: float, smaller: tuple[float, ...]):
+    def faces(pdf: pd.DataFrame) -> pd.DataFrame:
+        own = int(pdf["tx"].iloc[0]), int(pdf["ty"].iloc[0])
+        found = L.polygonize([p for d in pdf["geometry"] for p in S.linework(S.from_wkb(d))])
+        kept = [p for p in found if _held(p, tile, own) and not any(_held(p, s) for s in smaller)]
+        return pd.DataFrame({"city": [pdf["city"].iloc[0]] * len(kept), "geometry": [S.polygon_wkb([p]) for p in kept]})
+
+    return faces
+
+
 def cut_by(rows: DataFrame, masks: DataFrame, keep_inside: bool, key: list[str], cell: float = 500.0) -> DataFrame:
     """Polygons (key, city, geometry, box columns) with the places in (or out of) the masks of their city, single
     polygons again. A polygon without a mask near is dropped, if ``keep_inside``, else left as it is."""
@@ -196,7 +206,7 @@ def fill(lines: DataFrame, holes: DataFrame, least: float = 1.0, cell: float = 5
     """(city, geometry, fill_method): the places of ``holes`` (city, hole_id, geometry, box columns) cut by linework."""
     pairs = box_join(holes.select("city", "hole_id", "x0", "y0", "x1", "y1", F.col("geometry").alias("hole")), lines.select("city", "geometry", "x0", "y0", "x1", "y1"), ["city"], cell).select("city", "hole_id", "hole", "geometry")
     alone = holes.join(pairs.select("city", "hole_id").distinct(), ["city", "hole_id"], "left_anti").select("city", "hole_id", F.col("geometry").alias("hole"), F.lit(None).cast("binary").alias("geometry"))
-    schema = StructType([holes.schema["city"], *StructType.fromDDL("geometry binary, fill_method string").fields])
+    schema = StructType([holes.schema["city"], *StructType().add("geometry", BinaryType()).add("fill_method", StringType()).fields])
 
     def cut(pdf: pd.DataFrame) -> pd.DataFrame:
         inner = [p for d in pdf["geometry"] if d is not None for p in S.linework(S.from_wkb(d))]
@@ -206,7 +216,7 @@ def fill(lines: DataFrame, holes: DataFrame, least: float = 1.0, cell: float = 5
     return pairs.unionByName(alone).groupBy("city", "hole_id").applyInPandas(cut, schema)
 
 
-def produce_blocks(lines: DataFrame, extents: DataFrame, land: DataFrame | None = None, water: DataFrame | None = None, least: float = 700.0) -> DataFrame:
+def produce_blocks(lines: DataFrame, extents: DataFrame, land: DataFrame | None = None, water: DataFrame | None = None, least: float = 700.0, tiles: tuple[float, ...] = (2_000.0, 16_000.0)) -> DataFrame:
     """Blocks of each city: faces of its linework, in land and out of water, and fill for the rest of its extent, with
     inscribed circles, areas and numbers; none below ``least`` square metres. Inputs have city and geometry."""
     boxed = lambda df: with_box(df.select("city", "geometry"))
@@ -219,9 +229,10 @@ def produce_blocks(lines: DataFrame, extents: DataFrame, land: DataFrame | None
                 df = cut_by(numbered(boxed(df)), boxed(mask), inside, ["face__"]).select("city", "geometry")
         return df
 
-    faces = polygonize(lines)
-    base = dry(faces)
-    rest = cut_by(numbered(boxed(extents)), boxed(base), False, ["face__"]).select("city", "geometry")
+    # Read by several steps below; kept on disk, and made anew from the lines where an executor is lost.
+    faces = polygonize(lines, tiles).persist(StorageLevel.DISK_ONLY)
+    base = dry(faces).persist(StorageLevel.DISK_ONLY)
+    rest = cut_by(numbered(boxed(extents)), boxed(base), False, ["face__"]).select("city", "geometry").persist(StorageLevel.DISK_ONLY)
     holes = boxed(dry(rest)).withColumn("hole_id", F.xxhash64("geometry"))
     both = base.withColumns({"is_fill_block": F.lit(False), "fill_method": F.lit(None).cast("string")}).unionByName(fill(lines, holes).withColumn("is_fill_block", F.lit(True)))
     m = both.withColumn("m", measures("geometry")).withColumns({"block_area": F.col("m.area"), "x0": F.col("m.x0"), "y0": F.col("m.y0"), "x1": F.col("m.x1"), "y1": F.col("m.y1")}).drop("m")
@@ -231,7 +242,7 @@ def produce_blocks(lines: DataFrame, extents: DataFrame, land: DataFrame | None
     return number_blocks(kept, ["is_fill_block", "x0", "y0", "x1", "y1", "block_area"])
 
 
-LAYERS = StructType.fromDDL("on_network_street_length double, off_network_street_length double, nearest_external_street double, building_count int, building_layers string, k_complexity int")
+LAYERS = _doubles(StructType(), "on_network_street_length", "off_network_street_length", "nearest_external_street").add("building_count", IntegerType()).add("building_layers", StringType()).add("k_complexity", IntegerType())
 
 
 def parcel_layers(blocks: DataFrame, buildings: DataFrame, roads: DataFrame, radius: float = 100.0, cell: float = 200.0) -> DataFrame:
@@ -260,7 +271,9 @@ def parcel_layers(blocks: DataFrame, buildings: DataFrame, roads: DataFrame, rad
         out["building_layers"] = ",".join(map(str, out["building_layers"]))
         return pd.DataFrame([{**{k: mine[k].iloc[0] for k in BLOCK}, **out}])[schema.names]
 
-    return b.select(*BLOCK, "area").groupBy(*BLOCK).cogroup(held.unionByName(near).groupBy(*BLOCK)).applyInPandas(layers, schema)
+    # Renamed, so that both sides of the cogroup have columns of their own.
+    around = held.unionByName(near).select(F.col("city").alias("city_"), F.col("block_id").alias("block_id_"), "x", "y", "line")
+    return b.select(*BLOCK, "area").groupBy(*BLOCK).cogroup(around.groupBy("city_", "block_id_")).applyInPandas(layers, schema)
 
 
 def geojson(geometry: Column, tolerance: float = 0.0001) -> Column:

@@ -44,7 +44,7 @@ def mbr_azimuth(spark, d):
 
 @query(PROXY_SQL + "SELECT city, building_id, round(least(hw, hh), 6) AS max_radius FROM building")
 def inscribed_circle(spark, d):
-    out = G.with_inscribed_circles(upright(P.buildings(spark, d)), tolerance=0.001)
+    out = G.with_inscribed_circles(upright(P.buildings(spark, d)))
     return rounded(out.select("city", "building_id", "max_radius"))
 
 
@@ -69,7 +69,7 @@ def polygonize_blocks(spark, d):
     up = b.withColumn("i", F.explode(steps("x0", "x1"))).select("city", F.array(point(x, F.col("y0") - 10.0), point(x, F.col("y1") + 10.0)).alias("p"))
     across = b.withColumn("i", F.explode(steps("y0", "y1"))).select("city", F.array(point(F.col("x0") - 10.0, y), point(F.col("x1") + 10.0, y)).alias("p"))
     lines = G.with_box(up.union(across).select("city", G.line_wkb(F.col("p")).alias("geometry")))
-    out = G.with_inscribed_circles(G.polygonize(lines), tolerance=0.01).withColumn("area", G.measures("geometry")["area"])
+    out = G.with_inscribed_circles(G.polygonize(lines)).withColumn("area", G.measures("geometry")["area"])
     return rounded(out.groupBy("city").agg(F.count("*").alias("n_blocks"), F.sum("area").alias("total_area"), F.min("max_radius").alias("least_radius")), 3)
 
 
@@ -96,5 +96,5 @@ def city_blocks(spark, d):
     shape = lambda a, b, c, e: G.rectangle_wkb(a, b, c, e, F.lit(0.0)).alias("geometry")
     extent = box.select("city", shape(F.col("x0") - 50.0, F.col("y0") - 50.0, F.col("x1") + 50.0, F.col("y1") + 50.0))
     lake = box.select("city", shape(F.col("x0"), F.col("y0"), F.col("x0") + 60.0, F.col("y0") + 60.0))
-    out = G.produce_blocks(lines, extent, water=lake)
+    out = G.produce_blocks(lines, extent, water=lake, tiles=(2_000.0,))
     return rounded(out.select("city", "block_id", "is_fill_block", "fill_method", "block_area", "max_radius"), 2)
