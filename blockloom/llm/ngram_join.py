@@ -42,7 +42,7 @@ class WordHash(dict):
     """64-bit hashes of words; bounded."""
 
     def __missing__(self, word: str) -> int:
-        if len(self) > 500_000:
+        if len(self) > 250_000:
             self.clear()
         value = self[word] = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"))
         return value

@@ -51,7 +51,7 @@ class Known(dict):
         self.weights = weights
 
     def __missing__(self, word: str) -> tuple[int, ...]:
-        if len(self) > 500_000:
+        if len(self) > 250_000:
             self.clear()
         own = self[word] = tuple(h for h in word_features(word) if h in self.weights)
         return own
