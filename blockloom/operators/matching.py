@@ -64,11 +64,11 @@ def match_plan(wanted: DataFrame, catalogue: DataFrame, overrides: DataFrame | N
     pattern = left.withColumns({"pattern": like_pattern(F.col("city")), "lead": F.split(F.lower(F.trim("city")), r"[\s\-_/]+")[0]}).where("pattern is not null and lead <> ''")
     pattern = pattern.withColumn("gram", F.substring("lead", 1, 3)).select("row_index", "key", "pattern", "gram")
     low = F.lower("name")
-    runs = F.flatten(F.array(*[F.transform(F.sequence(F.lit(1), F.greatest(F.length(low) - (k - 1), F.lit(1))), lambda i, k=k: F.substr(low, i, F.lit(k))) for k in (1, 2, 3)]))
+    runs = F.flatten(F.array(*[_pieces(low, k) for k in (1, 2, 3)]))
     grams = names.withColumn("gram", F.explode(F.array_distinct(runs)))
     liked = pattern.join(grams, "gram").where(F.like(F.lower("name"), F.col("pattern"))).select("row_index", "name", (F.col("key") == F.col("name_key")).alias("same")).distinct()
     any_same = Window.partitionBy("row_index")
-    by_like = liked.withColumn("any", F.max("same").over(any_same)).where("same or not any").select("row_index", "name", F.lit("like").alias("way"))
+    by_like = liked.withColumn("some_same", F.max("same").over(any_same)).where("same or not some_same").select("row_index", "name", F.lit("like").alias("way"))
     left = left.join(by_like.select("row_index").distinct(), "row_index", "left_anti")
     near = near_keys(left, names.select(F.col("name_key").alias("key")))
     by_near = left.join(near, "key").join(names, F.col("catalogue_key") == F.col("name_key")).select("row_index", "name", F.lit("near").alias("way"))
