@@ -32,7 +32,7 @@ MARK = "▁"
 class PieceTable:
     """A BPE model with byte fallback, identity normalization and a dummy prefix, from a SentencePiece file."""
 
-    def __init__(self, path: str, max_chunks: int = 300_000):
+    def __init__(self, path: str, max_chunks: int = 600_000):
         import ahocorasick
         import sentencepiece
 
