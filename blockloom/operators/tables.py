@@ -137,9 +137,10 @@ def calibration_error(rows: DataFrame, truth: str, score: str, bins: int = 10) -
     """One row: the mean over quantile bins of the gap between observed and predicted rates, and the Brier score.
 
     Bins are between the distinct exact quantiles of the score, the value on an edge in the lower bin."""
-    edges = rows.agg(F.array_distinct(F.percentile(score, [i / bins for i in range(1, bins)])).alias("edges"))
-    binned = rows.crossJoin(F.broadcast(edges)).withColumn("bin", F.size(F.filter("edges", lambda e: e < F.col(score))))
-    per = binned.groupBy("bin").agg(F.avg(truth).alias("observed"), F.avg(score).alias("predicted"), F.sum(F.pow(F.col(score) - F.col(truth), 2)).alias("square"), F.count("*").alias("n"))
+    rows = rows.select(F.col(truth).cast("double").alias("y"), F.col(score).alias("s"))
+    edges = rows.agg(F.array_distinct(F.percentile("s", [i / bins for i in range(1, bins)])).alias("edges"))
+    binned = rows.crossJoin(F.broadcast(edges)).withColumn("bin", F.size(F.filter("edges", lambda e: e < F.col("s"))))  # one row
+    per = binned.groupBy("bin").agg(F.avg("y").alias("observed"), F.avg("s").alias("predicted"), F.sum(F.pow(F.col("s") - F.col("y"), 2)).alias("square"), F.count("*").alias("n"))
     return per.agg(F.avg(F.abs(F.col("observed") - F.col("predicted"))).alias("ece"), ratio(F.sum("square"), F.sum("n")).alias("brier"), F.count("*").alias("n_bins"))
 
 
@@ -156,15 +157,15 @@ def threshold_table(rows: DataFrame, truth: str, score: str, thresholds: list[fl
 def roc_auc(rows: DataFrame, truth: str, score: str, cells: int = 4_096) -> DataFrame:
     """One row: the area under the ROC curve of scores in [0, 1], ties counted half. Distinct scores are ordered within
     cells of the range; the cells' totals, ``cells`` + 1 rows at most, carry the negatives below each cell."""
-    kept = rows.where(F.col(score).isNotNull() & F.col(truth).isNotNull())
-    per = kept.groupBy(score).agg(F.count_if(F.col(truth) == 1).alias("p"), F.count_if(F.col(truth) != 1).alias("n"))
-    per = per.withColumn("cell", F.floor(F.col(score) * cells))
+    kept = rows.where(F.col(score).isNotNull() & F.col(truth).isNotNull()).select(F.col(score).alias("s"), (F.col(truth) == 1).alias("y"))
+    per = kept.groupBy("s").agg(F.count_if("y").alias("pos"), F.count_if(~F.col("y")).alias("neg"))
+    per = per.withColumn("cell", F.floor(F.col("s") * cells))
     before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
-    totals = per.groupBy("cell").agg(F.sum("n").alias("n")).select("cell", F.coalesce(F.sum("n").over(before(Window.orderBy("cell"))), F.lit(0)).alias("under"))
-    here = F.coalesce(F.sum("n").over(before(Window.partitionBy("cell").orderBy(score))), F.lit(0))
+    totals = per.groupBy("cell").agg(F.sum("neg").alias("n")).select("cell", F.coalesce(F.sum("n").over(before(Window.orderBy("cell"))), F.lit(0)).alias("under"))
+    here = F.coalesce(F.sum("neg").over(before(Window.partitionBy("cell").orderBy("s"))), F.lit(0))
     ranked = per.withColumn("here", here).join(F.broadcast(totals), "cell")
-    wins = F.col("p") * (F.col("under") + F.col("here") + F.col("n") / 2.0)
-    return ranked.agg(ratio(F.sum(wins), F.sum("p").cast("double") * F.sum("n")).alias("auc"))
+    wins = F.col("pos") * (F.col("under") + F.col("here") + F.col("neg") / 2.0)
+    return ranked.agg(ratio(F.sum(wins), F.sum("pos").cast("double") * F.sum("neg")).alias("auc"))
 
 
 def bounds(rows: DataFrame) -> DataFrame:
