@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -48,6 +50,22 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def slices(text: str, cut: re.Pattern, size: int = 1_000_000) -> Iterator[str]:
+    """A text in parts of about ``size``, each but the first starting where ``cut`` matches, so that lists of a part's
+    words are bounded; one part where it matches nowhere."""
+    start = 0
+    while len(text) - start > size:
+        m = cut.search(text, start + size)
+        if not m:
+            break
+        yield text[start : m.start()]
+        start = m.start()
+    yield text[start:] if start else text
+
+
+SPACE = re.compile(r"\s")
+
+
 def int_seed(*parts: object) -> int:
     """A 32-bit seed from the text of ``parts``, equal in every process."""
     import zlib

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import int_seed, table
+from ._shared import SPACE, int_seed, slices, table
 
 GAP = 0
 PLACES = 1 << 7  # symbols: the gap and 127 classes of letters, 26 + 101
@@ -63,9 +63,9 @@ def symbols(text: str) -> np.ndarray:
     return s[keep]
 
 
-def grams(text: str, n: int) -> np.ndarray:
-    """The codes of a text's n-grams; the whole text as one, shorter, if it has fewer symbols."""
-    s = symbols(text).astype(np.int64)
+def grams(s: np.ndarray, n: int) -> np.ndarray:
+    """The codes of the n-grams of symbols; all of them as one, shorter, if there are fewer."""
+    s = s.astype(np.int64)
     if not len(s):
         return s
     if len(s) < n:
@@ -76,6 +76,27 @@ def grams(text: str, n: int) -> np.ndarray:
     return code
 
 
+def gram_counts(text: str, n: int, size: int = 1_000_000) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct n-grams of a text and their numbers. A long text is read in parts; each takes up the last symbols
+    of the one before, whose gap at the end is its own at the start."""
+    if len(text) <= size:
+        return np.unique(grams(symbols(text), n), return_counts=True)
+    total: dict[int, int] = {}
+    tail, started = np.empty(0, np.uint8), False
+    for part in slices(text, SPACE, size):
+        s = symbols(part)
+        if len(s):
+            s = np.concatenate((tail, s[1:])) if started else s
+            codes, counts = np.unique(grams(s, n), return_counts=True) if len(s) >= n else ((), ())
+            for c, k in zip(map(int, codes), map(int, counts)):
+                total[c] = total.get(c, 0) + k
+            tail, started = (s[-(n - 1) :] if n > 1 else s[:0]), True
+    if not total and len(tail):
+        return np.unique(grams(tail, n), return_counts=True)
+    codes = np.array(sorted(total), np.int64)
+    return codes, np.array([total[c] for c in codes.tolist()], np.int64)
+
+
 @dataclass
 class Space:
     """Random letter vectors of ``dim`` dimensions, the same in every process for a seed."""
@@ -102,11 +123,12 @@ class Space:
 
     def bundle(self, texts: list[str], at_once: int = 1_024) -> tuple[np.ndarray, np.ndarray]:
         """Unit vectors of texts (zero for one without letters), and their numbers of n-grams."""
-        parts = [grams(t, self.n) for t in texts]
-        sizes = np.array([len(p) for p in parts])
-        codes, inverse = np.unique(np.concatenate(parts) if parts else np.empty(0, np.int64), return_inverse=True)
-        doc = np.repeat(np.arange(len(texts)), sizes)
-        counts = np.bincount(doc * max(1, len(codes)) + inverse, minlength=len(texts) * len(codes))
+        found = [gram_counts(t, self.n) for t in texts]
+        sizes = np.array([int(k.sum()) for _, k in found])
+        codes, inverse = np.unique(np.concatenate([c for c, _ in found]) if found else np.empty(0, np.int64), return_inverse=True)
+        counts = np.zeros(len(texts) * len(codes))
+        doc = np.repeat(np.arange(len(texts)), [len(c) for c, _ in found])
+        counts[doc * max(1, len(codes)) + inverse] = np.concatenate([k for _, k in found]) if found else []
         counts = np.sqrt(counts.reshape(len(texts), len(codes)).astype(np.float32))
         out = np.zeros((len(texts), self.dim), np.float32)
         for at in range(0, len(codes), at_once):

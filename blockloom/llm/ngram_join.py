@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import table, written
+from ._shared import SPACE, slices, table, written
 
 BANDS, ROWS = 32, 5
 SIZE = BANDS * ROWS
@@ -60,10 +60,10 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 def shingles(text: str, n: int = 5) -> np.ndarray:
     """The sorted hashes of a text's distinct runs of ``n`` lower-case words; of all its words, if it has fewer."""
-    words = WORD.findall(text.lower())
-    if not words:
+    parts = (WORD.findall(part.lower()) for part in slices(text, SPACE))
+    one = np.concatenate([np.fromiter(map(_words.__getitem__, words), U, len(words)) for words in parts])
+    if not len(one):
         return np.empty(0, U)
-    one = np.fromiter(map(_words.__getitem__, words), U, len(words))
     size = min(n, len(one))
     out = np.full(len(one) - size + 1, size, U)
     for i in range(size):

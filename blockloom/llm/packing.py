@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._shared import table, written
+from ._shared import SPACE, slices, table, written
 
 CAPACITY = 2048
 
@@ -178,7 +178,7 @@ class WordTokenizer(dict):
             return array("I", self.library.encode(text, add_special_tokens=False).ids).tobytes()
         if len(self) > self.max_words:
             self.clear()
-        return b"".join(map(self.__getitem__, self.WORD.findall(text.lower())))
+        return b"".join(b"".join(map(self.__getitem__, self.WORD.findall(part.lower()))) for part in slices(text, SPACE))
 
 
 _tokenizers: dict[str, WordTokenizer] = {}

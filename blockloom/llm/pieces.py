@@ -16,6 +16,7 @@ into independent chunks (a word with the marks before it). Their encodings are k
 from __future__ import annotations
 
 import hashlib
+import itertools
 import re
 from collections.abc import Iterator
 
@@ -24,9 +25,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._shared import table
+from ._shared import slices, table
 
 MARK = "▁"
+#: The first space of a run of marks.
+RUN = re.compile("(?<=[^ ▁]) ")
 
 
 class PieceTable:
@@ -71,7 +74,7 @@ class PieceTable:
         self.right = {i: self.spine(i, 1) for i in self.id.values()}
         self.left = {i: self.spine(i, 0) for i in self.id.values()}
         self.beside: dict[int, bool] = {}
-        words = not any(MARK in p.lstrip(MARK) for p in self.id)
+        self.words = words = not any(MARK in p.lstrip(MARK) for p in self.id)
         free = not any("\n" in p for p in self.id)
         if words and free:
             self.chunk = re.compile(f"{MARK}+[^{MARK}\n]*|[^{MARK}\n]+|\n")
@@ -171,7 +174,9 @@ class PieceTable:
         if len(self.chunks) > self.max_chunks:  # chunks in use come back from the older half
             self.older, self.chunks = self.chunks, {}
         get = self.chunks.get
-        for chunk in self.chunk.findall(MARK + text.replace(" ", MARK)):
+        marked = (part.replace(" ", MARK) for part in (slices(text, RUN) if self.words else [text]))
+        chunks = itertools.chain.from_iterable(self.chunk.findall(MARK * (i == 0) + part) for i, part in enumerate(marked))
+        for chunk in chunks:
             part = get(chunk)
             if part is None:
                 part = self.older.get(chunk)
@@ -225,10 +230,16 @@ class PieceTable:
 
     def digest(self, text: str) -> tuple[int, str, str]:
         """Number of ids with the end id, and SHA-256 of the ids and of the decoded text, from the same ids."""
-        counts, written, surface = zip(*self.parts(text)) if text else ((), (), ())
-        decoded = "".join(surface)[1:]  # the first chunk starts with the dummy space
-        numbers = " ".join((*written, str(self.end)))
-        return sum(counts) + 1, hashlib.sha256(numbers.encode()).hexdigest(), hashlib.sha256(decoded.encode("utf-8", "surrogatepass")).hexdigest()
+        n, ids, decoded, first = 1, hashlib.sha256(), hashlib.sha256(), True
+        for block in itertools.batched(self.parts(text), 100_000):
+            counts, numbers, surface = zip(*block)
+            n += sum(counts)
+            ids.update((" ".join(numbers) + " ").encode())
+            here = "".join(surface)
+            decoded.update((here[1:] if first else here).encode("utf-8", "surrogatepass"))  # the dummy space goes
+            first = False
+        ids.update(str(self.end).encode())
+        return n, ids.hexdigest(), decoded.hexdigest()
 
 
 _tables: dict[str, PieceTable] = {}
