@@ -385,3 +385,26 @@ def jaccard_join(
 def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Classes and numbers of links of all documents whose five-word shingles are similar to 0.8 or more."""
     return jaccard_join(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "rep_id", "n_links")
+
+
+#: The same rows by all shared shingles. Words are what Unicode calls letters and numbers, and underscores.
+ORACLE_SQL = r"""
+WITH RECURSIVE word AS MATERIALIZED (
+    SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}_]+') AS w FROM documents
+), shingle AS MATERIALIZED (
+    SELECT DISTINCT doc_id, array_to_string(list_slice(w, i, i + 4), ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM word WHERE len(w) > 0)
+), size AS (
+    SELECT doc_id, count(*) AS n FROM shingle GROUP BY doc_id
+), pair AS MATERIALIZED (
+    SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM shingle a JOIN shingle b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id
+), link AS MATERIALIZED (
+    SELECT x, y, c = p.n AND c = q.n AS same FROM pair JOIN size p ON p.doc_id = x JOIN size q ON q.doc_id = y WHERE c >= 0.8::DOUBLE * (p.n + q.n - c) - 1e-9
+    UNION ALL SELECT a.doc_id, b.doc_id, true FROM word a JOIN word b ON len(a.w) = 0 AND len(b.w) = 0 AND a.text = b.text AND a.doc_id <> b.doc_id
+), reach AS (
+    SELECT doc_id AS x, doc_id AS y FROM word UNION SELECT r.x, l.y FROM reach r JOIN link l ON l.x = r.y
+)
+SELECT d.doc_id, c.class_id, least(d.doc_id, coalesce(s.least, d.doc_id)) AS rep_id, coalesce(n.n, 0) AS n_links
+FROM word d JOIN (SELECT x, min(y) AS class_id FROM reach GROUP BY x) c ON c.x = d.doc_id
+LEFT JOIN (SELECT x, min(y) AS least FROM link WHERE same GROUP BY x) s ON s.x = d.doc_id
+LEFT JOIN (SELECT x, count(*) AS n FROM link GROUP BY x) n ON n.x = d.doc_id
+"""

@@ -5,6 +5,7 @@ from __future__ import annotations
 from .ann import op1_adaptive_dimension_scan
 from .langid import op2_hyperdimensional_language
 from .media import op9_archive_media
+from .ngram_join import ORACLE_SQL as JOIN_SQL
 from .ngram_join import op6_ngram_jaccard_join
 from .packing import op10_best_fit_packing
 from .pieces import op4_prefix_table_pieces
@@ -27,4 +28,4 @@ QUERIES = {
     "op10_best_fit_packing": op10_best_fit_packing,
 }
 
-ORACLE_SQL: dict[str, str] = {"op5_revisit_resolution": WARC_SQL}
+ORACLE_SQL: dict[str, str] = {"op5_revisit_resolution": WARC_SQL, "op6_ngram_jaccard_join": JOIN_SQL}

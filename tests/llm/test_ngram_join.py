@@ -1,6 +1,7 @@
 import random
 import re
 
+import duckdb
 import numpy as np
 import pytest
 
@@ -56,6 +57,15 @@ def test_equals_all_pairs(spark, sf):
     assert rows(J.op6_ngram_jaccard_join(spark, f"/root/testdata/{sf}")) == want
 
 
+def test_equals_sql(spark):
+    d = "/root/testdata/sf0.01"
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{d}/documents.parquet'")
+    columns = ["doc_id", "class_id", "rep_id", "n_links"]
+    want = sorted(con.execute(f"select {', '.join(columns)} from ({J.ORACLE_SQL})").fetchall())
+    assert sorted(map(tuple, J.op6_ngram_jaccard_join(spark, d).select(columns).collect())) == want
+
+
 def near_texts(n, seed=4, words=120):
     """One group of near copies, in chains as well, beside texts that share a passage."""
     rng = random.Random(seed)
