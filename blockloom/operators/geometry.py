@@ -202,6 +202,32 @@ def cut_by(rows: DataFrame, masks: DataFrame, keep_inside: bool, key: list[str],
     return found.unionByName(rows.join(near.select(*key, "city").distinct(), [*key, "city"], "left_anti").select(*found.columns))
 
 
+def dissolve(rows: DataFrame, keys: list[str], tile: float = 2_000.0) -> DataFrame:
+    """(keys, geometry): the union of each group's polygons, first by tiles of their lower left corners, then of the
+    tiles' few outlines."""
+    schema = StructType([*(rows.schema[k] for k in keys), rows.schema["geometry"]])
+
+    def union(pdf: pd.DataFrame) -> pd.DataFrame:
+        found = L.union([p for d in pdf["geometry"] for p in S.from_wkb(d).polygons])
+        return pd.DataFrame({**{k: [pdf[k].iloc[0]] * bool(found) for k in keys}, "geometry": [S.polygon_wkb(found)] * bool(found)})
+
+    m = with_box(rows.select(*keys, "geometry"))
+    tiles = m.withColumns({"tx": F.floor(F.col("x0") / tile), "ty": F.floor(F.col("y0") / tile)}).where("kind is not null")
+    return tiles.select(*keys, "geometry", "tx", "ty").groupBy(*keys, "tx", "ty").applyInPandas(union, schema).groupBy(*keys).applyInPandas(union, schema)
+
+
+@F.pandas_udf(BinaryType())
+def convex_hull(s: pd.Series) -> pd.Series:
+    """The convex hull of each shape, as a polygon; NULL where it has no area."""
+    def one(d: bytes | None) -> bytes | None:
+        shape = S.from_wkb(d)
+        found = [] if shape is None else [r for p in shape.polygons for r in p] + shape.lines + ([shape.points] if len(shape.points) else [])
+        h = S.hull(np.concatenate(found)) if found else np.empty((0, 2))
+        return S.to_wkb(S.Shape("polygon", [[h]])) if len(h) > 2 else None
+
+    return s.map(one)
+
+
 def fill(lines: DataFrame, holes: DataFrame, least: float = 1.0, cell: float = 500.0) -> DataFrame:
     """(city, geometry, fill_method): the places of ``holes`` (city, hole_id, geometry, box columns) cut by linework."""
     pairs = box_join(holes.select("city", "hole_id", "x0", "y0", "x1", "y1", F.col("geometry").alias("hole")), lines.select("city", "geometry", "x0", "y0", "x1", "y1"), ["city"], cell).select("city", "hole_id", "hole", "geometry")
@@ -239,7 +265,8 @@ def produce_blocks(lines: DataFrame, extents: DataFrame, land: DataFrame | None
     from .tables import number_blocks
 
     kept = with_inscribed_circles(m.where(F.col("block_area") >= least))
-    return number_blocks(kept, ["is_fill_block", "x0", "y0", "x1", "y1", "block_area"])
+    cells = {"fill": F.col("is_fill_block"), "x": F.floor(F.col("x0") / 5_000.0), "y": F.floor(F.col("y0") / 5_000.0)}
+    return number_blocks(kept, ["x0", "y0", "x1", "y1", "block_area"], cells)
 
 
 LAYERS = _doubles(StructType(), "on_network_street_length", "off_network_street_length", "nearest_external_street").add("building_count", IntegerType()).add("building_layers", StringType()).add("k_complexity", IntegerType())

@@ -12,9 +12,10 @@ from ..functions.numeric import ratio
 MIN_BLOCK_AREA = 700.0
 
 
-def consolidate(groups: list[DataFrame], keys: list[str], prefixes: dict[int, str] | None = None) -> DataFrame:
-    """Left joins of metric groups on ``keys``; of columns with one name the first group's wins. ``prefixes`` gives
-    the columns of a group, by its number, a prefix, but for names that have it."""
+def consolidate(groups: list[DataFrame | None], keys: list[str], prefixes: dict[int, str] | None = None) -> DataFrame:
+    """Left joins of metric groups on ``keys``, the first one that is there being the base; of columns with one name
+    the first group's wins. ``prefixes`` gives the columns of a group, by its number, a prefix, but for names that
+    have it. A group that is None is left out."""
     def prepared(i: int, g: DataFrame) -> DataFrame:
         p = (prefixes or {}).get(i)
         return g.select([F.col(c).alias(c if c in keys or not p or c.startswith(p) else p + c) for c in g.columns]) if p else g
@@ -23,7 +24,10 @@ def consolidate(groups: list[DataFrame], keys: list[str], prefixes: dict[int, st
         new = [c for c in right.columns if c not in keys and c not in left.columns and c != "geometry"]
         return left.join(right.select(*keys, *new), keys, "left")
 
-    return reduce(add, [prepared(i, g) for i, g in enumerate(groups)])
+    there = [prepared(i, g) for i, g in enumerate(groups) if g is not None]
+    if not there:
+        raise ValueError("no group of metrics is there")
+    return reduce(add, there)
 
 
 def large_blocks(blocks: DataFrame, least: float = MIN_BLOCK_AREA) -> DataFrame:
@@ -38,9 +42,18 @@ def with_fill_blocks(base: DataFrame, fill: DataFrame) -> DataFrame:
     return a.unionByName(b, allowMissingColumns=True)
 
 
-def number_blocks(blocks: DataFrame, order: list[str]) -> DataFrame:
-    """block_id 0, 1, ... of each city in a fixed order."""
-    return blocks.withColumn("block_id", (F.row_number().over(Window.partitionBy("city").orderBy(*order)) - 1).cast("long"))
+def number_blocks(blocks: DataFrame, order: list[str], cells: dict[str, Column] | None = None) -> DataFrame:
+    """block_id 0, 1, ... of each city in a fixed order. With ``cells``, columns that divide a city, a block's number
+    is its cell's offset and its place in the cell, so that no task orders a whole city."""
+    if not cells:
+        return blocks.withColumn("block_id", (F.row_number().over(Window.partitionBy("city").orderBy(*order)) - 1).cast("long"))
+    names = [f"cell__{c}" for c in cells]
+    dealt = blocks.withColumns(dict(zip(names, cells.values())))
+    before = Window.partitionBy("city").orderBy(*names).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = dealt.groupBy("city", *names).agg(F.count("*").alias("n__")).select("city", *names, F.coalesce(F.sum("n__").over(before), F.lit(0)).alias("offset__"))
+    place = F.row_number().over(Window.partitionBy("city", *names).orderBy(*order)) - 1
+    out = dealt.withColumn("place__", place).join(offsets, ["city", *names])
+    return out.withColumn("block_id", (F.col("offset__") + F.col("place__")).cast("long")).drop(*names, "offset__", "place__")
 
 
 def key_check(rows: DataFrame, keys: list[str]) -> DataFrame:

@@ -234,3 +234,50 @@ def read_shapefile(spark: SparkSession, path: str) -> DataFrame:
     for name, t, _, _ in fields:
         schema = schema.add(name, T.DoubleType() if t in "NF" else T.StringType())
     return spark.createDataFrame(rows, schema.add("geometry", T.BinaryType()))
+
+
+def write_shapefile(rows: DataFrame, path: str) -> int:
+    """A shapefile of polygons with its index and table, for programs that read nothing else: an export of one city or
+    less, through one machine, row by row. Texts are cut at 254 bytes and names at 10, as the format has it."""
+    import numpy as np
+
+    from ..geom import shapes as S
+
+    names = [f for f in rows.schema.fields if f.name != "geometry"]
+    numeric = [isinstance(f.dataType, T.NumericType) for f in names]
+    shapes, offsets, table, box = bytearray(), bytearray(), bytearray(), np.array([np.inf, np.inf, -np.inf, -np.inf])
+    n = 0
+    for r in rows.toLocalIterator():
+        s = S.from_wkb(bytes(r.geometry)) if r.geometry is not None else S.Shape("polygon")
+        rings = [np.vstack((q, q[:1])) for p in s.polygons for i, q in enumerate([x[::-1] if (S.ring_area(x) > 0) == (k == 0) else x for k, x in enumerate(p)])]
+        if rings:
+            xy = np.concatenate(rings)
+            own = np.concatenate((xy.min(axis=0), xy.max(axis=0)))
+            box = np.concatenate((np.minimum(box[:2], own[:2]), np.maximum(box[2:], own[2:])))
+            starts = np.cumsum([0, *map(len, rings)])[:-1]
+            body = struct.pack("<i4dii", 5, *own, len(rings), len(xy)) + starts.astype("<i4").tobytes() + xy.astype("<f8").tobytes()
+        else:
+            body = struct.pack("<i", 0)
+        n += 1
+        offsets += struct.pack(">ii", (100 + len(shapes)) // 2, len(body) // 2)
+        shapes += struct.pack(">ii", n, len(body) // 2) + body
+        table += b" "
+        for f, is_number in zip(names, numeric):
+            v = r[f.name]
+            if is_number:
+                table += ("" if v is None else f"{v:.10g}").rjust(20).encode()[:20]
+            else:
+                table += ("" if v is None else str(v)).encode()[:254].ljust(254)
+    if not n or np.isinf(box).any():
+        box = np.zeros(4)
+
+    def head(size: int) -> bytes:
+        return struct.pack(">7i", 9994, 0, 0, 0, 0, 0, (100 + size) // 2) + struct.pack("<ii8d", 1000, 5, *box, 0, 0, 0, 0)
+
+    fields = b"".join(f.name.encode()[:10].ljust(11, b"\0") + (b"N" if k else b"C") + bytes(4) + bytes([20 if k else 254, 9 if k else 0]) + bytes(14) for f, k in zip(names, numeric))
+    width = 1 + sum(20 if k else 254 for k in numeric)
+    files = {".shp": head(len(shapes)) + shapes, ".shx": head(len(offsets)) + offsets, ".dbf": struct.pack("<B3BIHH20x", 3, 124, 1, 1, n, 33 + len(fields), width) + fields + b"\r" + table, ".cpg": b"UTF-8"}
+    for suffix, data in files.items():
+        with open(path.removesuffix(".shp") + suffix, "wb") as f:
+            f.write(data)
+    return n

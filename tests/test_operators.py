@@ -151,3 +151,26 @@ def test_produce_blocks(spark):
     assert sorted(base.block_area.round()) == [210_000, 250_000, 250_000, 250_000]
     assert rim.block_area.sum() == pytest.approx(1200**2 - 1000**2) and set(rim.fill_method) == {"polygonized"}
     assert base.max_radius.max() == pytest.approx(250, abs=1)
+
+
+def test_numbers_by_cells(spark):
+    rows = spark.createDataFrame([(c, float(i * 37 % 100)) for c in (1, 2) for i in range(100)], "city int, x0 double")
+    out = R.number_blocks(rows, ["x0"], {"x": F.floor(F.col("x0") / 10)}).toPandas()
+    for _, city in out.groupby("city"):
+        assert city.sort_values("x0").block_id.tolist() == list(range(100))
+
+
+def test_missing_groups(spark):
+    b = spark.createDataFrame([(1, 1, 9)], "city int, block_id int, n int")
+    assert R.consolidate([None, b, None], M.BLOCK).first().n == 9
+    with pytest.raises(ValueError):
+        R.consolidate([None], M.BLOCK)
+
+
+def test_dissolve_and_hull(spark):
+    box = lambda x, w: S.to_wkb(S.Shape("polygon", [[np.array([(x, 0), (x + w, 0), (x + w, 1), (x, 1)], float)]]))
+    rows = spark.createDataFrame([("a", box(0, 2)), ("a", box(1, 2)), ("a", box(9, 1)), ("b", box(0, 1)), ("c", None)], "city string, geometry binary")
+    out = {r.city: S.from_wkb(bytes(r.geometry)) for r in G.dissolve(rows, ["city"], tile=1.0).collect()}
+    assert S.area(out["a"]) == pytest.approx(4) and len(out["a"].polygons) == 2 and set(out) == {"a", "b"}
+    hulls = G.dissolve(rows, ["city"]).withColumn("h", G.convex_hull("geometry")).collect()
+    assert {r.city: S.area(S.from_wkb(bytes(r.h))) for r in hulls} == {"a": 10, "b": 1}

@@ -111,3 +111,14 @@ def test_arriving_cities(spark, tmp_path):
 def test_windows(spark, sf):
     events = spark.read.parquet(f"{sf}/events.parquet")
     assert windowed_counts(events).agg(F.sum("n")).first()[0] == events.count()
+
+
+def test_shapefile_round_trip(spark, tmp_path):
+    hole = np.array([(0.5, 0.5), (1, 0.5), (1, 1), (0.5, 1)])
+    ring = SQUARE.parts[0][0]
+    shapes = [SQUARE, S.Shape("polygon", [[ring, hole]]), S.Shape("multipolygon", [[ring], [ring + 5]])]
+    rows = [(i, f"ñ{i}", 0.5 * i, S.to_wkb(s)) for i, s in enumerate(shapes)] + [(9, None, None, None)]
+    n = L.write_shapefile(spark.createDataFrame(rows, "block_id int, name string, radius double, geometry binary"), str(tmp_path / "o.shp"))
+    back = L.read_shapefile(spark, str(tmp_path / "o.shp")).collect()
+    assert n == len(back) == 4 and [r.name for r in back] == ["ñ0", "ñ1", "ñ2", None] and back[2].radius == 1.0
+    assert [S.area(S.from_wkb(bytes(r.geometry))) for r in back[:3]] == [4, 3.75, 8] and back[3].geometry is None
