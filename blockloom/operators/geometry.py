@@ -186,20 +186,23 @@ def _tile_faces(tile: float, smaller: tuple[float, ...]):
 def cut_by(rows: DataFrame, masks: DataFrame, keep_inside: bool, key: list[str], cell: float = 500.0) -> DataFrame:
     """Polygons (key, city, geometry, box columns) with the places in (or out of) the masks of their city, single
     polygons again. A polygon without a mask near is dropped, if ``keep_inside``, else left as it is."""
-    pairs = box_join(rows.select(*key, "city", "geometry", "x0", "y0", "x1", "y1"), masks.select("city", F.col("geometry").alias("mask"), "x0", "y0", "x1", "y1"), ["city"], cell)
-    near = pairs.select(*key, "city", "geometry", "mask")
-    schema = StructType([*(rows.schema[k] for k in key), rows.schema["city"], rows.schema["geometry"]])
+    own = [*key, "city"]
+    pairs = box_join(rows.select(*own, "x0", "y0", "x1", "y1"), masks.select("city", F.col("geometry").alias("mask"), "x0", "y0", "x1", "y1"), ["city"], cell)
+    near = pairs.select(*[F.col(c).alias(f"{c}_") for c in own], "mask")
+    schema = StructType([*(rows.schema[c] for c in own), rows.schema["geometry"]])
 
-    def cut(pdf: pd.DataFrame) -> pd.DataFrame:
-        own = S.from_wkb(pdf["geometry"].iloc[0]).polygons
-        mask = [p for d in pdf["mask"] for p in S.from_wkb(d).polygons]
-        out = (L.intersection if keep_inside else L.difference)(own, mask)
-        return pd.DataFrame({**{k: [pdf[k].iloc[0]] * len(out) for k in [*key, "city"]}, "geometry": [S.polygon_wkb([p]) for p in out]})
+    def cut(mine: pd.DataFrame, theirs: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        mask = [p for d in theirs["mask"] for p in S.from_wkb(d).polygons] if len(theirs) else []
+        for r in mine.itertuples(index=False):
+            if not mask:
+                found = [] if keep_inside else [r.geometry]
+            else:
+                found = [S.polygon_wkb([p]) for p in (L.intersection if keep_inside else L.difference)(S.from_wkb(r.geometry).polygons, mask)]
+            out += [(*r[:-1], d) for d in found]
+        return pd.DataFrame(out, columns=schema.names)
 
-    found = near.groupBy(*key, "city").applyInPandas(cut, schema)
-    if keep_inside:
-        return found
-    return found.unionByName(rows.join(near.select(*key, "city").distinct(), [*key, "city"], "left_anti").select(*found.columns))
+    return rows.select(*own, "geometry").groupBy(*own).cogroup(near.groupBy(*[f"{c}_" for c in own])).applyInPandas(cut, schema)
 
 
 def dissolve(rows: DataFrame, keys: list[str], tile: float = 2_000.0) -> DataFrame:
@@ -230,16 +233,19 @@ def convex_hull(s: pd.Series) -> pd.Series:
 
 def fill(lines: DataFrame, holes: DataFrame, least: float = 1.0, cell: float = 500.0) -> DataFrame:
     """(city, geometry, fill_method): the places of ``holes`` (city, hole_id, geometry, box columns) cut by linework."""
-    pairs = box_join(holes.select("city", "hole_id", "x0", "y0", "x1", "y1", F.col("geometry").alias("hole")), lines.select("city", "geometry", "x0", "y0", "x1", "y1"), ["city"], cell).select("city", "hole_id", "hole", "geometry")
-    alone = holes.join(pairs.select("city", "hole_id").distinct(), ["city", "hole_id"], "left_anti").select("city", "hole_id", F.col("geometry").alias("hole"), F.lit(None).cast("binary").alias("geometry"))
+    pairs = box_join(holes.select("city", "hole_id", "x0", "y0", "x1", "y1"), lines.select("city", "geometry", "x0", "y0", "x1", "y1"), ["city"], cell)
+    near = pairs.select(F.col("city").alias("city_"), F.col("hole_id").alias("hole_id_"), "geometry")
     schema = StructType([holes.schema["city"], *StructType().add("geometry", BinaryType()).add("fill_method", StringType()).fields])
 
-    def cut(pdf: pd.DataFrame) -> pd.DataFrame:
-        inner = [p for d in pdf["geometry"] if d is not None for p in S.linework(S.from_wkb(d))]
-        faces, how = L.fill_blocks(inner, S.from_wkb(pdf["hole"].iloc[0]).polygons, least)
-        return pd.DataFrame({"city": [pdf["city"].iloc[0]] * len(faces), "geometry": [S.polygon_wkb([p]) for p in faces], "fill_method": [how] * len(faces)})
+    def cut(mine: pd.DataFrame, theirs: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        inner = [p for d in theirs["geometry"] for p in S.linework(S.from_wkb(d))] if len(theirs) else []
+        for city, _, hole in mine.itertuples(index=False):
+            faces, how = L.fill_blocks(inner, S.from_wkb(hole).polygons, least)
+            out += [(city, S.polygon_wkb([p]), how) for p in faces]
+        return pd.DataFrame(out, columns=schema.names)
 
-    return pairs.unionByName(alone).groupBy("city", "hole_id").applyInPandas(cut, schema)
+    return holes.select("city", "hole_id", "geometry").groupBy("city", "hole_id").cogroup(near.groupBy("city_", "hole_id_")).applyInPandas(cut, schema)
 
 
 def produce_blocks(lines: DataFrame, extents: DataFrame, land: DataFrame | None = None, water: DataFrame | None = None, least: float = 700.0, tiles: tuple[float, ...] = (2_000.0, 16_000.0)) -> DataFrame:
