@@ -248,4 +248,4 @@ def ranked_shares(spark, d):
     w = Window.orderBy(F.desc("weight"), "p_brand")
     per = table(spark, d, "part").groupBy("p_brand").agg(F.sum("p_size").alias("weight"))
     running = F.sum("weight").over(w.rowsBetween(Window.unboundedPreceding, 0))
-    return rounded(per.select("p_brand", "weight", F.row_number().over(w).alias("place"), ratio(running, F.sum("weight").over(Window.partitionBy())).alias("cumulative")))
+    return rounded(per.select("p_brand", "weight", F.row_number().over(w).cast("long").alias("place"), ratio(running, F.sum("weight").over(Window.partitionBy())).alias("cumulative")))
