@@ -23,7 +23,7 @@ def _schema(**columns: str) -> T.StructType:
 # The columns of the layers, which other programs read and write.
 LAYERS: dict[str, T.StructType] = {
     "city_list": _schema(city_name="string", country_name="string"),
-    "conventions": _schema(combined_city_name="string", city_name_wri="string"),
+    "conventions": _schema(combined_city_name="string", convention_name="string"),
     "search_buffer": _schema(city_name="string", csv_city_raw="string", csv_country_raw="string", csv_city_key="string", match_method="string", row_index="long", geometry="binary"),
     "urban_extent": _schema(city_name="string", source="string", geometry="binary"),
     "roads": _schema(osmid="string", u="long", v="long", highway="string", geometry="binary"),
