@@ -187,6 +187,14 @@ def city_name_keys(spark, d):
     return p.select("doc_id", N.name_key(F.col("name")).alias("name_key"), N.folder_token(F.col("name")).alias("token"), N.join_key(F.col("name")).alias("join_key"))
 
 
+@query()
+def text_name_keys(spark, d):
+    """Keys of every phrase of every text, up to its end; phrases end at a line, a bar or a full stop."""
+    every = F.posexplode(F.split(F.coalesce("text", F.lit("")), "[\n|.]")).alias("phrase", "name")
+    p = table(spark, d, "documents").select("doc_id", every)
+    return p.select("doc_id", "phrase", N.name_key(F.col("name")).alias("name_key"), N.folder_token(F.col("name")).alias("token"), N.join_key(F.col("name")).alias("join_key"))
+
+
 @query("SELECT n_nationkey, replace(n_name, ' ', '_') || '__' || replace(r_name, ' ', '_') AS folder FROM nation JOIN region ON n_regionkey = r_regionkey")
 def city_folders(spark, d):
     both = table(spark, d, "nation").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
