@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import uuid
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,11 +39,14 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_without_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without documents that have no letter, and those of 20 characters or more that are like none of the languages
-    of the table."""
+    of the table. Where no language can be learned, as with lang null in every row, all with a letter stay."""
     profiles = langid.train(docs, langid.Space())
+    learned = bool(profiles.langs)
+    if not learned:
+        profiles = langid.Profiles(profiles.space, ["any"], np.zeros((1, profiles.space.dim)))
     tagged = langid.identify(docs.select(F.struct(*docs.columns).alias("doc"), F.col("text").alias("doc_text")), profiles, ["doc"], text_col="doc_text")
     length = F.length(F.col("doc.text").cast("string"))
-    least = F.coalesce(*[F.when(length >= n, cosine) for n, cosine in LEAST_COSINES], F.lit(-1.0))
+    least = F.coalesce(*[F.when(length >= n, cosine) for n, cosine in LEAST_COSINES if learned], F.lit(-1.0))
     return tagged.where((F.col("lang_pred") != "und") & (F.col("lang_cosine") >= least)).select("doc.*")
 
 

@@ -26,3 +26,9 @@ def test_planted_go_and_real_ones_stay(spark, sf):
     row = row.withColumns({"doc_id": F.col("id").cast(docs.schema["doc_id"].dataType), "text": F.col("t"), "lang": F.lit(None).cast("string")})
     out = C.drop_without_language(spark, docs.unionByName(row.select(docs.columns)), "")
     assert sorted(r.doc_id for r in out.select("doc_id").collect()) == sorted(r.doc_id for r in docs.select("doc_id").collect())
+
+
+def test_without_any_language_all_with_a_letter_stay(spark):
+    rows = [(1, "and the there of in this or with " * 8, None), (2, "été", None), (3, "12 34", None), (4, None, None), (5, gibberish(300), None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert sorted(r.doc_id for r in C.drop_without_language(spark, docs, "").collect()) == [1, 2, 5]
