@@ -81,17 +81,35 @@ class Classifier:
         return 1 / (1 + np.exp(-np.clip(self.margins(texts), -500, 500)))
 
 
-def once(rows: list[np.ndarray], k: int = 8) -> list[np.ndarray]:
-    """``rows`` without those that share half of their ``k`` least features with a row kept before."""
-    kept, holders = [], {}
+def once(rows: list[np.ndarray]) -> list[np.ndarray]:
+    """``rows`` without those whose features have a Jaccard similarity of 0.8 or more with those of a row kept before.
+
+    Rows that similar share one of the rarest fifth and one more of the features of either, so that only rows with one
+    of these in common are compared, on all their features.
+    """
+    if not rows:
+        return []
+    names, inverse, count = np.unique(np.concatenate(rows), return_inverse=True, return_counts=True)
+    rank = np.empty(len(names), np.int32)
+    rank[np.lexsort((names, count))] = np.arange(len(names))
+    kept, ranks, sizes, holders, start = [], [], [], {}, 0
+    mine = np.zeros(len(names), bool)
     for f in rows:
-        sketch = f[:k].tolist()
-        seen = Counter(i for h in sketch for i in holders.get(h, ()))
-        if sketch and seen and max(seen.values()) * 2 >= len(sketch):
+        n = len(f)
+        r = np.sort(rank[inverse[start : start + n]])
+        start += n
+        rare = r[: n // 5 + 1].tolist()
+        near = set().union(*[holders[h] for h in rare if h in holders])
+        mine[r] = True
+        copy = any(4 * n <= 5 * sizes[i] and 4 * sizes[i] <= 5 * n and 9 * np.count_nonzero(mine[ranks[i]]) >= 4 * (n + sizes[i]) for i in near)
+        mine[r] = False
+        if copy:
             continue
-        for h in sketch:
+        for h in rare:
             holders.setdefault(h, []).append(len(kept))
         kept.append(f)
+        ranks.append(r)
+        sizes.append(n)
     return kept
 
 
