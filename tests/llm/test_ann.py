@@ -1,4 +1,6 @@
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 
 from blockloom.llm import ann as A
@@ -57,6 +59,68 @@ def test_few_and_none(spark):
     assert A.search(few.limit(0)).count() == 0
 
 
+def test_many_copies_of_one_id_hide_no_other(spark):
+    rng = np.random.default_rng(3)
+    v = rng.standard_normal((12, 8)).round(3).tolist()
+    rows = [(50, v[0], "", "")] + [(1, v[1], "", "")] * 3000 + [(i, v[i], "", "") for i in range(2, 12)]
+    got = A.search(spark.createDataFrame(rows, SCHEMA)).toPandas().sort_values("rank")
+    ids, x = np.array([50, *range(1, 12)]), np.array(v, np.float32).astype(float)
+    assert list(zip(got.vec_id, got.score)) == brute(ids, x, 50, 5)[50]
+
+
+def test_repeated_ids_with_different_vectors(spark):
+    rows = [(50, [0.0, 1.0], "", ""), (50, [1.0, 0.0], "", ""), (50, [1.0, 0.0], "", ""), (1, [0.0, 1.0], "", ""), (1, [1.0, 0.0], "", ""), (2, [1.0, 1.0], "", ""), (3, [0.0, 2.0], "", "")]
+    got = A.search(spark.createDataFrame(rows, SCHEMA)).toPandas().sort_values("rank")
+    first = min(([0.0, 1.0], [1.0, 0.0]), key=lambda x: np.array(x, "<f8").tobytes())
+    assert first == [0.0, 1.0]
+    assert got.vec_id.tolist() == [1, 3, 2] and got.score.round(9).tolist() == [1.0, 1.0, round(0.5**0.5, 9)]
+
+
+@pytest.fixture(scope="module")
+def many(spark, tmp_path_factory):
+    """60,000 vectors in loose clusters: a sixth equal, a tenth near copies, some ids repeated."""
+    rng = np.random.default_rng(11)
+    centres = rng.standard_normal((300, 64))
+    v = centres[rng.integers(300, size=60_000)] + 1.2 * rng.standard_normal((60_000, 64))
+    v[20_000:30_000] = v[77]
+    v[30_000:36_000] = v[:6_000] + 0.02 * rng.standard_normal((6_000, 64))
+    v, ids = v.astype(np.float32), np.arange(60_000)
+    ids[59_000:] = ids[100]
+    v[59_000:] = v[100]
+    at = str(tmp_path_factory.mktemp("many") / "embeddings.parquet")
+    pq.write_table(pa.table({"vec_id": ids, "embedding": pa.array(list(v), pa.list_(pa.float32()))}), at, row_group_size=8_000)
+    once = np.unique(ids, return_index=True)[1]
+    x = v[once].astype(float)
+    turned, want = A.unit(x).T, {}
+    for q in range(0, len(once), 50):
+        score = np.round(A.unit(x[q : q + 1]) @ turned, 12)[0]
+        score[q] = -2
+        near = np.lexsort((ids[once], -score))[:5]
+        want[q] = list(zip(ids[once][near].tolist(), score[near].tolist()))
+    return spark.read.parquet(at), want
+
+
+def test_recall_of_the_scan_on_many(many):
+    got = A.search(many[0], block=4_096).toPandas()
+    assert set(got.query_id) == set(many[1]) and (got.groupby("query_id").size() == 5).all()
+    found = recall(got, many[1])
+    print("recall", found)
+    assert found >= 0.95
+    equal = got[(got.query_id > 20_004) & (got.query_id < 30_000)].sort_values(["query_id", "rank"])
+    assert equal.groupby("query_id").vec_id.agg(list).map(tuple).nunique() == 1  # ties to the smaller ids
+
+
+def test_answers_come_from_the_scan(many, monkeypatch):
+    """Where the tests reject all they can, hardly anything is found."""
+    assert recall(A.search(many[0], eps=-4.0).toPandas(), many[1]) < 0.5
+    rng = np.random.default_rng(2)
+    q, v = rng.standard_normal((3, 16)), rng.standard_normal((500, 16))
+    args = (np.arange(3), q, np.full(3, np.inf), np.arange(500), v, np.eye(16), 5, 4, 2.1)
+    assert len(A.search_block(*args)[0]) == 15
+    monkeypatch.setattr(A, "scan", lambda *_: (np.empty(0, np.int64), np.empty(0, np.int64)))
+    assert len(A.search_block(*args)[0]) == 0
+
+
 def test_scan_abandons_only_far_candidates():
     rng = np.random.default_rng(1)
     q, v = A.unit(rng.standard_normal((20, 64))), A.unit(rng.standard_normal((5000, 64)))
