@@ -1,9 +1,10 @@
 """Media columns: a Spark data source over archives of media members, and 8-bit images that hold texts.
 
 An archive is a file of members one after the other, then a directory of fixed-width entries (offset, length,
-checksum, key, aux), then a footer. A folder of archives has a manifest, written when a job commits, so that what
-failed or repeated tasks leave behind is never read. The planner looks at the manifest alone (or at the footers,
-without one) and cuts each directory into byte ranges, whose number follows the bytes of the archive. A task reads its
+checksum, key, aux), then a footer. Each job that commits adds a manifest to the folder, so that what failed or repeated
+tasks leave behind is never read; one that overwrites adds a manifest that hides those before it. The planner looks at
+the manifests alone (or at the footers, where there is none) and cuts each directory into byte ranges, whose number
+follows the bytes of the archive. A task reads its
 range of the directory, then runs of neighbouring members at once, and hands them on in Arrow batches of bounded size.
 A member that arrives short or with a wrong checksum is read again on its own, by its offset.
 
@@ -14,6 +15,7 @@ from __future__ import annotations
 
 import json
 import math
+import re
 import struct
 import time
 import uuid
@@ -32,7 +34,7 @@ from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSource
 from ._shared import shared_path, table
 
 FORMAT = "blockloom_archive"
-MANIFEST = "_members.json"
+MANIFEST = re.compile(r"_members-(\d{8})-[0-9a-f]{32}\.json")  # the order of commits, and a name of its own
 ENTRY = struct.Struct("<QQIIqq")  # offset, length, crc32, 1 if the key is null, key, aux
 FOOTER = struct.Struct("<QQ8s")  # directory offset, members, magic
 MAGIC = b"BLKARC01"
@@ -69,9 +71,15 @@ class Range(InputPartition):
         InputPartition.__init__(self, None)
 
 
+def manifests(fs: pafs.FileSystem, folder: str) -> list[tuple[int, str]]:
+    """The order and the path of each manifest of a folder."""
+    found = [(MANIFEST.fullmatch(i.base_name), i.path) for i in fs.get_file_info(pafs.FileSelector(folder, allow_not_found=True))]
+    return sorted((int(m[1]), path) for m, path in found if m)
+
+
 class ArchiveWriter(DataSourceArrowWriter):
-    def __init__(self, path: str, roll: int):
-        self.path, self.roll = path, roll
+    def __init__(self, path: str, roll: int, overwrite: bool = False):
+        self.path, self.roll, self.overwrite = path, roll, overwrite
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
         fs, folder = open_folder(self.path)
@@ -105,9 +113,17 @@ class ArchiveWriter(DataSourceArrowWriter):
     def commit(self, messages: list[Written | None]) -> None:
         fs, folder = open_folder(self.path)
         fs.create_dir(folder, recursive=True)
-        kept = [vars(a) for m in messages if m for a in m.archives]
-        with fs.open_output_stream(f"{folder}/{MANIFEST}") as out:
+        before = manifests(fs, folder)
+        order, own = (before[-1][0] if before else 0) + 1, uuid.uuid4().hex
+        kept = {"replaces": self.overwrite, "archives": [vars(a) for m in messages if m for a in m.archives]}
+        with fs.open_output_stream(f"{folder}/_part-{own}") as out:
             out.write(json.dumps(kept).encode())
+        fs.move(f"{folder}/_part-{own}", f"{folder}/_members-{order:08}-{own}.json")
+        if self.overwrite:  # what no manifest names any more
+            for _, path in before:
+                for a in json.loads(fs.open_input_stream(path).read())["archives"]:
+                    fs.delete_file(f"{folder}/{a['name']}")
+                fs.delete_file(path)
 
     def abort(self, messages: list[Written | None]) -> None:
         fs, folder = open_folder(self.path)
@@ -145,9 +161,13 @@ class ArchiveReader(DataSourceReader):
 
     def archives(self) -> list[Archive]:
         fs, folder = open_folder(self.path)
-        if fs.get_file_info(f"{folder}/{MANIFEST}").type == pafs.FileType.File:
-            return [Archive(**a) for a in json.loads(fs.open_input_stream(f"{folder}/{MANIFEST}").read())]
-        found = []
+        found: list[Archive] = []
+        named = manifests(fs, folder)
+        for _, path in named:
+            commit = json.loads(fs.open_input_stream(path).read())
+            found = ([] if commit["replaces"] else found) + [Archive(**a) for a in commit["archives"]]
+        if named:
+            return found
         for info in fs.get_file_info(pafs.FileSelector(folder)):
             if info.base_name.endswith(".arc"):
                 directory, members, magic = FOOTER.unpack(read_range(fs, info.path, info.size - FOOTER.size, FOOTER.size))
@@ -218,13 +238,16 @@ class ArchiveSource(DataSource):
     def writer(self, schema: T.StructType, overwrite: bool) -> ArchiveWriter:
         if schema.names != STORED.names:
             raise ValueError(f"archives take the columns {STORED.names}")
-        return ArchiveWriter(self.options["path"], int(self.options.get("roll_bytes", 256 << 20)))
+        return ArchiveWriter(self.options["path"], int(self.options.get("roll_bytes", 256 << 20)), overwrite)
+
 
+def write_archives(members: DataFrame, path: str, mode: str = "append") -> None:
+    """Store key (long or null), aux (long) and media (null: empty) of each row, in the order of its partition.
 
-def write_archives(members: DataFrame, path: str) -> None:
-    """Store key (long or null), aux (long) and media (null: empty) of each row, in the order of its partition."""
+    ``append`` adds to the members of a folder, so that writing the same rows again doubles them; ``overwrite``
+    replaces them, so that a job that is run again leaves its rows once."""
     members.sparkSession.dataSource.register(ArchiveSource)
-    members.select("key", F.coalesce("aux", F.lit(0)).alias("aux"), "media").write.format(FORMAT).mode("append").save(path)
+    members.select("key", F.coalesce("aux", F.lit(0)).alias("aux"), "media").write.format(FORMAT).mode(mode).save(path)
 
 
 def read_archives(spark: SparkSession, path: str, **options: object) -> DataFrame:
