@@ -17,7 +17,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ._shared import SPACE, int_seed, slices, table
@@ -126,13 +126,16 @@ class Space:
         found = [gram_counts(t, self.n) for t in texts]
         sizes = np.array([int(k.sum()) for _, k in found])
         codes, inverse = np.unique(np.concatenate([c for c, _ in found]) if found else np.empty(0, np.int64), return_inverse=True)
-        counts = np.zeros(len(texts) * len(codes))
-        doc = np.repeat(np.arange(len(texts)), [len(c) for c, _ in found])
-        counts[doc * max(1, len(codes)) + inverse] = np.concatenate([k for _, k in found]) if found else []
-        counts = np.sqrt(counts.reshape(len(texts), len(codes)).astype(np.float32))
+        order = np.argsort(inverse, kind="stable")  # by n-gram, so that each block of them is a slice
+        at_gram = inverse[order]
+        doc = np.repeat(np.arange(len(texts)), [len(c) for c, _ in found])[order]
+        root = np.sqrt(np.concatenate([k for _, k in found])[order].astype(np.float32)) if found else np.empty(0, np.float32)
         out = np.zeros((len(texts), self.dim), np.float32)
         for at in range(0, len(codes), at_once):
-            out += counts[:, at : at + at_once] @ self.bind(codes[at : at + at_once])
+            lo, hi = np.searchsorted(at_gram, (at, at + at_once))
+            block = np.zeros((len(texts), min(at_once, len(codes) - at)), np.float32)
+            block[doc[lo:hi], at_gram[lo:hi] - at] = root[lo:hi]
+            out += block @ self.bind(codes[at : at + at_once])
         norm = np.sqrt((out.astype(np.float64) ** 2).sum(axis=1))
         return (out / np.maximum(norm, 1e-9)[:, None]).astype(np.float32), sizes
 
@@ -178,16 +181,19 @@ class Profiles:
 
 
 def train(labelled: DataFrame, space: Space, per_lang: int = 4_000, text_col: str = "text", lang_col: str = "lang") -> Profiles:
-    """Prototypes from rows with a text and a language, at most about ``per_lang`` rows of each, chosen by a hash of
-    the text alone. Rows with a null text or language are not learned from; no rows give no languages."""
+    """Prototypes from rows with a text and a language, at most ``per_lang`` texts of each, chosen by a hash of the
+    text alone; equal texts of a language count once. Rows with a null text or language are not learned from; no rows
+    give no languages."""
     rows = labelled.select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).where("text is not null and lang is not null")
     counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not counts:
         return Profiles(space, [], np.empty((0, space.dim)))
     spark = labelled.sparkSession
-    million = 1_000_000
-    shares = spark.createDataFrame([(x, min(million, -(-per_lang * million // n))) for x, n in counts.items()], "lang string, share long")
-    some = rows.join(F.broadcast(shares), "lang").where(F.pmod(F.xxhash64("text"), F.lit(million)) < F.col("share")).select("text", "lang")
+    scale = 10**12
+    shares = spark.createDataFrame([(x, min(scale, -(-per_lang * scale // n))) for x, n in counts.items()], "lang string, share long")
+    some = rows.join(F.broadcast(shares), "lang").where(F.pmod(F.xxhash64("text"), F.lit(scale)) < F.col("share")).select("text", "lang")
+    by_hash = Window.partitionBy("lang").orderBy(F.xxhash64("text"), "text")
+    some = some.dropDuplicates(["lang", "text"]).withColumn("place", F.row_number().over(by_hash)).where(F.col("place") <= per_lang).select("text", "lang")
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}

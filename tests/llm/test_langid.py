@@ -67,3 +67,12 @@ def test_null_empty_long_and_clashing(spark):
     none = L.train(spark.createDataFrame(rows, ROWS).limit(0), space)
     assert [r.lang_pred for r in L.identify(docs, none, ["doc_id"]).collect()] == ["und"] * 6
     assert L.identify(docs.limit(0), model, ["doc_id"]).count() == 0
+
+
+def test_copies_count_once(spark):
+    space = L.Space(dim=256)
+    rows = [(i, "the dog", "en", "x") for i in range(500)] + [(500, "a quite other line", "en", "x"), (501, "der hund", "de", "x")]
+    model = L.train(spark.createDataFrame(rows, ROWS), space)
+    v, _ = space.bundle(["the dog", "a quite other line"])
+    want = v.astype(float).sum(axis=0)
+    assert np.allclose(model.vectors[model.langs.index("en")], want / np.linalg.norm(want), atol=1e-6)
