@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import table
+from ._shared import SPACE, slices, table
 
 TOKEN = re.compile(r"\w+|[^\w\s]+")
 HEADS = (4, 5, 6)
@@ -38,9 +38,17 @@ def word_features(word: str) -> tuple[int, ...]:
     return (zlib.crc32(word.encode("utf-8", "surrogatepass")), *(zlib.crc32(b"<" + word[:n].encode("utf-8", "surrogatepass")) for n in HEADS if len(word) > n))
 
 
+def words(text: str) -> set[str]:
+    """The distinct words and runs of marks of a text, which is read in bounded parts."""
+    found: set[str] = set()
+    for part in slices(text, SPACE):
+        found.update(TOKEN.findall(part.lower()))
+    return found
+
+
 def features(text: str) -> np.ndarray:
     """The distinct features of a text, in ascending order."""
-    found = {h for w in set(TOKEN.findall(text.lower())) for h in word_features(w)}
+    found = {h for w in words(text) for h in word_features(w)}
     return np.array(sorted(found), np.uint32)
 
 
@@ -72,7 +80,7 @@ class Classifier:
         known, get = self.known, self.weights.__getitem__
         z = np.empty(len(texts))
         for i, text in enumerate(texts):
-            own = set(itertools.chain.from_iterable(map(known.__getitem__, set(TOKEN.findall((text or "").lower())))))
+            own = set(itertools.chain.from_iterable(map(known.__getitem__, words(text or ""))))
             z[i] = self.bias + sum(map(get, sorted(own)))
         return z
 
@@ -222,31 +230,34 @@ def train(
 ) -> Classifier:
     """Learn from ``labels`` (1: confirmed toxic) of the rows given, and from all of ``docs`` as unlabelled texts.
 
-    At most about ``max_positive`` toxic and ``max_unlabelled`` unlabelled texts are read, chosen by a hash of the
-    text. The class prior is the share of label 1 among labelled documents. An id with several labels counts as
-    toxic if one of them is 1; null ids, texts and labels are not learned from.
+    At most ``max_positive`` toxic texts are read, of ids chosen by their hash before any text is joined, and at most
+    ``max_unlabelled`` unlabelled ones, chosen by a hash of the text; equal texts count once. The class prior is the
+    share of label 1 among labelled documents. An id with several labels counts as toxic if one of them is 1; null
+    ids, texts and labels are not learned from.
     """
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("text is not null")
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     known = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("y")).where("id is not null and y is not null")
     known = known.groupBy("id").agg(F.max("y").alias("y"))
     n, n_toxic = known.agg(F.count("*"), F.coalesce(F.sum((F.col("y") == 1).cast("int")), F.lit(0))).first()
-    n_texts = texts.count()
+    n_texts = texts.where("text is not null").count()
     if not n_toxic or not n_texts:
         return fit([], [], 0.0)
-    million = 1_000_000
-    share = lambda most, of: F.pmod(F.xxhash64("text"), F.lit(million)) < min(million, -(-most * million // of))
-    toxic = texts.join(known.where("y = 1").select("id"), "id", "left_semi").where(share(max_positive, n_toxic)).select("text")
-    some = texts.where(share(max_unlabelled, n_texts)).select("text")
+    present = known.where("y = 1").join(texts.select("id"), "id", "left_semi").select("id")
+    chosen = present.orderBy(F.xxhash64("id"), "id").limit(max_positive)
+    toxic = texts.join(F.broadcast(chosen), "id", "left_semi")  # at most max_positive ids
+    scale = 10**12
+    some = texts.where(F.pmod(F.xxhash64("text"), F.lit(scale)) < min(scale, -(-max_unlabelled * scale // n_texts)))
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             yield pa.RecordBatch.from_arrays([pa.array([features(t.as_py()).tobytes() for t in b.column(0)], pa.binary())], names=["f"])
 
-    def rows(df: DataFrame) -> list[np.ndarray]:
-        found = df.mapInArrow(hashed, "f binary").toArrow()["f"]
+    def rows(df: DataFrame, most: int) -> list[np.ndarray]:
+        once_each = df.where("text is not null").select("text").dropDuplicates()
+        found = once_each.mapInArrow(hashed, "f binary").orderBy(F.xxhash64("f"), "f").limit(most).toArrow()["f"]
         return [np.frombuffer(f, np.uint32) for f in sorted(x.as_py() for chunk in found.chunks for x in chunk)]
 
-    return fit(rows(toxic), rows(some), n_toxic / n)
+    return fit(rows(toxic, max_positive), rows(some, max_unlabelled), n_toxic / n)
 
 
 def score(docs: DataFrame, model: Classifier, keep: list[str], text_col: str = "text", score_col: str = "score") -> DataFrame:

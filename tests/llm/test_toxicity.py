@@ -1,6 +1,8 @@
+import math
 import zlib
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from blockloom.llm import toxicity as X
 
@@ -74,3 +76,57 @@ def test_null_empty_repeated_and_clashing(spark):
     for d, y in ((docs.limit(0), labels), (docs, labels.limit(0))):
         assert (X.score(docs, X.train(d, y), ["doc_id"]).toPandas().score < 0.7).all()
     assert X.score(docs.limit(0), model, ["doc_id"]).count() == 0
+
+
+def test_a_text_that_fills_half_the_table_is_read_once(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(X, "fit", lambda p, u, prior: seen.append((len(p), len(u), prior)))
+    docs = spark.range(20_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 2 == 0, "scum again").otherwise(F.concat(F.lit("w"), "id")).alias("text"))
+    labels = spark.range(0, 20_000, 5).select(F.col("id").alias("doc_id"), (F.col("id") % 10 == 5).cast("int").alias("toxic"))
+    X.train(docs, labels, max_positive=150, max_unlabelled=400)
+    X.train(docs.unionByName(docs), labels, max_positive=10_000, max_unlabelled=100_000)
+    X.train(docs, labels.withColumn("toxic", F.lit(1)), max_positive=5_000, max_unlabelled=5_000)
+    assert seen[0][0] == 150 and 100 < seen[0][1] <= 400 and seen[0][2] == 0.5
+    assert seen[1] == (2_000, 10_001, 0.5)
+    assert seen[2][0] == 2_001 and seen[2][1] <= 5_000
+
+
+def loss(P, U, w, b, prior):
+    """The positive and the negative part of the risk, by loops."""
+    z = lambda row: b + sum(w[j] for j in row)
+    minus = lambda x: math.log1p(math.exp(-x))
+    positive = prior * sum(minus(z(r)) for r in P) / len(P)
+    return positive, sum(minus(-z(r)) for r in U) / len(U) - prior * sum(minus(-z(r)) for r in P) / len(P)
+
+
+def test_descend_follows_the_risk_and_ascends_where_its_negative_part_is_negative():
+    """Every step again by finite differences of the risk."""
+    rng = np.random.default_rng(4)
+    n, decay, rate = 4, 1e-3, 0.1
+    P = [[0, 1], [0], [0, 2], [1]]
+    U = [sorted(rng.choice(4, rng.integers(0, 3), replace=False).tolist()) for _ in range(12)]
+    to_sparse = lambda rows: (np.repeat(np.arange(len(rows)), list(map(len, rows))), np.array([j for r in rows for j in r]), len(rows))
+    for prior in (0.2, 0.9):
+        w, b, m, v, ascents = np.zeros(n), 0.0, np.zeros(n + 1), np.zeros(n + 1), 0
+        for step in range(1, 61):
+            def part(x, up):
+                positive, negative = loss(P, U, x[:n], x[n], prior)
+                return -negative if up else positive + negative
+
+            x = np.append(w, b)
+            up = loss(P, U, w, b, prior)[1] < 0
+            ascents += up
+            h = 1e-6
+            g = np.array([(part(x + h * e, up) - part(x - h * e, up)) / (2 * h) for e in np.eye(n + 1)])
+            g[:n] += decay * w
+            m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
+            x = x - rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
+            w, b = np.maximum(0, x[:n]), x[n]
+        got_w, got_b = X.descend(to_sparse(P), to_sparse(U), n, prior, 60, rate, decay)
+        assert np.allclose(got_w, w, atol=1e-3) and abs(got_b - b) < 1e-3
+        assert (ascents > 0) == (prior == 0.9)
+
+
+def test_long_texts_are_read_in_parts():
+    text = "Scum, " + "filler words and more " * 120_000 + " VERMIN!!"
+    assert X.words(text) == set(X.TOKEN.findall(text.lower()))
