@@ -1,6 +1,7 @@
 """Personal data: fixed patterns, and a linear-chain conditional random field over word shapes that adds spans.
 
-The field labels the blank-separated tokens of each line with a kind or with none. A token's features are its shape
+The field labels the tokens of each line, blank-separated and cut after commas, semicolons and bars, with a kind or
+with none. A token's features, all of the whole token, are its shape
 (letters, digits and marks, with the lengths of runs), its number of digits and whether it is one of a few cue words;
 its neighbours' coarser shapes count as well. Weights are trained by maximum likelihood from a small labelled table
 that a rule writes; lines are decoded by Viterbi, many at once in numpy. Spans of the field are kept where they touch
@@ -9,6 +10,7 @@ no span of the patterns and hold what their kind needs (enough digits, a valid c
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import re
 from collections.abc import Iterator
@@ -19,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import table
+from ._shared import SPACE, slices, table
 
 KINDS = ("email", "ip", "card", "phone")
 Span = tuple[str, int, int]
@@ -79,20 +81,22 @@ def written(spans: list[Span]) -> str:
 CUES = frozenset("at dot (at) [at] (dot) [dot] mail email e-mail phone tel tel. call fax mobile card visa ip host address version page since until room".split())
 
 
+class Kinds(dict):
+    """For ``str.translate``: the character that stands for each code point's class."""
+
+    def __missing__(self, point: int) -> str:
+        c = chr(point)
+        kind = self[point] = "d" if c.isdigit() else "X" if c.isupper() else "x" if c.isalpha() else c
+        return kind
+
+
+_kinds = Kinds()
+RUN = re.compile(r"(.)\1*", re.S)
+
+
 def shape(token: str) -> str:
-    """Runs of capitals (X), letters (x) and digits (d) with lengths up to 5, marks as they are; 16 runs at most."""
-    out: list[str] = []
-    last, n = "", 0
-    for c in token[:64]:
-        kind = "d" if c.isdigit() else "X" if c.isupper() else "x" if c.isalpha() else c
-        if kind == last:
-            n += 1
-            continue
-        if last:
-            out.append(last + (str(min(n, 5)) if last in "dXx" else ""))
-        last, n = kind, 1
-    out.append(last + (str(min(n, 5)) if last in "dXx" else ""))
-    return "".join(out[:16])
+    """Runs of capitals (X), letters (x) and digits (d) with lengths up to 5, runs of a mark as one."""
+    return RUN.sub(lambda m: m[1] + (str(min(len(m[0]), 5)) if m[1] in "dXx" else ""), token.translate(_kinds))
 
 
 def coarse(token: str) -> str:
@@ -101,13 +105,13 @@ def coarse(token: str) -> str:
 
 
 def digits_of(token: str) -> str:
-    n = sum(c.isdigit() for c in token[:64])
+    n = sum(map(str.isdigit, token))
     return str(n) if n < 5 else "5-6" if n < 7 else "7-9" if n < 10 else "10-11" if n < 12 else "12-19" if n < 20 else "20+"
 
 
 def own_features(token: str) -> list[str]:
     low = token.lower().strip(",;:!?")
-    out = ["bias", "shape=" + shape(token), "coarse=" + coarse(token), "digits=" + digits_of(token), "dots=" + str(min(4, token[:64].count(".")))]
+    out = ["bias", "shape=" + shape(token), "coarse=" + coarse(token), "digits=" + digits_of(token), "dots=" + str(min(4, token.count(".")))]
     return out + ["cue=" + low] * (low in CUES)
 
 
@@ -175,20 +179,12 @@ def pack(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(([0], np.cumsum(active)))[:-1].astype(np.int64), active
 
 
-class Kinds(dict):
-    """For ``str.translate``: the character that stands for each code point's class in signatures."""
-
-    def __missing__(self, point: int) -> str:
-        c = chr(point)
-        kind = self[point] = "d" if c.isdigit() else "X" if c.isupper() else "x" if c.isalpha() else c
-        return kind
-
-
 class Caches:
-    """Rows of scores by token. Tokens with the same classes and cue share a row; both maps are bounded."""
+    """Rows of scores by token. Tokens with the same classes and cue share a row; both maps are bounded, and hold of
+    tokens above 256 characters only a digest."""
 
     def __init__(self, vector):
-        self.vector, self.kinds = vector, Kinds()
+        self.vector = vector
         self.clear()
 
     def clear(self) -> None:
@@ -198,14 +194,18 @@ class Caches:
 
     def add(self, token: str) -> int:
         low = token.lower().strip(",;:!?")
-        signature = token[:64].translate(self.kinds), low if low in CUES else ""
+        classes = token.translate(_kinds)
+        if len(token) > 256:
+            classes = hashlib.sha256(classes.encode("utf-8", "surrogatepass")).hexdigest()
+        signature = classes, low if low in CUES else ""
         row = self.signatures.get(signature)
         if row is None:
             row = self.signatures[signature] = len(self.signatures)
             if row == len(self.rows):
                 self.rows = np.vstack((self.rows, np.zeros_like(self.rows)))
             self.rows[row] = self.vector(token)
-        self.ids[token] = row
+        if len(token) <= 256:
+            self.ids[token] = row
         return row
 
     def lookup(self, tokens: list[str]) -> np.ndarray:
@@ -297,37 +297,44 @@ class Field:
                 now[:a] = back[offset[t] + np.arange(a), now[:a]]
 
 
-def train(lines: list[tuple[list[str], list[int]]], steps: int = 150, rate: float = 0.15, decay: float = 1e-3) -> Field:
-    """Maximum likelihood by Adam, gradients by the forward-backward pass over all lines at once."""
-    lines = sorted((x for x in lines if x[0]), key=lambda x: -len(x[0]))
-    n, k, width = len(lines), len(LABELS), max(len(t) for t, _ in lines)
-    names: dict[tuple[int, str], int] = {}
-    rows, columns = [], []
-    for i, (tokens, _) in enumerate(lines):
-        for t, token in enumerate(tokens):
-            seen = [(0, f) for f in own_features(token)]
-            seen += [(1, f) for f in side_features(tokens[t - 1])] if t else []
-            seen += [(2, f) for f in side_features(tokens[t + 1])] if t + 1 < len(tokens) else []
-            rows += [i * width + t] * len(seen)
-            columns += [names.setdefault(s, len(names)) for s in seen]
-    rows, columns = np.array(rows), np.array(columns)
-    gold, mask = np.zeros((n, width), int), np.zeros((n, width), bool)
-    for i, (_, labels) in enumerate(lines):
-        gold[i, : len(labels)], mask[i, : len(labels)] = labels, True
-    lengths = mask.sum(axis=1)
-    one = np.eye(k)[gold] * mask[:, :, None]
-    size = len(names) * k
-    w = np.zeros(size + k * k + k)
-    m, v = np.zeros_like(w), np.zeros_like(w)
-    pairs = np.einsum("ita,itb->ab", one[:, :-1], one[:, 1:])
-    each = np.arange(n)
-
-    def logsum(x: np.ndarray, axis: int) -> np.ndarray:
-        top = x.max(axis=axis, keepdims=True)
-        return np.squeeze(top, axis) + np.log(np.exp(x - top).sum(axis=axis))
-
-    for step in range(1, steps + 1):
-        W, A, B = w[:size].reshape(-1, k), w[size : size + k * k].reshape(k, k), w[size + k * k :]
+def logsum(x: np.ndarray, axis: int) -> np.ndarray:
+    top = x.max(axis=axis, keepdims=True)
+    return np.squeeze(top, axis) + np.log(np.exp(x - top).sum(axis=axis))
+
+
+class Likelihood:
+    """The mean negative log-likelihood of labelled lines with an L2 penalty, and its gradient, by forward-backward.
+
+    A point ``w`` holds the weights of ``names`` for each label, then those of transitions, then those of starts."""
+
+    def __init__(self, lines: list[tuple[list[str], list[int]]], decay: float):
+        lines = sorted((x for x in lines if x[0]), key=lambda x: -len(x[0]))
+        n, k, width = len(lines), len(LABELS), max(len(t) for t, _ in lines)
+        self.names: dict[tuple[int, str], int] = {}
+        rows, columns = [], []
+        for i, (tokens, _) in enumerate(lines):
+            for t, token in enumerate(tokens):
+                seen = [(0, f) for f in own_features(token)]
+                seen += [(1, f) for f in side_features(tokens[t - 1])] if t else []
+                seen += [(2, f) for f in side_features(tokens[t + 1])] if t + 1 < len(tokens) else []
+                rows += [i * width + t] * len(seen)
+                columns += [self.names.setdefault(s, len(self.names)) for s in seen]
+        self.rows, self.columns = np.array(rows), np.array(columns)
+        gold, self.mask = np.zeros((n, width), int), np.zeros((n, width), bool)
+        for i, (_, labels) in enumerate(lines):
+            gold[i, : len(labels)], self.mask[i, : len(labels)] = labels, True
+        self.lengths, self.shape, self.decay = self.mask.sum(axis=1), (n, width, k), decay
+        self.one = np.eye(k)[gold] * self.mask[:, :, None]
+        self.pairs = np.einsum("ita,itb->ab", self.one[:, :-1], self.one[:, 1:])
+        self.size = len(self.names) * k
+
+    def parts(self, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        k = self.shape[2]
+        return w[: self.size].reshape(-1, k), w[self.size : self.size + k * k].reshape(k, k), w[self.size + k * k :]
+
+    def __call__(self, w: np.ndarray) -> tuple[float, np.ndarray]:
+        (n, width, k), mask, one, rows, columns = self.shape, self.mask, self.one, self.rows, self.columns
+        W, A, B = self.parts(w)
         E = np.stack([np.bincount(rows, W[columns, y], minlength=n * width) for y in range(k)], axis=1).reshape(n, width, k)
         alpha, beta = np.zeros((n, width, k)), np.zeros((n, width, k))
         alpha[:, 0] = E[:, 0] + B
@@ -336,19 +343,30 @@ def train(lines: list[tuple[list[str], list[int]]], steps: int = 150, rate: floa
         for t in range(width - 2, -1, -1):
             new = logsum(A + (E[:, t + 1] + beta[:, t + 1])[:, None, :], 2)
             beta[:, t] = np.where(mask[:, t + 1, None], new, 0)
-        z = logsum(alpha[each, lengths - 1], 1)
+        z = logsum(alpha[np.arange(n), self.lengths - 1], 1)
         p = np.exp(alpha + beta - z[:, None, None]) * mask[:, :, None]
         joint = np.exp(alpha[:, :-1, :, None] + A + (E[:, 1:] + beta[:, 1:])[:, :, None, :] - z[:, None, None, None]) * mask[:, 1:, None, None]
         over = (p - one).reshape(-1, k)
-        gW = np.stack([np.bincount(columns, over[rows, y], minlength=len(names)) for y in range(k)], axis=1)
-        g = np.concatenate((gW.ravel(), (joint.sum(axis=(0, 1)) - pairs).ravel(), (p[:, 0] - one[:, 0]).sum(axis=0))) / n + decay * w
+        gW = np.stack([np.bincount(columns, over[rows, y], minlength=len(self.names)) for y in range(k)], axis=1)
+        g = np.concatenate((gW.ravel(), (joint.sum(axis=(0, 1)) - self.pairs).ravel(), (p[:, 0] - one[:, 0]).sum(axis=0))) / n
+        told = (E * one).sum() + (A * self.pairs).sum() + (one[:, 0] * B).sum()
+        return float((z.sum() - told) / n + self.decay * (w * w).sum() / 2), g + self.decay * w
+
+
+def train(lines: list[tuple[list[str], list[int]]], steps: int = 150, rate: float = 0.15, decay: float = 1e-3) -> Field:
+    """Maximum likelihood by Adam, over all lines at once."""
+    risk = Likelihood(lines, decay)
+    w = np.zeros(risk.size + len(LABELS) * (len(LABELS) + 1))
+    m, v = np.zeros_like(w), np.zeros_like(w)
+    for step in range(1, steps + 1):
+        _, g = risk(w)
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         w = w - rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-    W = w[:size].reshape(-1, k)
+    W, A, B = risk.parts(w)
     tables: list[dict[str, np.ndarray]] = [{}, {}, {}]
-    for (place, name), i in names.items():
+    for (place, name), i in risk.names.items():
         tables[place][name] = W[i]
-    return Field(*tables, w[size : size + k * k].reshape(k, k), w[size + k * k :])
+    return Field(*tables, A, B)
 
 
 EDGES = ".,;:!?\"'()[]<>|"
@@ -383,6 +401,59 @@ def trim(text: str, a: int, b: int) -> tuple[int, int]:
 
 
 TOKEN = re.compile(r"\S+")
+INNER = re.compile(r"[,;|](?=[^\s,;|])")
+CUT = re.compile(r"(?<=[,;|])(?![,;|])(?!(?<=[0-9],)[0-9])")  # after marks of lists, but not within a number
+
+
+def words_of(line: str) -> list[str]:
+    """The tokens of a line: its blank-separated words, cut after commas, semicolons and bars."""
+    words = line.split()
+    if INNER.search(line):
+        return [part for w in words for part in CUT.split(w) if part]
+    return words
+
+
+def places_of(text: str, start: int, end: int) -> Iterator[tuple[int, int]]:
+    """Where the tokens of ``words_of`` are."""
+    for m in TOKEN.finditer(text, start, end):
+        at = m.start()
+        for part in CUT.split(m.group()):
+            if part:
+                yield at, at + len(part)
+                at += len(part)
+
+
+@dataclass
+class Part:
+    """A sequence: the tokens of ``start`` to ``end`` of a text, of which those from ``own`` to ``own_end`` are judged
+    here and the others are their context."""
+
+    text: int
+    start: int
+    end: int
+    own: int
+    own_end: int
+    tokens: int = 0
+
+
+def parts_of(text: str, number: int, size: int, context: int = 2_000) -> Iterator[Part]:
+    """A part for each line of a text. A line above ``size`` characters is cut at white space into parts of about
+    ``size``, each with ``context`` characters of the line on either side."""
+    at = 0
+    while at <= len(text):
+        stop = text.find("\n", at)
+        stop = len(text) if stop < 0 else stop
+        if stop - at <= size:
+            yield Part(number, at, stop, at, stop)
+        else:
+            own = at
+            for part in slices(text[at:stop], SPACE, size):
+                own_end = own + len(part)
+                before = SPACE.search(text, max(at, own - context), own) if own - context > at else None
+                after = SPACE.search(text, min(stop, own_end + context), stop)
+                yield Part(number, before.start() if before else own if own - context > at else at, after.start() if after else stop, own, own_end)
+                own = own_end
+        at = stop + 1
 
 
 def find(texts: list[str], model: Field, chars: int = 1_000_000) -> list[tuple[list[Span], list[Span]]]:
@@ -390,55 +461,67 @@ def find(texts: list[str], model: Field, chars: int = 1_000_000) -> list[tuple[l
     base = [base_spans(t) for t in texts]
     extra: list[list[Span]] = [[] for _ in texts]
     tokens: list[str] = []
-    where: list[tuple[int, int, int]] = []  # text, start of the line, tokens
+    where: list[Part] = []
     size = 0
 
     def decode() -> None:
         nonlocal size
         if where:
-            lengths = np.array([n for *_, n in where])
+            lengths = np.array([p.tokens for p in where])
             labels = model.label(tokens, lengths)
             starts = np.concatenate(([0], np.cumsum(lengths)))
             for i in np.unique(np.searchsorted(starts, np.flatnonzero(labels), side="right") - 1).tolist():
-                text_no, at, n = where[i]
-                extra[text_no] += line_spans(texts[text_no], at, labels[starts[i] : starts[i + 1]])
+                extra[where[i].text] += part_spans(texts[where[i].text], where[i], labels[starts[i] : starts[i + 1]])
         tokens.clear()
         where.clear()
         size = 0
 
     for i, text in enumerate(texts):
-        at = 0
-        for line in text.split("\n"):
-            words = line.split()
+        for part in parts_of(text, i, chars):
+            words = words_of(text[part.start : part.end])
             if words:
                 tokens += words
-                where.append((i, at, len(words)))
-                size += len(line)
-            at += len(line) + 1
+                part.tokens = len(words)
+                where.append(part)
+                size += part.end - part.start
             if size > chars:
                 decode()
     decode()
     out = []
     for b, e in zip(base, extra):
-        new = [s for s in e if all(s[2] <= x[1] or s[1] >= x[2] for x in b)]
+        new = outside(e, b)
         out.append((b, sorted(b + new, key=lambda s: (s[1], KINDS.index(s[0])))))
     return out
 
 
-def line_spans(text: str, at: int, labels: np.ndarray) -> list[Span]:
-    """Runs of equal labels on the line that starts at ``at``, as spans of the text."""
-    end = text.find("\n", at)
-    places = [m.span() for m in TOKEN.finditer(text, at, len(text) if end < 0 else end)]
-    out, i = [], 0
-    while i < len(labels):
-        j = i
-        while j + 1 < len(labels) and labels[j + 1] == labels[i]:
-            j += 1
-        if labels[i]:
-            a, b = trim(text, places[i][0], places[j][1])
-            if sound(LABELS[labels[i]], text[a:b]):
-                out.append((LABELS[labels[i]], a, b))
-        i = j + 1
+def outside(new: list[Span], base: list[Span]) -> list[Span]:
+    """The spans of ``new`` that touch none of ``base``, which is ordered by start."""
+    reach = np.maximum.accumulate([s[2] for s in base]) if base else []
+    starts = [s[1] for s in base]
+    kept = []
+    for s in new:
+        before = bisect.bisect_left(starts, s[2])  # those that start before its end
+        if not before or reach[before - 1] <= s[1]:
+            kept.append(s)
+    return kept
+
+
+def part_spans(text: str, part: Part, labels: np.ndarray) -> list[Span]:
+    """Runs of equal labels that start with a token that the part owns, as spans of the text; no kind goes on beyond
+    the mark of a list."""
+    runs: list[list] = []  # label, start, end, number of the last token
+    for n, (a, b) in enumerate(places_of(text, part.start, part.end)):
+        if labels[n]:
+            if runs and runs[-1][3] == n - 1 and runs[-1][0] == labels[n] and text[runs[-1][2] - 1] not in ",;|":
+                runs[-1][2:] = [b, n]
+            else:
+                runs.append([labels[n], a, b, n])
+    out = []
+    for label, a, b, _ in runs:
+        if part.own <= a < part.own_end:
+            a, b = trim(text, a, b)
+            if sound(LABELS[label], text[a:b]):
+                out.append((LABELS[label], a, b))
     return out
 
 
@@ -466,6 +549,9 @@ def detect(docs: DataFrame, keep: list[str], model: Field | None = None, text_co
     """Columns ``keep`` of each row with ``base`` and ``spans``, arrays of (kind, start, end) in code points, end
     exclusive, and, if asked for, the ``masked`` text.
 
+    A line above a million characters is decoded in parts cut at white space, each with 2,000 characters of its line on
+    either side as context, so that what a task holds does not grow with a line.
+
     Defined results: a null text is read as an empty one, which has no span, and is masked as a null; equal texts
     have equal spans; an empty table stays empty. ``keep`` may not name the added columns.
     """

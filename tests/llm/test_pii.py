@@ -118,3 +118,69 @@ def test_null_empty_repeated_long_and_clashing(spark, model):
     assert [r.masked for r in out[:2]] == [None, ""] and out[3].masked == "é <email>" == out[4].masked
     assert [tuple(s) for s in out[3].base] == [("email", 2, 8)]
     assert P.detect(docs.limit(0), ["doc_id"], model).count() == 0
+
+
+@pytest.mark.parametrize("n", [29, 63, 64, 67, 100, 200])
+def test_long_tokens_are_seen_whole(model, n):
+    name = ("ab" * n)[: n - 22]
+    text = f"write to {name}[at]example[dot]org please"
+    assert [(k, text[a:b]) for k, a, b in P.find([text], model)[0][1]] == [("email", f"{name}[at]example[dot]org")]
+
+
+def test_lists_without_blanks(model):
+    text = "to jane[at]example[dot]org,joe[at]example[dot]net;ann[at]post[dot]de for 1,234,567"
+    assert [text[a:b] for _, a, b in P.find([text], model)[0][1]] == ["jane[at]example[dot]org", "joe[at]example[dot]net", "ann[at]post[dot]de"]
+
+
+@settings(max_examples=500, deadline=None)
+@given(st.text("ab1,;| \u2003\x1c", max_size=40))
+def test_tokens_and_their_places(line):
+    assert P.words_of(line) == [line[a:b] for a, b in P.places_of(line, 0, len(line))]
+    assert "".join(P.words_of(line)) == "".join(line.split())
+
+
+def test_a_long_line_in_parts_is_as_the_whole_line(model):
+    rng = random.Random(8)
+    lines = [" ".join(tokens) for tokens, _ in P.labelled_table(900, seed=31)]
+    text = " ".join(rng.choice(lines) for _ in range(3_000))
+    whole, parts = P.find([text], model, 10**9)[0], P.find([text], model, 20_000)[0]
+    assert len(text) > 100_000 and len(whole[1]) - len(whole[0]) > 200
+    assert parts == whole
+    assert P.find(["x" * 50_000 + " " + text], model, 20_000)[0][0] == [(k, a + 50_001, b + 50_001) for k, a, b in whole[0]]
+
+
+def test_outside_is_the_comparison_of_all_pairs():
+    rng = random.Random(2)
+    for _ in range(200):
+        base = sorted((("ip", a, a + rng.randrange(1, 9)) for a in rng.sample(range(60), 6)), key=lambda s: s[1])
+        new = [("email", a, a + rng.randrange(1, 9)) for a in rng.sample(range(60), 6)]
+        assert P.outside(new, base) == [s for s in new if all(s[2] <= x[1] or s[1] >= x[2] for x in base)]
+
+
+def test_likelihood_is_the_sum_over_all_paths_and_its_gradient_the_differences():
+    lines = [(["a1", "at", "b"], [1, 1, 0]), (["555-1234", "x"], [4, 0]), (["Hi"], [0])]
+    risk = P.Likelihood(lines, 0.01)
+    rng = np.random.default_rng(5)
+    w = rng.normal(size=risk.size + 30)
+
+    def loss(w):
+        W, A, B = w[: risk.size].reshape(-1, 5), w[risk.size : risk.size + 25].reshape(5, 5), w[risk.size + 25 :]
+        total = 0.0
+        for tokens, labels in lines:
+            def value(path):
+                out = B[path[0]] + sum(A[a, b] for a, b in zip(path, path[1:]))
+                for t, y in enumerate(path):
+                    seen = [(0, f) for f in P.own_features(tokens[t])]
+                    seen += [(1, f) for f in P.side_features(tokens[t - 1])] if t else []
+                    seen += [(2, f) for f in P.side_features(tokens[t + 1])] if t + 1 < len(path) else []
+                    out += sum(W[risk.names[s], y] for s in seen)
+                return out
+            total += np.log(sum(np.exp(value(p)) for p in itertools.product(range(5), repeat=len(tokens)))) - value(labels)
+        return total / len(lines) + 0.01 * (w * w).sum() / 2
+
+    got, g = risk(w)
+    assert abs(got - loss(w)) < 1e-9
+    for i in rng.choice(len(w), 40, replace=False).tolist() + list(range(risk.size, risk.size + 30)):
+        e = np.zeros(len(w))
+        e[i] = 1e-6
+        assert abs((loss(w + e) - loss(w - e)) / 2e-6 - g[i]) < 1e-6
