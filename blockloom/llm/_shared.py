@@ -9,7 +9,8 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _local_dirs: dict[str, str] = {}
 
@@ -50,6 +51,23 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def heavy_limit(rows: int) -> int:
+    """How many of ``rows`` a key must have to be heavy; at most 1,000 keys have more."""
+    return max(1_000, rows // 1_000)
+
+
+def lookup(left: DataFrame, right: DataFrame, keys: list[str], heavy: Column) -> DataFrame:
+    """``left`` with the columns of the row of ``right`` that has its keys, which are unique there.
+
+    ``heavy`` marks the rows of ``right`` for which ``left`` has more rows than ``heavy_limit``, at most 1,000: these
+    are broadcast, so that the rows of a key never meet in one task. ``left`` is read twice.
+    """
+    hot = F.broadcast(right.where(heavy))
+    rest = left.join(hot.select(*keys), keys, "left_anti").join(right.where(~F.coalesce(heavy, F.lit(False))), keys)
+    found = left.join(hot, keys)
+    return found.unionByName(rest.select(*found.columns))
+
+
 def slices(text: str, cut: re.Pattern, size: int = 1_000_000) -> Iterator[str]:
     """A text in parts of about ``size``, each but the first starting where ``cut`` matches, so that lists of a part's
     words are bounded; one part where it matches nowhere."""

@@ -6,13 +6,20 @@
    values at a time; with ``m`` of ``n`` equal, the similarity has the posterior Beta(m + 1, n - m + 1), and a pair is
    dropped once the chance that it reaches the threshold is below the tolerance. What survives is kept as a spanning
    forest, a number of edges below the number of members, never as all pairs.
-3. The components of these edges hold every pair that may be similar. In each, all pairs are pruned in the same way
-   and then verified exactly, on whole sets; links are counted where they are found, and again only a forest goes on.
+3. The components of these edges hold every pair that may be similar. In each, all pairs whose sizes allow the
+   threshold are pruned in the same way and then verified exactly, on whole sets of hashes; links are counted where
+   they are found, and again only a forest goes on.
 4. Components of verified links are the classes.
 
-A key or component with many members is cut into blocks, and each pair of blocks is a task of its own. Keys are drawn
-with 32 bands of 5 values: a pair at the threshold of 0.8 shares none with a probability of 3e-6, and is dropped by a
-posterior below ``tolerance`` as rarely.
+A key with up to ``KEY_BLOCKS`` blocks of members is compared block by block, each pair of blocks a task of its own, so
+that a member is sent to as many tasks as there are blocks; the members of a larger key are one component unseen, as
+they are to be compared there anyway. A component that is more than one block is cut by the size of its sets, so that
+only neighbouring sizes meet, and then into blocks of bounded weight. Counting the links of m sets that are all alike
+needs m * m comparisons; with blocks of q members each set, not its text, is sent to m / q tasks.
+
+Keys are drawn with 32 bands of 5 values: a pair at the threshold of 0.8 shares none with a probability of 3e-6, and is
+dropped by a posterior below ``tolerance`` as rarely. No key of a join, however many rows it has, is one task: the
+rows of heavy keys meet their partner by a broadcast of at most 1,000 rows.
 """
 
 from __future__ import annotations
@@ -28,11 +35,12 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import SPACE, slices, table, written
+from ._shared import SPACE, heavy_limit, lookup, slices, table, written
 
 BANDS, ROWS = 32, 5
 SIZE = BANDS * ROWS
 STEPS = (16, 32, 64, 96, 128, SIZE)
+KEY_BLOCKS = 16
 WORD = re.compile(r"\w+")
 U = np.uint64
 ODD, PLUS = np.random.default_rng(23).integers(0, 1 << 63, (2, SIZE), dtype=np.uint64) * U(2) + U(1)
@@ -102,9 +110,11 @@ def least_matches(threshold: float, tolerance: float) -> tuple[int, ...]:
     return tuple(out)
 
 
-def plausible(sig: np.ndarray, i: np.ndarray, j: np.ndarray, least: tuple[int, ...]) -> np.ndarray:
-    """Which of the pairs (i, j) no step drops, as indices into them."""
-    left, match, start = np.arange(len(i)), np.zeros(len(i), np.int64), 0
+def plausible(sig: np.ndarray, size: np.ndarray, i: np.ndarray, j: np.ndarray, least: tuple[int, ...], threshold: float) -> np.ndarray:
+    """Which of the pairs (i, j) have sizes that allow the threshold and are dropped by no step, as indices."""
+    small, large = np.minimum(size[i], size[j]), np.maximum(size[i], size[j])
+    left = np.flatnonzero(small >= threshold * large - 1e-9)
+    match, start = np.zeros(len(left), np.int64), 0
     for end, m in zip(STEPS, least):
         match = match + (sig[i[left], start:end] == sig[j[left], start:end]).sum(axis=1)
         keep = match >= m
@@ -131,7 +141,7 @@ class Sets:
         return a != b
 
 
-def forest(sig: np.ndarray, side: np.ndarray, least: tuple[int, ...]) -> list[tuple[int, int]]:
+def forest(sig: np.ndarray, size: np.ndarray, side: np.ndarray, least: tuple[int, ...], threshold: float) -> list[tuple[int, int]]:
     """Edges that connect what plausible pairs connect, without cycles. With two sides, pairs across them alone."""
     n, sets, edges = len(sig), Sets(len(sig)), []
     label = np.arange(n)
@@ -141,7 +151,7 @@ def forest(sig: np.ndarray, side: np.ndarray, least: tuple[int, ...]) -> list[tu
             other = other[side[other] != side[i]]
         if not len(other):
             continue
-        for j in other[plausible(sig, np.full(len(other), i), other, least)].tolist():
+        for j in other[plausible(sig, size, np.full(len(other), i), other, least, threshold)].tolist():
             if sets.join(i, j):
                 edges.append((i, j))
                 a, b = sorted((label[i], label[j]))
@@ -172,14 +182,11 @@ def groups_of(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table
         yield pa.Table.from_batches(held)
 
 
-def blocks(members: DataFrame, key: str, size: int) -> DataFrame:
-    """Rows of ``members`` dealt to pairs of blocks (b1 <= b2) of each key, keys with one member left out.
-
-    The number of blocks follows the number of a key's members; a row goes to as many pairs as there are blocks."""
-    counts = members.groupBy(key).count().where("count > 1").select(key, F.ceil(F.col("count") / size).cast("int").alias("n"))
-    dealt = members.join(counts, key).withColumn("own", F.pmod(F.xxhash64("tag", F.lit(size)), F.col("n")).cast("int"))
+def in_blocks(dealt: DataFrame, salt: int) -> DataFrame:
+    """Rows with ``n``, the number of blocks of their group, dealt to pairs of blocks (b1 <= b2); ``own`` is theirs."""
     return (
-        dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+        dealt.withColumn("own", F.pmod(F.xxhash64("tag", F.lit(salt)), F.col("n")).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
         .withColumn("b1", F.least("own", "other"))
         .withColumn("b2", F.greatest("own", "other"))
         .drop("n", "other")
@@ -196,58 +203,83 @@ def components(edges: DataFrame, label: str) -> DataFrame:
         if seen == state:
             return now.select(F.col("a").alias("tag"), F.col("b").alias("root")).union(now.select("b", "b").distinct())
         state = seen
+        heavy = F.col("degree") > heavy_limit(2 * seen[0])
         # Large star: each node's larger neighbours go to the least of its neighbours and itself.
         both = now.union(now.select("b", "a"))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        least = both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("degree")).select("a", F.least("a", "m").alias("m"), "degree")
+        large = written(lookup(both.where("b > a"), least, ["a"], heavy).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), label)
         # Small star: each node and its smaller neighbours go to the least of these.
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least)
+        least = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("degree"))
+        small = lookup(large, least, ["a"], heavy).where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", "m"))
         now = written(small.distinct(), label)
 
 
-SKETCH = "doc_id long, tag long, text_hash long, h1 long, h2 long, keys array<long>, sig binary"
+SKETCH = "doc_id long, tag long, text_hash long, row_hash long, h1 long, h2 long, size long, keys array<long>, sig binary"
+
+
+def hashes_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, text_hash, row_hash, text): the two hashes of a text and of its row are 128 bits of that row."""
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return rows.select("doc_id", F.xxhash64("text").alias("text_hash"), F.xxhash64(F.lit(7), "doc_id", "text").alias("row_hash"), "text")
 
 
-def sketches(docs: DataFrame, n: int, id_col: str, text_col: str) -> DataFrame:
+def sketches(rows: DataFrame, n: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for start in range(0, b.num_rows, 2_048):
                 part = b.slice(start, 2_048)
-                h1, h2, keys, sigs = [], [], [], []
-                for x in part.column(3):
+                h1, h2, sizes, keys, sigs = [], [], [], [], []
+                for x in part.column(4):
                     text = x.as_py() or ""
                     s = shingles(text, n)
                     whole = xxhash.xxh128_digest(s.tobytes() if len(s) else b"text:" + text.encode("utf-8", "surrogatepass"))
                     a, c = np.frombuffer(whole, np.int64)
                     h1.append(a)
                     h2.append(c)
+                    sizes.append(len(s))
                     low = signature(s) if len(s) else None
                     keys.append(None if low is None else band_keys(low))
-                    sigs.append(None if low is None else (low & U(0xFFFF)).astype(np.uint16).tobytes())
-                columns = [*part.columns[:3], pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(sigs, pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "tag", "text_hash", "h1", "h2", "keys", "sig"])
+                    sigs.append(None if low is None else short(low))
+                made = [pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(sigs, pa.binary())]
+                yield pa.RecordBatch.from_arrays([*part.columns[:4], *made], names=["doc_id", "tag", "text_hash", "row_hash", "h1", "h2", "size", "keys", "sig"])
+
+    return rows.select("doc_id", F.monotonically_increasing_id().alias("tag"), "text_hash", "row_hash", "text").mapInArrow(run, SKETCH)
+
+
+def short(low: np.ndarray) -> bytes:
+    """The low 16 bits of MinHash values."""
+    return (low & U(0xFFFF)).astype(np.uint16).tobytes()
 
-    text = F.col(text_col).cast("string").alias("text")
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("tag"), text)
-    return rows.select("doc_id", "tag", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(run, SKETCH)
 
+def sets_of(texts: DataFrame, n: int) -> DataFrame:
+    """(tag, sig, hashes) of rows (tag, text): the set of hashes of each text, in ascending order."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for start in range(0, b.num_rows, 1_024):
+                part = b.slice(start, 1_024)
+                sets = [shingles(x.as_py() or "", n) for x in part.column(1)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([short(signature(s)) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["tag", "sig", "hashes"])
+
+    return texts.select("tag", "text").mapInArrow(run, "tag long, sig binary, hashes binary")
 
-def bucket_edges(members: DataFrame, least: tuple[int, ...]) -> DataFrame:
-    """Forests of plausible pairs from rows (key, b1, b2, own, tag, sig)."""
+
+def bucket_edges(members: DataFrame, least: tuple[int, ...], threshold: float) -> DataFrame:
+    """Forests of plausible pairs from rows (key, b1, b2, own, tag, size, sig)."""
 
     def small(found: list[pa.Table]) -> pa.RecordBatch:
-        tags, sigs, first, second, at = [], [], [], [], 0
+        tags, sizes, sigs, first, second, at = [], [], [], [], [], 0
         for g in found:
             n = g.num_rows
             i, j = np.triu_indices(n, 1)
             first.append(i + at)
             second.append(j + at)
             tags.append(g["tag"].to_numpy())
+            sizes.append(g["size"].to_numpy())
             sigs += [np.frombuffer(x.as_py(), np.uint16) for x in g["sig"]]
             at += n
         i, j, tag = np.concatenate(first), np.concatenate(second), np.concatenate(tags)
-        keep = plausible(np.stack(sigs), i, j, least)
+        keep = plausible(np.stack(sigs), np.concatenate(sizes), i, j, least, threshold)
         return pa.RecordBatch.from_arrays([pa.array(tag[i[keep]]), pa.array(tag[j[keep]])], names=["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -264,62 +296,121 @@ def bucket_edges(members: DataFrame, least: tuple[int, ...]) -> DataFrame:
                     held, rows = [], 0
                 continue
             order = np.argsort(g["own"].to_numpy(), kind="stable")
-            tag, side = g["tag"].to_numpy()[order], g["own"].to_numpy()[order]
+            tag, size, side = (g[c].to_numpy()[order] for c in ("tag", "size", "own"))
             sig = np.stack([np.frombuffer(x.as_py(), np.uint16) for x in g["sig"].take(pa.array(order))])
-            edges = forest(sig, side, least)
+            edges = forest(sig, size, side, least, threshold)
             yield pa.RecordBatch.from_arrays([pa.array(tag[[e[0] for e in edges]], pa.int64()), pa.array(tag[[e[1] for e in edges]], pa.int64())], names=["a", "b"])
         if held:
             yield small(held)
 
     dealt = members.repartition("key", "b1", "b2").sortWithinPartitions("key", "b1", "b2")
-    return dealt.select("key", "b1", "b2", "own", "tag", "sig").mapInArrow(run, "a long, b long").distinct()
-
-
-def verify(members: DataFrame, least: tuple[int, ...], threshold: float, n: int) -> DataFrame:
-    """Exact links from rows (root, b1, b2, own, tag, copies, text): rows (a, null, links) with the number of
-    documents that a block's documents link a representative to, and forests of linked pairs (a, b, 0)."""
-
-    def pairs(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
-        ids, flat = np.unique(np.concatenate(sets), return_inverse=True)
-        sizes = np.array([len(s) for s in sets])
-        rows = np.repeat(np.arange(len(sets)), sizes)
-        common = np.zeros((len(sets), len(sets)), np.float32)
-        for at in range(0, len(ids), 8_192):
-            here = (flat >= at) & (flat < at + 8_192)
-            m = np.zeros((len(sets), min(8_192, len(ids) - at)), np.float32)
-            m[rows[here], flat[here] - at] = 1
+    return dealt.select("key", "b1", "b2", "own", "tag", "size", "sig").mapInArrow(run, "a long, b long").distinct()
+
+
+def alike(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray, threshold: float) -> np.ndarray:
+    """Which of the pairs of sets are exactly as similar as ``threshold``. Many pairs among few sets are counted by a
+    product of matrices, block by block of the hashes that more than one of them has; few pairs one by one."""
+    used = np.unique(np.concatenate((i, j)))
+    sizes = np.array([len(s) for s in sets])
+    if len(i) < 4 * len(used):
+        both = np.array([len(np.intersect1d(sets[x], sets[y], assume_unique=True)) for x, y in zip(i.tolist(), j.tolist())], np.int64)
+    else:
+        ids, flat, times = np.unique(np.concatenate([sets[x] for x in used]), return_inverse=True, return_counts=True)
+        shared = times > 1
+        place = np.cumsum(shared) - 1
+        rows = np.repeat(np.arange(len(used)), sizes[used])[shared[flat]]
+        columns = place[flat[shared[flat]]]
+        order = np.argsort(columns, kind="stable")
+        rows, columns = rows[order], columns[order]
+        common = np.zeros((len(used), len(used)), np.float32)
+        for at in range(0, int(shared.sum()), 8_192):
+            lo, hi = np.searchsorted(columns, (at, at + 8_192))
+            m = np.zeros((len(used), min(8_192, int(shared.sum()) - at)), np.float32)
+            m[rows[lo:hi], columns[lo:hi] - at] = 1
             common += m @ m.T
-        both = common[i, j].astype(np.int64)
-        return both >= threshold * (sizes[i] + sizes[j] - both) - 1e-9
+        both = common[np.searchsorted(used, i), np.searchsorted(used, j)].astype(np.int64)
+    return both >= threshold * (sizes[i] + sizes[j] - both) - 1e-9
+
+
+GROUP = ["root", "band", "far", "b1", "b2"]
+
+
+def verify(members: DataFrame, least: tuple[int, ...], threshold: float, tile: int = 256) -> DataFrame:
+    """Exact links from rows (root, band, far, b1, b2, side, tag, copies, sig, hashes): rows (a, null, links) with the
+    number of documents that a group's documents link a representative to, and forests of linked pairs (a, b, 0).
+    Where a group has two sides, pairs across them alone."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for g in groups_of(batches, 3):
+        for g in groups_of(batches, len(GROUP)):
             if g.num_rows < 2:
                 continue
-            order = np.argsort(g["own"].to_numpy(), kind="stable")
-            tag, side, copies = (g[c].to_numpy()[order] for c in ("tag", "own", "copies"))
-            sets = [shingles(x.as_py() or "", n) for x in g["text"].take(pa.array(order))]
-            sig = np.stack([(signature(s) & U(0xFFFF)).astype(np.uint16) for s in sets])
-            i, j = np.triu_indices(len(sets), 1)
-            if side[0] != side[-1]:
-                across = side[i] != side[j]
-                i, j = i[across], j[across]
-            keep = plausible(sig, i, j, least)
-            i, j = i[keep], j[keep]
-            linked = pairs(sets, i, j) if len(i) else np.empty(0, bool)
-            i, j = i[linked], j[linked]
-            links = np.bincount(i, copies[j], len(sets)) + np.bincount(j, copies[i], len(sets))
-            joined, a, b = Sets(len(sets)), [], []
-            for x, y in zip(i.tolist(), j.tolist()):
-                if joined.join(x, y):
-                    a.append(tag[x])
-                    b.append(tag[y])
+            order = np.argsort(g["side"].to_numpy(), kind="stable")
+            tag, side, copies = (g[c].to_numpy()[order] for c in ("tag", "side", "copies"))
+            sets = [np.frombuffer(x.as_py(), U) for x in g["hashes"].take(pa.array(order))]
+            sig = np.stack([np.frombuffer(x.as_py(), np.uint16) for x in g["sig"].take(pa.array(order))])
+            size, n = np.array([len(s) for s in sets]), len(sets)
+            cut = int(np.searchsorted(side, side[0], side="right"))
+            if cut == n and (g["far"][0].as_py() or g["b1"][0].as_py() != g["b2"][0].as_py()):
+                continue  # the other side is empty
+            links, joined, a, b = np.zeros(n), Sets(n), [], []
+            for at in range(0, cut, tile):
+                for to in range(cut if cut < n else at, n, tile):
+                    i, j = (x.ravel() for x in np.meshgrid(np.arange(at, min(at + tile, cut)), np.arange(to, min(to + tile, n)), indexing="ij"))
+                    if to == at:
+                        i, j = i[i < j], j[i < j]
+                    keep = plausible(sig, size, i, j, least, threshold)
+                    i, j = i[keep], j[keep]
+                    if not len(i):
+                        continue
+                    linked = alike(sets, i, j, threshold)
+                    i, j = i[linked], j[linked]
+                    links += np.bincount(i, copies[j], n) + np.bincount(j, copies[i], n)
+                    for x, y in zip(i.tolist(), j.tolist()):
+                        if joined.join(x, y):
+                            a.append(tag[x])
+                            b.append(tag[y])
             has = np.flatnonzero(links)
             columns = [pa.array([*tag[has], *a], pa.int64()), pa.array([None] * len(has) + b, pa.int64()), pa.array([*links[has].astype(np.int64), *[0] * len(a)], pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, names=["a", "b", "links"])
 
-    dealt = members.repartition("root", "b1", "b2").sortWithinPartitions("root", "b1", "b2")
-    return dealt.select("root", "b1", "b2", "own", "tag", "copies", "text").mapInArrow(run, "a long, b long, links long")
+    dealt = members.repartition(*GROUP).sortWithinPartitions(*GROUP)
+    return dealt.select(*GROUP, "side", "tag", "copies", "sig", "hashes").mapInArrow(run, "a long, b long, links long")
+
+
+def placed(wanted: DataFrame, threshold: float, block: int, weight: int) -> DataFrame:
+    """Rows (tag, root, copies, size) dealt to the groups in which pairs of a component meet.
+
+    A component of one block is one group. Others are cut into bands of sizes, the ratio of a band's ends being the
+    threshold, so that similar sets are in one band or in neighbouring ones; bands are cut into blocks of at most
+    about ``block`` sets and ``weight`` hashes; a block meets those of its own band and those of the next."""
+    n = lambda: F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum("size") / weight)).cast("int").alias("n")
+    heavy = F.col("members") > heavy_limit(wanted.count())
+    roots = wanted.groupBy("root").agg(n(), F.count("*").alias("members"))
+    one, zero = roots.where("n = 1"), F.lit(0)
+    alone = lookup(wanted, one, ["root"], F.lit(False)).select(
+        "root", zero.alias("band"), zero.alias("far"), zero.alias("b1"), zero.alias("b2"), zero.alias("side"), "tag", "copies"
+    )
+    many = lookup(wanted, roots.where("n > 1").select("root", "members"), ["root"], heavy).withColumn(
+        "band", F.floor(F.log("size") / (-math.log(threshold) + 1e-9)).cast("int")
+    )
+    many = written(many.drop("members"), "join-bands")
+    bands = many.groupBy("root", "band").agg(n(), F.count("*").alias("members"))
+    near = lookup(many, bands, ["root", "band"], heavy)
+    within = in_blocks(near.drop("members"), 1).withColumn("far", zero).withColumn("side", F.when(F.col("b1") == F.col("b2"), 0).otherwise(F.col("own")))
+    # Across neighbouring bands: a row is on the lower side of its own band and on the upper one of the band before.
+    above = bands.select("root", (F.col("band") - 1).alias("band"), F.col("n").alias("n2"))
+    sizes = bands.select("root", "band", "n", "members").join(above, ["root", "band"])
+    own = F.pmod(F.xxhash64("tag", F.lit(1)), F.col("n")).cast("int")
+    lower = lookup(many, sizes, ["root", "band"], heavy).withColumn("b1", own).withColumn("b2", F.explode(F.sequence(zero, F.col("n2") - 1))).withColumn("side", zero)
+    upper_sizes = bands.select("root", "band", F.col("n").alias("n2"), "members").join(
+        bands.select("root", (F.col("band") + 1).alias("band"), "n"), ["root", "band"]
+    )
+    own = F.pmod(F.xxhash64("tag", F.lit(1)), F.col("n2")).cast("int")
+    upper = lookup(many, upper_sizes, ["root", "band"], heavy).withColumn("b2", own).withColumn("b1", F.explode(F.sequence(zero, F.col("n") - 1)))
+    upper = upper.withColumn("side", F.lit(1)).withColumn("band", F.col("band") - 1)
+    names = [*GROUP, "side", "tag", "copies"]
+    across = lower.select(*lower.columns).withColumn("far", F.lit(1)).select(*names).unionByName(upper.withColumn("far", F.lit(1)).select(*names))
+    return alone.unionByName(within.select(*names)).unionByName(across)
 
 
 def jaccard_join(
@@ -327,7 +418,8 @@ def jaccard_join(
     threshold: float = 0.8,
     n: int = 5,
     tolerance: float = 1e-6,
-    block: int = 256,
+    block: int = 1_024,
+    weight: int = 2_000_000,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
@@ -344,40 +436,50 @@ def jaccard_join(
     all of a class are null; an empty table gives no row; other columns are not read.
     """
     least = least_matches(threshold, tolerance)
-    sketch = written(sketches(docs, n, id_col, text_col), "join-sketch")
-    order = F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "tag", "text_hash")
+    rows = hashes_of(docs, id_col, text_col)
+    sketch = written(sketches(rows, n), "join-sketch")
+    limit = heavy_limit(sketch.count())
+    order = F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "tag", "text_hash", "row_hash")
     copies = written(
         sketch.groupBy("h1", "h2").agg(F.min(order).alias("rep"), F.count("*").alias("copies")).select(
-            "h1", "h2", F.col("rep.doc_id").alias("rep_id"), F.col("rep.tag").alias("tag"), F.col("rep.text_hash").alias("text_hash"), "copies"
+            "h1", "h2", F.col("rep.doc_id").alias("rep_id"), *[F.col(f"rep.{c}").alias(c) for c in ("tag", "text_hash", "row_hash")], "copies"
         ),
         "join-copies",
     )
-    reps = sketch.where("keys is not null").select("tag", "keys", "sig").join(copies.select("tag"), "tag", "left_semi")
+    reps = sketch.where("keys is not null").select("tag", "size", "keys", "sig").join(copies.select("tag"), "tag", "left_semi")
     reps = written(reps, "join-reps")
     keyed = reps.select("tag", F.explode("keys").alias("key"))
-    dealt = written(blocks(keyed, "key", 2 * block), "join-buckets")
-    near = components(bucket_edges(dealt.join(reps.select("tag", "sig"), "tag"), least), "join-near")
-    # The texts of representatives that have a plausible partner: one of each hash, however many copies there are.
-    wanted = near.join(copies.select("tag", "copies", "text_hash"), "tag")
-    texts = (
-        docs.select(F.xxhash64(F.col(text_col).cast("string")).alias("text_hash"), F.col(text_col).cast("string").alias("text"))
-        .join(wanted.select("text_hash").distinct(), "text_hash", "left_semi")
-        .groupBy("text_hash").agg(F.first("text").alias("text"))
-    )
-    placed = blocks(wanted.select("tag", "root", "copies", "text_hash"), "root", block)
-    found = written(verify(placed.join(texts, "text_hash"), least, threshold, n), "join-links")
+    counts = keyed.groupBy("key").agg(F.count("*").alias("members"), F.min("tag").alias("first")).where("members > 1")
+    counts = written(counts.withColumn("n", F.ceil(F.col("members") / 512).cast("int")), "join-keys")
+    heavy = F.col("members") > heavy_limit(BANDS * reps.count())
+    met = written(lookup(keyed, counts, ["key"], heavy), "join-met")
+    dealt = in_blocks(met.where(F.col("n") <= KEY_BLOCKS).select("key", "tag", "n"), 512)
+    edges = bucket_edges(dealt.join(reps.select("tag", "size", "sig"), "tag"), least, threshold)
+    crowds = met.where((F.col("n") > KEY_BLOCKS) & (F.col("tag") != F.col("first"))).select(F.col("first").alias("a"), F.col("tag").alias("b")).distinct()
+    near = components(edges.union(crowds), "join-near")
+    # The sets of representatives that have a plausible partner: one text each, however many copies there are.
+    wanted = written(near.join(copies.select("tag", "copies", "text_hash", "row_hash"), "tag").join(reps.select("tag", "size"), "tag"), "join-wanted")
+    key = ["text_hash", "row_hash"]
+    texts = rows.select(*key, "text").join(wanted.select(*key, "tag"), key).groupBy(*key, "tag").agg(F.first("text").alias("text"))
+    sets = written(sets_of(texts, n), "join-sets")
+    groups = placed(wanted.select("tag", "root", "copies", "size"), threshold, block, weight)
+    found = written(verify(groups.join(sets, "tag"), least, threshold), "join-links")
     links = found.where("b is null").groupBy(F.col("a").alias("tag")).agg(F.sum("links").alias("links"))
-    linked = components(found.where("b is not null").select("a", "b"), "join-classes")
+    linked = written(components(found.where("b is not null").select("a", "b"), "join-classes").join(copies.select("tag", "rep_id"), "tag"), "join-linked")
     # The class of a component is its least (doc_id, tag); a component's root has the least tag.
     rank = F.struct(F.col("rep_id").isNull().alias("z"), F.col("rep_id").alias("id"), F.col("tag").alias("tag"))
-    heads = linked.join(copies.select("tag", "rep_id"), "tag").groupBy("root").agg(F.min(rank).alias("head"))
-    classes = copies.join(linked, "tag", "left").join(heads, "root", "left").join(links, "tag", "left").select(
-        "h1", "h2", "rep_id", F.col("tag").alias("rep_tag"),
-        F.when(F.col("head").isNotNull(), F.col("head.id")).otherwise(F.col("rep_id")).alias("class_id"),
-        F.coalesce(F.col("head.tag"), F.col("tag")).alias("head_tag"),
-        (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"),
+    heads = linked.groupBy("root").agg(F.min(rank).alias("head"), F.count("*").alias("members"))
+    headed = lookup(linked.select("tag", "root"), heads, ["root"], F.col("members") > limit).select("tag", "head")
+    classes = written(
+        copies.join(headed, "tag", "left").join(links, "tag", "left").select(
+            "h1", "h2", "rep_id", "copies",
+            F.when(F.col("head").isNotNull(), F.col("head.id")).otherwise(F.col("rep_id")).alias("class_id"),
+            F.coalesce(F.col("head.tag"), F.col("tag")).alias("head_tag"),
+            (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"),
+        ),
+        "join-class",
     )
-    return sketch.select("doc_id", "tag", "text_hash", "h1", "h2").join(classes, ["h1", "h2"]).select(
+    return lookup(sketch.select("doc_id", "tag", "text_hash", "h1", "h2"), classes, ["h1", "h2"], F.col("copies") > limit).select(
         "doc_id", "text_hash", "class_id", "rep_id", "n_links", (F.col("tag") == F.col("head_tag")).alias("kept")
     )
 

@@ -81,11 +81,15 @@ def near_texts(n, seed=4, words=120):
     return out
 
 
-def test_large_groups_in_blocks(spark):
+def test_large_groups_in_blocks(spark, monkeypatch):
     texts = near_texts(150)
     ids = list(range(len(texts)))
     df = spark.createDataFrame([(i, t, "x") for i, t in zip(ids, texts)], COLUMNS)
-    assert rows(J.jaccard_join(df, block=16)) == brute(ids, texts)
+    want = brute(ids, texts)
+    assert rows(J.jaccard_join(df, block=16)) == want
+    assert rows(J.jaccard_join(df, weight=3_000)) == want
+    monkeypatch.setattr(J, "KEY_BLOCKS", 0)  # every key is a crowd
+    assert rows(J.jaccard_join(df, block=16)) == want
 
 
 def test_one_of_each_class_is_kept(spark):
@@ -122,3 +126,29 @@ def test_signature_estimates_similarity():
     a, b = np.arange(1000, dtype=np.uint64), np.arange(100, 1100, dtype=np.uint64)
     equal = (J.signature(np.unique(J.mix(a))) == J.signature(np.unique(J.mix(b)))).mean()
     assert abs(equal - 900 / 1100) < 0.12
+
+
+def test_sizes_in_bands(spark):
+    """Texts that grow word by word: similar ones lie in neighbouring bands, others further apart."""
+    texts = [" ".join(f"w{i}" for i in range(n)) for n in range(5, 160)]
+    df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], COLUMNS)
+    assert rows(J.jaccard_join(df, block=4)) == brute(list(range(len(texts))), texts)
+
+
+def test_heavy_keys_meet_by_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(J, "heavy_limit", lambda rows: 3)
+    texts = near_texts(60) + ["the same text said again and again"] * 30
+    ids = list(range(len(texts)))
+    df = spark.createDataFrame([(i, t, "x") for i, t in zip(ids, texts)], COLUMNS)
+    assert rows(J.jaccard_join(df, block=8)) == brute(ids, texts)
+
+
+def test_exact_counts_by_pairs_and_by_matrices():
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 1 << 62, 300, dtype=np.uint64)
+    sets = [np.unique(np.concatenate((base[rng.random(300) < 0.93], rng.integers(0, 1 << 62, rng.integers(0, 40), dtype=np.uint64)))) for _ in range(40)]
+    i, j = np.triu_indices(40, 1)
+    want = [len(set(sets[a].tolist()) & set(sets[b].tolist())) / len(set(sets[a].tolist()) | set(sets[b].tolist())) >= 0.8 for a, b in zip(i, j)]
+    assert 0 < sum(want) < len(want)
+    assert J.alike(sets, i, j, 0.8).tolist() == want
+    assert [bool(J.alike(sets, i[k : k + 1], j[k : k + 1], 0.8)[0]) for k in range(0, len(i), 9)] == want[::9]
