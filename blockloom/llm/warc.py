@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._shared import table
+from ._shared import heavy_limit, table, written
 
 #: Header fields of a 304 that replace those of the stored response (RFC 9110, section 15.4.5, and Last-Modified).
 PERMITTED = ("cache-control", "content-location", "date", "etag", "expires", "last-modified", "vary")
@@ -62,21 +62,25 @@ def resolve_revisits(records: DataFrame, spans: int = 64) -> DataFrame:
 
     Defined results: a null or missing is_full is a revisit; a record whose url, ts or record_id is null is nobody's
     source, and a revisit without url or ts has no earlier response; null headers are no headers; of several full
-    responses with one id any one is the source; equal rows stay separate; an empty table gives no row; columns
-    other than the six are not read.
+    responses with one URL, time and id the source, of validators, headers and payload alike, is that of the greatest
+    hash of these; equal rows stay separate; an empty table gives no row; columns other than the six are not read.
+
+    A URL's records are cut into spans of time, and the revisits of a source that many ask for are dealt to several
+    tasks; records of one URL and one moment are in one.
     """
     rows = records.select(*RECORD).withColumns({
         "is_full": F.coalesce("is_full", F.lit(False)),
         "url_key": canonical_url(F.col("url")),
         "headers": F.coalesce("headers", F.array().cast(records.schema["headers"].dataType)),
     })
-    full, revisit = rows.where("is_full"), rows.where("not is_full").drop("payload", "is_full")
+    content = F.xxhash64("headers", "payload", "url")
+    full, revisit = rows.where("is_full").withColumn("content", content), rows.where("not is_full").drop("payload", "is_full")
     cuts = rows.where("ts is not null").agg(F.percentile_approx("ts", [i / spans for i in range(1, spans)], 10_000)).first()[0]
     cuts = sorted(set(cuts or []))
     span = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c <= F.col("ts"))) if cuts else F.lit(0)
     tag, changed = header(F.col("headers"), "etag"), header(F.col("headers"), "last-modified")
     sources = full.where("url_key is not null and ts is not null and record_id is not null").select(
-        "url_key", "ts", "record_id", span.alias("span"), F.struct("ts", "record_id", tag.alias("etag"), changed.alias("changed")).alias("source")
+        "url_key", "ts", "record_id", span.alias("span"), F.struct("ts", "record_id", "content", tag.alias("etag"), changed.alias("changed")).alias("source")
     )
     askers = revisit.withColumns({"span": span, "source": F.lit(None).cast(sources.schema["source"].dataType), "asks": F.lit(True)})
     timed = askers.where("url_key is not null and ts is not null")
@@ -85,7 +89,7 @@ def resolve_revisits(records: DataFrame, spans: int = 64) -> DataFrame:
     earlier_spans = Window.partitionBy("url_key").orderBy("span").rowsBetween(Window.unboundedPreceding, -1)
     carried = events.groupBy("url_key", "span").agg(F.max("source").alias("last")).select("url_key", "span", F.max("last").over(earlier_spans).alias("carried"))
     # Of equal (ts, record_id), a response is not earlier than a revisit: revisits come first.
-    within = Window.partitionBy("url_key", "span").orderBy("ts", "record_id", F.col("asks").isNull()).rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy("url_key", "span").orderBy("ts", "record_id", F.col("asks").isNull(), "source.content").rowsBetween(Window.unboundedPreceding, -1)
     found = (
         events.withColumn("here", F.last("source", ignorenulls=True).over(within))
         .where("asks")
@@ -101,11 +105,21 @@ def resolve_revisits(records: DataFrame, spans: int = 64) -> DataFrame:
         .when(both_dates, F.when(changed == F.col("found.changed"), "resolved").otherwise("validator_mismatch"))
         .otherwise("no_validator")
     )
-    found = found.withColumn("status", status).withColumn("source_id", F.when(F.col("status") == "resolved", F.col("found.record_id"))).drop("found")
-    stored = full.where("record_id is not null").select(F.col("record_id").alias("source_id"), F.col("headers").alias("stored"), "payload")
-    pointed = found.where("source_id is not null").select("source_id").distinct()
-    stored = stored.join(pointed, "source_id", "left_semi").dropDuplicates(["source_id"])
-    out = found.join(stored, "source_id", "left").withColumn("headers", F.when(F.col("stored").isNotNull(), merged(F.col("stored"), F.col("headers"))).otherwise(F.col("headers")))
+    names = ["source_id", "source_ts", "source_content"]
+    resolved = F.col("status") == "resolved"
+    found = found.withColumn("status", status).withColumns({n: F.when(resolved, F.col(f"found.{c}")) for n, c in zip(names, ("record_id", "ts", "content"))})
+    found = written(found.drop("found"), "revisits")
+    asked = found.where(resolved).groupBy(*names).agg(F.count("*").alias("asked"))
+    # A source that more than ``limit`` revisits ask for, of which there are at most 1,000, is dealt to several tasks.
+    limit = heavy_limit(found.count())
+    cuts = F.ceil(F.col("asked") / limit).cast("int").alias("cuts")
+    heavy = F.broadcast(asked.where(F.col("asked") > limit).select(*names, cuts))
+    salted = found.join(heavy, names, "left").withColumn("salt", F.pmod(F.xxhash64("record_id"), F.coalesce("cuts", F.lit(1))).cast("int")).drop("cuts")
+    stored = full.where("record_id is not null and ts is not null").select(
+        F.col("record_id").alias("source_id"), F.col("ts").alias("source_ts"), F.col("content").alias("source_content"), F.col("headers").alias("stored"), "payload"
+    )
+    stored = stored.join(asked.select(*names, cuts), names).dropDuplicates(names).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1))).drop("cuts")
+    out = salted.join(stored, [*names, "salt"], "left").withColumn("headers", F.when(F.col("stored").isNotNull(), merged(F.col("stored"), F.col("headers"))).otherwise(F.col("headers")))
     columns = ["record_id", "url", "url_key", "ts", "is_full", "status", "source_id", "headers", "payload"]
     whole = full.withColumns({"status": F.lit("full"), "source_id": F.col("record_id")})
     return whole.select(*columns).unionByName(out.withColumn("is_full", F.lit(False)).select(*columns))

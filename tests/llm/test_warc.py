@@ -90,3 +90,27 @@ def test_null_repeated_and_empty(spark):
         (7, "full", 7), (9, "no_earlier_response", None), (10, "resolved", 1), (None, "full", None), (None, "resolved", 1),
     ], key=str)
     assert W.resolve_revisits(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_full_responses_with_one_id(spark):
+    """Validators, headers and payload come from one of them, whatever the order of the rows."""
+    fulls = [(1, "a.b/x", 5, True, [("ETag", f'"{i}"'), ("Server", f"s{i}")], f"body {i}", 0, "") for i in range(6)]
+    asks = [(10 + i, "a.b/x", 9, False, [("ETag", f'"{i}"')], None, 0, "") for i in range(6)]
+    seen = set()
+    for rows in (fulls + asks, asks[::-1] + fulls[::-1]):
+        out = [r for r in W.resolve_revisits(spark.createDataFrame(rows, SCHEMA).repartition(3)).collect() if not r.is_full]
+        (one,) = [r for r in out if r.status == "resolved"]
+        i = one.record_id - 10
+        assert one.payload == f"body {i}" and dict(one.headers)["Server"] == f"s{i}" and one.source_id == 1
+        assert {r.status for r in out if r is not one} == {"validator_mismatch"}
+        seen.add(i)
+    assert len(seen) == 1
+
+
+def test_a_source_that_many_ask_for_is_dealt_to_several_tasks(spark, monkeypatch):
+    monkeypatch.setattr(W, "heavy_limit", lambda rows: 7)
+    rows = [(0, "a.b/x", 0, True, [("ETag", '"x"')], "hot", 0, ""), (1, "a.b/y", 0, True, [("ETag", '"x"')], "cold", 0, "")]
+    rows += [(i, "a.b/x" if i % 10 else "a.b/y", i, False, [("ETag", '"x"')], None, 0, "") for i in range(2, 102)]
+    out = [r for r in W.resolve_revisits(spark.createDataFrame(rows, SCHEMA)).collect() if not r.is_full]
+    assert len(out) == 100 and {r.status for r in out} == {"resolved"}
+    assert all((r.source_id, r.payload) == ((0, "hot") if r.record_id % 10 else (1, "cold")) for r in out)
