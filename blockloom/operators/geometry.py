@@ -135,11 +135,34 @@ def clipped_roads(roads: DataFrame, blocks: DataFrame, cell: float = 200.0) -> D
 
 
 def clipped_footprints(buildings: DataFrame, blocks: DataFrame, cell: float = 200.0) -> DataFrame:
-    """(city, block_id, building_id, area): the area of each footprint in each block, as ``rectangle_pieces``."""
+    """(city, block_id, building_id, area): the area of each footprint in each block."""
     pairs = box_join(buildings.select("city", "building_id", "x0", "y0", "x1", "y1", F.col("geometry").alias("footprint")), blocks.select(*BLOCK, "x0", "y0", "x1", "y1", F.col("geometry").alias("area_of")), ["city"], cell)
     return pairs.select(*BLOCK, "building_id", overlap_area("footprint", "area_of").alias("area")).where("area > 0")
 
 
+def built_polygons(buildings: DataFrame, blocks: DataFrame, cell: float = 200.0) -> DataFrame:
+    """(city, block_id, built_area, n_buildings) of footprints of any shape, as ``built_rectangles``: a block's pieces
+    are cut by the cells of a grid, a task each, and united there, so that a block's size bounds no task."""
+    pairs = box_join(buildings.select("city", "building_id", "x0", "y0", "x1", "y1", F.col("geometry").alias("footprint")), blocks.select(*BLOCK, "x0", "y0", "x1", "y1", F.col("geometry").alias("area_of")), ["city"], cell)
+    n = pairs.select(*BLOCK, "building_id", overlap_area("footprint", "area_of").alias("area")).where("area > 0").groupBy(*BLOCK).agg(F.count_distinct("building_id").alias("n_buildings"))
+    at = lambda c: F.floor(F.col(c) / cell).cast("long")
+    low, high = {c: F.greatest(f"{c}0", f"r_{c}0") for c in "xy"}, {c: F.least(f"{c}1", f"r_{c}1") for c in "xy"}
+    dealt = pairs.withColumns({f"b{c}0": low[c] for c in "xy"} | {f"b{c}1": high[c] for c in "xy"})
+    dealt = dealt.withColumn("cx", F.explode(F.sequence(at("bx0"), at("bx1")))).withColumn("cy", F.explode(F.sequence(at("by0"), at("by1"))))
+    schema = StructType([*(blocks.schema[k] for k in BLOCK), *_doubles(StructType(), "area").fields])
+
+    def union(pdf: pd.DataFrame) -> pd.DataFrame:
+        x, y = pdf["cx"].iloc[0] * cell, pdf["cy"].iloc[0] * cell
+        tile = [[np.array([(x, y), (x + cell, y), (x + cell, y + cell), (x, y + cell)])]]
+        own = L.intersection(S.from_wkb(pdf["area_of"].iloc[0]).polygons, tile)
+        found = [p for d in pdf["footprint"].drop_duplicates() for p in S.from_wkb(d).polygons]
+        area = sum(map(S.polygon_area, L.intersection(L.union(found), own))) if found and own else 0.0
+        return pd.DataFrame({**{k: [pdf[k].iloc[0]] for k in BLOCK}, "area": [float(area)]})
+
+    cells = dealt.select(*BLOCK, "cx", "cy", "footprint", "area_of").groupBy(*BLOCK, "cx", "cy").applyInPandas(union, schema)
+    return n.join(cells.groupBy(*BLOCK).agg(F.sum("area").alias("built_area")), BLOCK).select(*BLOCK, "built_area", "n_buildings")
+
+
 def polygon_road_distance(buildings: DataFrame, roads: DataFrame, window: float = 200.0, default: float = 500.0) -> DataFrame:
     """distance_to_nearest_road of footprints: the least over roads whose box is within ``window``."""
     own = ["city", "building_id"]

@@ -7,17 +7,28 @@ come from the rectangle forms below, or from the polygon kernels of ``blockloom.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import at_most, azimuth, fill_median, histogram_divergence, ratio
 from ..functions.standard import STANDARD
-from .spatial import box_join, clip_to_box, nearest_segment, point_box, segment_box, within_distance
+from .spatial import box_join, clip_to_box, nearest_segment, segment_box, split_segments, within_distance
 
 BLOCK = ["city", "block_id"]
 CLOSE = 20.0
 
 
+#: What a step does with a group's raw rows before medians of them fill what is missing: nothing, or write them, so that
+#: they are made once and not again for the medians.
+Stage = Callable[[DataFrame], DataFrame]
+
+
+def lazily(rows: DataFrame) -> DataFrame:
+    return rows
+
+
 def _std(rows: DataFrame, *metrics: str) -> DataFrame:
     return rows.withColumns({f"{m}_std": STANDARD[m](F.col(f"{m}_raw")) for m in metrics})
 
@@ -27,7 +38,7 @@ def buildings_in_blocks(buildings: DataFrame, blocks: DataFrame, cell: float = 1
     return within_distance(buildings, blocks.select(*BLOCK, "x0", "y0", "x1", "y1"), ["city"], 0.0, cell=cell)
 
 
-def road_access(pairs: DataFrame, blocks: DataFrame) -> DataFrame:
+def road_access(pairs: DataFrame, blocks: DataFrame, stage: Stage = lazily) -> DataFrame:
     """M1, the share of a block's buildings within 20 m of a road (missing: the city's median), and M2, their mean
     distance (0 without buildings), from pairs of building and block with distance_to_nearest_road."""
     d = F.col("distance_to_nearest_road")
@@ -40,13 +51,13 @@ def road_access(pairs: DataFrame, blocks: DataFrame) -> DataFrame:
         "m1_raw": ratio(F.col("n_closer_20m"), F.col("n_buildings")),
         "m2_raw": F.coalesce(ratio(F.col("sum_distance"), F.col("n_buildings")), F.lit(0.0)),
     })
-    return _std(fill_median(out, ["city"], {"m1_raw": 0.0}), "m1", "m2")
+    return _std(fill_median(stage(out), ["city"], {"m1_raw": 0.0}), "m1", "m2")
 
 
 def road_pieces(segments: DataFrame, blocks: DataFrame, cell: float = 100.0) -> DataFrame:
     """The part of each road in each rectangular block: its length and its box. Rows city, block_id, road_id, length,
     px0, py0, px1, py1; pieces of one road in one block are one row, as a multi-part line is."""
-    pairs = box_join(segment_box(segments), blocks.select(*BLOCK, "x0", "y0", "x1", "y1"), ["city"], cell)
+    pairs = box_join(segment_box(split_segments(segments, 4 * cell)), blocks.select(*BLOCK, "x0", "y0", "x1", "y1"), ["city"], cell)
     lo, hi = clip_to_box("r_x0", "r_y0", "r_x1", "r_y1")
     inner = pairs.withColumns({"lo": lo, "hi": hi}).where("hi > lo")
     at = lambda a, b, t: F.col(a) + F.col(t) * (F.col(b) - F.col(a))
@@ -59,18 +70,50 @@ def road_pieces(segments: DataFrame, blocks: DataFrame, cell: float = 100.0) ->
 
 
 def rectangle_pieces(buildings: DataFrame, blocks: DataFrame, cell: float = 100.0) -> DataFrame:
-    """The area of each rectangular footprint (box columns) in each rectangular block: city, block_id, building_id,
-    area; footprints that only touch a block have no piece."""
+    """The part of each rectangular footprint (box columns) in each rectangular block: city, block_id, building_id and
+    its box px0, py0, px1, py1; footprints that only touch a block have no piece."""
     pairs = box_join(buildings, blocks.select(*BLOCK, "x0", "y0", "x1", "y1"), ["city"], cell)
-    side = lambda a: F.least(f"{a}1", f"r_{a}1") - F.greatest(f"{a}0", f"r_{a}0")
-    return pairs.where((side("x") > 0) & (side("y") > 0)).select(*BLOCK, "building_id", (side("x") * side("y")).alias("area"))
+    box = {f"p{a}0": F.greatest(f"{a}0", f"r_{a}0") for a in "xy"} | {f"p{a}1": F.least(f"{a}1", f"r_{a}1") for a in "xy"}
+    return pairs.withColumns(box).where("px1 > px0 and py1 > py0").select(*BLOCK, "building_id", "px0", "py0", "px1", "py1")
+
+
+def covered_area(rectangles: DataFrame, keys: list[str], out: str, cell: float = 100.0) -> DataFrame:
+    """(keys, ``out``): the area that each group's upright rectangles (px0, py0, px1, py1) cover together.
+
+    Rectangles are cut at the lines of a grid, so that a group is as many tasks as it has cells. In a cell the lines of
+    the rectangles' sides part it into slabs; in each the covered length is that of the union of intervals."""
+    at = lambda c: F.floor(F.col(c) / cell)
+    # A rectangle that ends on a line of the grid has no area beyond it.
+    dealt = rectangles.withColumn("cx", F.explode(F.sequence(at("px0"), at("px1")))).withColumn("cy", F.explode(F.sequence(at("py0"), at("py1"))))
+    side = lambda a, pick, n, edge: pick(F.col(f"p{a}{n}"), (F.col(f"c{a}") + edge) * cell).alias(f"{a}{n}")
+    cut = dealt.select(*keys, "cx", "cy", side("x", F.greatest, 0, 0), side("y", F.greatest, 0, 0), side("x", F.least, 1, 1), side("y", F.least, 1, 1)).where("x1 > x0 and y1 > y0")
+    cells = cut.groupBy(*keys, "cx", "cy").agg(F.collect_set(F.struct("y0", "y1", "x0", "x1")).alias("r"))
+    lines = F.array_sort(F.array_distinct(F.concat(F.col("r.x0"), F.col("r.x1"))))
+
+    def length(low, high):
+        over = F.array_sort(F.filter("r", lambda t: (t["x0"] <= low) & (t["x1"] >= high)))  # by y0
+        step = lambda s, t: F.struct(
+            (s["sum"] + F.greatest(F.lit(0.0), t["y1"] - F.greatest(t["y0"], s["top"]))).alias("sum"), F.greatest(s["top"], t["y1"]).alias("top")
+        )
+        return F.aggregate(over, F.struct(F.lit(0.0).alias("sum"), F.lit(float("-inf")).alias("top")), step, lambda s: s["sum"])
+
+    slabs = F.arrays_zip(F.slice("lines", 1, F.size("lines") - 1).alias("low"), F.slice("lines", 2, F.size("lines") - 1).alias("high"))
+    area = F.aggregate(slabs, F.lit(0.0), lambda a, s: a + (s["high"] - s["low"]) * length(s["low"], s["high"]))
+    return cells.withColumn("lines", lines).groupBy(*keys).agg(F.sum(area).alias(out))
+
+
+def built_rectangles(pieces: DataFrame) -> DataFrame:
+    """(city, block_id, built_area, n_buildings): the ground that the footprints of a block cover together, places of
+    several of them once, and their number, from rows as of ``rectangle_pieces``."""
+    n = pieces.groupBy(*BLOCK).agg(F.count_distinct("building_id").alias("n_buildings"))
+    return covered_area(pieces, BLOCK, "built_area").join(n, BLOCK)
 
 
-def block_base(blocks: DataFrame, footprints: DataFrame, pieces: DataFrame, node_pairs: DataFrame) -> DataFrame:
+def block_base(blocks: DataFrame, built: DataFrame, pieces: DataFrame, node_pairs: DataFrame, stage: Stage = lazily) -> DataFrame:
     """M3 road density, M4 share of four-way nodes, M5 node density, M10 building density, M11 coverage, M12 mean
-    footprint, from footprint pieces, road pieces and pairs of node and block. Counts are of distinct buildings and
-    nodes; M4 is the city's median, or 0, where a block has no node of three streets."""
-    built = footprints.groupBy(*BLOCK).agg(F.sum("area").alias("built_area"), F.count_distinct("building_id").alias("n_buildings"))
+    footprint, from built area and number of buildings (``built_rectangles``, or ``geometry.built_polygons``), road
+    pieces and pairs of node and block. Counts are of distinct buildings and nodes; M4 is the city's median, or 0,
+    where a block has no node of three streets."""
     length = pieces.groupBy(*BLOCK).agg(F.sum("length").alias("total_len_m"))
     degree = F.col("street_count")
     nodes = node_pairs.select(*BLOCK, "osmid", "street_count").dropDuplicates([*BLOCK, "osmid"]).groupBy(*BLOCK).agg(
@@ -91,17 +134,17 @@ def block_base(blocks: DataFrame, footprints: DataFrame, pieces: DataFrame, node
         "m11_raw": ratio(F.col("built_area"), F.col("block_area")),
         "m12_raw": F.coalesce(ratio(F.col("built_area"), F.col("n_buildings")), F.lit(0.0)),
     })
-    return _std(fill_median(out, ["city"], {"m4_raw": 0.0}), "m3", "m4", "m5", "m10", "m11", "m12")
+    return _std(fill_median(stage(out), ["city"], {"m4_raw": 0.0}), "m3", "m4", "m5", "m10", "m11", "m12")
 
 
-def orientation_and_width(pairs: DataFrame, blocks: DataFrame, period: float = 180.0, bins: int = 18) -> DataFrame:
+def orientation_and_width(pairs: DataFrame, blocks: DataFrame, period: float = 180.0, bins: int = 18, stage: Stage = lazily) -> DataFrame:
     """M6, the divergence of building azimuths from an even spread over ``period`` degrees, and M7, twice the radius
     of the largest inscribed circle (max_radius of ``blocks``); missing: the city's median, else 0 and 200. Azimuths
     are of rectangles, so in [0, 90); a period of 90 bins them over their own range."""
     turned = pairs.withColumn("azimuth", F.pmod(F.col("azimuth"), F.lit(180.0)))
     kl = histogram_divergence(turned, BLOCK, "azimuth", 0.0, period, bins, "m6_raw")
     out = blocks.select(*BLOCK, (F.col("max_radius") * 2.0).alias("m7_raw")).join(kl, BLOCK, "left")
-    return _std(fill_median(out, ["city"], {"m6_raw": 0.0, "m7_raw": 200.0}), "m6", "m7")
+    return _std(fill_median(stage(out), ["city"], {"m6_raw": 0.0, "m7_raw": 200.0}), "m6", "m7")
 
 
 def straightness(pieces: DataFrame) -> DataFrame:
@@ -147,13 +190,13 @@ def right_angle_deviation(bearings: DataFrame, nodes: DataFrame) -> DataFrame:
     return ranked.groupBy("city", "osmid").agg(F.avg(F.abs(90.0 - F.col("gap"))).alias("average_angle"))
 
 
-def straightness_and_angles(blocks: DataFrame, pieces: DataFrame, node_pairs: DataFrame, angles: DataFrame) -> DataFrame:
+def straightness_and_angles(blocks: DataFrame, pieces: DataFrame, node_pairs: DataFrame, angles: DataFrame, stage: Stage = lazily) -> DataFrame:
     """M8 (0 without roads) and M9, the mean deviation over a block's nodes that have one (missing: the city's median,
     else 0)."""
     near = node_pairs.select(*BLOCK, "osmid").dropDuplicates().join(angles, ["city", "osmid"])
     m9 = near.groupBy(*BLOCK).agg(F.avg("average_angle").alias("m9_raw"), F.count("average_angle").alias("m9_n_intersections"))
     out = blocks.select(*BLOCK).join(straightness(pieces), BLOCK, "left").join(m9, BLOCK, "left").na.fill(0, ["m9_n_intersections", "m8_raw"])
-    return _std(fill_median(out, ["city"], {"m9_raw": 0.0}), "m8", "m9")
+    return _std(fill_median(stage(out), ["city"], {"m9_raw": 0.0}), "m8", "m9")
 
 
 def node_degrees(edges: DataFrame) -> DataFrame:
@@ -200,7 +243,7 @@ def nodes_in_blocks(nodes: DataFrame, blocks: DataFrame, distance: float, strict
 def roads_near_blocks(segments: DataFrame, blocks: DataFrame, distance: float = 100.0, cell: float = 100.0) -> DataFrame:
     """(city, block_id, road_id) of road segments not further than ``distance`` from a rectangular block."""
     b = blocks.select(*BLOCK, "x0", "y0", "x1", "y1")
-    pairs = box_join(segment_box(segments), b, ["city"], cell, distance)
+    pairs = box_join(segment_box(split_segments(segments, 4 * cell)), b, ["city"], cell, distance)
     for c in ("x0", "y0", "x1", "y1"):
         pairs = pairs.drop(c).withColumnRenamed(f"r_{c}", c)
     from .spatial import point_box_distance, point_segment_distance

@@ -2,7 +2,8 @@
 
 Each side is dealt to the cells that its bounding box meets. A pair that meets in several cells is kept in one of
 them, the lower left one of the cells common to both, so no distinct is needed. Cell keys spread a city over many
-tasks; a crowded cell is split by adaptive execution.
+tasks; a crowded cell is split by adaptive execution. A box of n by m cells is n * m rows: long segments are cut into
+pieces first, or, where the box of the whole segment counts, dealt to the cells of a coarser grid.
 """
 
 from __future__ import annotations
@@ -26,6 +27,21 @@ def segment_box(rows: DataFrame) -> DataFrame:
     return with_box(rows, F.least("ax", "bx"), F.least("ay", "by"), F.greatest("ax", "bx"), F.greatest("ay", "by"))
 
 
+def split_segments(rows: DataFrame, longest: float) -> DataFrame:
+    """Segments (ax, ay) to (bx, by) cut into equal pieces of at most ``longest`` along either axis, a row each; those
+    that are no longer stay as they are. A piece ends where the next one starts."""
+    n = F.greatest(F.ceil(F.greatest(F.abs(F.col("bx") - F.col("ax")), F.abs(F.col("by") - F.col("ay"))) / longest).cast("int"), F.lit(1))
+    cut = rows.withColumn("pieces__", F.coalesce(n, F.lit(1))).withColumn("piece__", F.explode(F.sequence(F.lit(0), F.col("pieces__") - 1)))
+
+    def at(a: str, b: str, i: Column) -> Column:
+        inner = F.col(a) + (i / F.col("pieces__")) * (F.col(b) - F.col(a))
+        return F.when(i == 0, F.col(a)).when(i == F.col("pieces__"), F.col(b)).otherwise(inner)
+
+    i = F.col("piece__")
+    ends = {"ax": at("ax", "bx", i), "ay": at("ay", "by", i), "bx": at("ax", "bx", i + 1), "by": at("ay", "by", i + 1)}
+    return cut.withColumns(ends).drop("pieces__", "piece__")
+
+
 def _dealt(rows: DataFrame, side: str, cell: float, pad: float) -> DataFrame:
     at = lambda c, d: F.floor((F.col(c) + d) / cell)
     return (
@@ -83,7 +99,9 @@ def nearest_segment(points: DataFrame, segments: DataFrame, keys: list[str], poi
     """Each point's least distance to the segments whose box is within ``window`` of it along both axes; such a least
     distance may exceed the window. ``default`` where there is none."""
     own = [*keys, point_id]
-    pairs = box_join(point_box(points.select(*own, "x", "y")), segment_box(segments.select(*keys, "ax", "ay", "bx", "by")), keys, window, window)
+    places, boxes = point_box(points.select(*own, "x", "y")), segment_box(segments.select(*keys, "ax", "ay", "bx", "by"))
+    long = F.coalesce(F.greatest(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")) > 8 * window, F.lit(False))
+    pairs = box_join(places, boxes.where(~long), keys, window, window).unionByName(box_join(places, boxes.where(long), keys, 32 * window, window))
     least = pairs.groupBy(*own).agg(F.min(point_segment_distance(F.col("x"), F.col("y"))).alias("distance_to_nearest_road"))
     return points.join(least, own, "left").withColumn("distance_to_nearest_road", F.coalesce("distance_to_nearest_road", F.lit(float(default))))
 

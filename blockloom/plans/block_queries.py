@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.numeric import histogram_divergence
 from ..operators import metrics as M
 from ..operators import tables as R
+from ..sources.staging import staged
 from . import proxy as P
 from .proxy import PROXY_SQL, rounded, table
 
@@ -56,13 +57,13 @@ def m1_m2_road_access(spark, d):
 
 def base(spark, d) -> DataFrame:
     blocks = P.blocks(spark, d)
-    return M.block_base(blocks, M.rectangle_pieces(P.buildings(spark, d), blocks), M.road_pieces(P.segments(spark, d), blocks), M.nodes_in_blocks(P.nodes(spark, d), blocks, 0.75))
+    return M.block_base(blocks, M.built_rectangles(M.rectangle_pieces(P.buildings(spark, d), blocks)), M.road_pieces(P.segments(spark, d), blocks), M.nodes_in_blocks(P.nodes(spark, d), blocks, 0.75))
 
 
 BASE = """, raw AS (
     SELECT k.city, k.block_id, k.block_area, coalesce(f.built_area, 0) AS built_area, coalesce(f.n_buildings, 0) AS n_buildings, coalesce(p.total_len_m, 0) AS total_len_m,
         coalesce(n.n2, 0) AS n_intersections, coalesce(n.n3, 0) AS intersections_3plus, coalesce(n.n4, 0) AS intersections_4way
-    FROM block k LEFT JOIN (SELECT city, block_id, sum(area) AS built_area, count(DISTINCT building_id) AS n_buildings FROM footprint GROUP BY city, block_id) f USING (city, block_id)
+    FROM block k LEFT JOIN built f USING (city, block_id)
     LEFT JOIN (SELECT city, block_id, sum(length) AS total_len_m FROM piece GROUP BY city, block_id) p USING (city, block_id)
     LEFT JOIN (SELECT city, block_id, count(*) FILTER (WHERE street_count >= 2) AS n2, count(*) FILTER (WHERE street_count >= 3) AS n3, count(*) FILTER (WHERE street_count = 4) AS n4
         FROM node_block WHERE gap <= 0.75 GROUP BY city, block_id) n USING (city, block_id)
@@ -88,9 +89,10 @@ def m5_intersection_density(spark, d):
     return rounded(base(spark, d).select("city", "block_id", "n_intersections", "m5_raw", "m5_std"))
 
 
-@query(PROXY_SQL + BASE + f"SELECT city, block_id, {r('block_area', 'built_area')}, n_buildings, {r('m10_raw', 'm11_raw', 'm12_raw')}, round(1 - least(m10_raw, 4000) / 4000, 6) + 0.0 AS m10_std, round(1 - m11_raw, 6) + 0.0 AS m11_std, round(least(m12_raw, 200) / 200, 6) AS m12_std FROM based")
+@query(PROXY_SQL + BASE + f"SELECT city, block_id, block_area, round(built_area, 3) AS built_area, n_buildings, {r('m10_raw', 'm11_raw')}, round(m12_raw, 3) AS m12_raw, round(1 - least(m10_raw, 4000) / 4000, 6) + 0.0 AS m10_std, round(1 - m11_raw, 6) + 0.0 AS m11_std, round(least(m12_raw, 200) / 200, 6) AS m12_std FROM based")
 def m10_m11_m12_saturation(spark, d):
-    return rounded(base(spark, d).select("city", "block_id", "block_area", "built_area", "n_buildings", "m10_raw", "m11_raw", "m12_raw", "m10_std", "m11_std", "m12_std"))
+    out = base(spark, d).select("city", "block_id", "block_area", "built_area", "n_buildings", "m10_raw", "m11_raw", "m12_raw", "m10_std", "m11_std", "m12_std")
+    return rounded(out.withColumns({c: F.round(c, 3) for c in ("built_area", "m12_raw")}))  # of products of eight digits
 
 
 KL = """, turned AS (SELECT city, block_id, least(17, CAST(floor(((label * 37 + building_id * 11) % 180) / {width}) AS INT)) AS bin FROM held WHERE (label * 37 + building_id * 11) % 180 <= {period}
@@ -239,10 +241,20 @@ def total_bounds(spark, d):
 
 
 @query(PROXY_SQL + ACCESS + BASE + KL.format(width=10.0, period=180) + ", six AS (SELECT k.city, k.block_id, max_radius * 2 AS m7, kl FROM block k LEFT JOIN kl USING (city, block_id)), m67 AS (SELECT city, block_id, coalesce(kl, median(kl) OVER w, 0) AS m6_raw, coalesce(m7, median(m7) OVER w, 200) AS m7_raw FROM six WINDOW w AS (PARTITION BY city)) "
-       "SELECT b.city, b.block_id, b.n_buildings, round(m1_raw, 6) AS m1_raw, round(1 - least(m2_raw, 100) / 100, 6) + 0.0 AS m2_std, round(b.m3_raw, 6) AS m3_raw, round(b.m12_raw, 6) AS m12_raw, round(m6_raw, 6) + 0.0 AS m6_std, round(1 - (least(greatest(m7_raw, 30), 200) - 30) / 170, 6) + 0.0 AS m7_std "
+       "SELECT b.city, b.block_id, b.n_buildings, round(m1_raw, 6) AS m1_raw, round(1 - least(m2_raw, 100) / 100, 6) + 0.0 AS m2_std, round(b.m3_raw, 6) AS m3_raw, round(b.m12_raw, 3) AS m12_raw, round(m6_raw, 6) + 0.0 AS m6_std, round(1 - (least(greatest(m7_raw, 30), 200) - 30) / 170, 6) + 0.0 AS m7_std "
        "FROM based b JOIN m12 a USING (city, block_id) JOIN m67 USING (city, block_id)")
 def consolidate_metrics(spark, d):
-    pairs = M.buildings_in_blocks(near_road(spark, d).select("city", "building_id", "x", "y", "distance_to_nearest_road"), P.blocks(spark, d))
-    groups = [base(spark, d), M.road_access(pairs, P.blocks(spark, d)), M.orientation_and_width(turned(spark, d), P.blocks(spark, d))]
+    """Every group's raw rows are written once, as are the tables that several groups read."""
+    buildings, blocks = staged(P.buildings(spark, d).drop("hw", "hh")), staged(P.blocks(spark, d))
+    segments = staged(P.segments(spark, d))
+    near = M.distances(buildings.select("city", "building_id", "x", "y", "label"), segments)
+    pairs = staged(M.buildings_in_blocks(near, blocks).withColumn("azimuth", ((F.col("label") * 37 + F.col("building_id") * 11) % 180).cast("double")))
+    nodes = M.nodes_in_blocks(P.nodes(spark, d), blocks, 0.75)
+    built = M.built_rectangles(staged(M.rectangle_pieces(buildings, blocks)))
+    groups = [
+        M.block_base(blocks, built, M.road_pieces(segments, blocks), nodes, stage=staged),
+        M.road_access(pairs, blocks, stage=staged),
+        M.orientation_and_width(pairs, blocks, stage=staged),
+    ]
     out = R.consolidate(groups, M.BLOCK)
-    return rounded(out.select("city", "block_id", "n_buildings", "m1_raw", "m2_std", "m3_raw", "m12_raw", "m6_std", "m7_std"))
+    return rounded(out.select("city", "block_id", "n_buildings", "m1_raw", "m2_std", "m3_raw", F.round("m12_raw", 3).alias("m12_raw"), "m6_std", "m7_std"))

@@ -48,12 +48,18 @@ def inscribed_circle(spark, d):
     return rounded(out.select("city", "building_id", "max_radius"))
 
 
-@query(PROXY_SQL + "SELECT city, block_id, building_id, round(area, 4) AS area FROM footprint WHERE area > 0.001")
+@query(PROXY_SQL + "SELECT city, block_id, building_id, round((px1 - px0) * (py1 - py0), 4) AS area FROM footprint WHERE (px1 - px0) * (py1 - py0) > 0.001")
 def polygon_overlay_area(spark, d):
     out = G.clipped_footprints(upright(P.buildings(spark, d)), upright(P.blocks(spark, d)))
     return rounded(out.where("area > 0.001"), 4)
 
 
+@query(PROXY_SQL + "SELECT city, block_id, round(built_area, 3) AS built_area, n_buildings FROM built")
+def polygon_built_area(spark, d):
+    """The union of footprints of any shape, over the upright ones."""
+    return rounded(G.built_polygons(upright(P.buildings(spark, d)), upright(P.blocks(spark, d))), 3)
+
+
 @query(PROXY_SQL + "SELECT city, block_id, road_id, round(length, 3) AS length FROM piece WHERE length > 0.01")
 def clipped_road_length(spark, d):
     out = G.clipped_roads(road_lines(spark, d), upright(P.blocks(spark, d)))

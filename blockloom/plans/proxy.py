@@ -96,8 +96,20 @@ WITH building AS (
         max(greatest(ax + lo * (ex - ax), ax + hi * (ex - ax))) AS px1, max(greatest(ay + lo * (ey - ay), ay + hi * (ey - ay))) AS py1
     FROM inside WHERE hi > lo GROUP BY city, block_id, road_id
 ), footprint AS (
-    SELECT k.city, k.block_id, b.building_id, (least(b.x1, k.x1) - greatest(b.x0, k.x0)) * (least(b.y1, k.y1) - greatest(b.y0, k.y0)) AS area
+    SELECT k.city, k.block_id, b.building_id, greatest(b.x0, k.x0) AS px0, greatest(b.y0, k.y0) AS py0, least(b.x1, k.x1) AS px1, least(b.y1, k.y1) AS py1
     FROM building b JOIN block k ON b.city = k.city AND least(b.x1, k.x1) > greatest(b.x0, k.x0) AND least(b.y1, k.y1) > greatest(b.y0, k.y0)
+), place AS (
+    SELECT DISTINCT city, block_id, px0, py0, px1, py1 FROM footprint
+), slab AS (
+    SELECT city, block_id, x AS low, lead(x) OVER (PARTITION BY city, block_id ORDER BY x) AS high
+    FROM (SELECT city, block_id, px0 AS x FROM place UNION SELECT city, block_id, px1 FROM place)
+), strip AS (
+    SELECT city, block_id, high - low AS width, py0, py1, max(py1) OVER (PARTITION BY city, block_id, low ORDER BY py0, py1 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS top
+    FROM slab JOIN place USING (city, block_id) WHERE px0 <= low AND px1 >= high
+), built AS (
+    SELECT city, block_id, built_area, n_buildings FROM (
+        SELECT city, block_id, sum(width * greatest(0, py1 - greatest(py0, coalesce(top, py0)))) AS built_area FROM strip GROUP BY city, block_id)
+    JOIN (SELECT city, block_id, count(DISTINCT building_id) AS n_buildings FROM footprint GROUP BY city, block_id) USING (city, block_id)
 ), node_block AS (
     SELECT k.city, k.block_id, n.osmid, n.street_count, sqrt(greatest(k.x0 - n.x, n.x - k.x1, 0) ** 2 + greatest(k.y0 - n.y, n.y - k.y1, 0) ** 2) AS gap
     FROM node n JOIN block k ON n.city = k.city AND n.x BETWEEN k.x0 - 1 AND k.x1 + 1 AND n.y BETWEEN k.y0 - 1 AND k.y1 + 1

@@ -55,14 +55,61 @@ def test_nearest_segment_window_and_default(spark):
 
 def test_counts_do_not_depend_on_partitions(spark):
     blocks = spark.createDataFrame([(1, 1, 0.0, 0.0, 100.0, 100.0, 1e4)], "city int, block_id int, x0 double, y0 double, x1 double, y1 double, block_area double")
-    foot = spark.createDataFrame([(1, 1, 7, 50.0), (1, 1, 7, 25.0), (1, 1, 8, 25.0)], "city int, block_id int, building_id int, area double").repartition(3)
+    foot = spark.createDataFrame([(1, 1, 7, 0.0, 0.0, 10.0, 5.0), (1, 1, 7, 0.0, 5.0, 5.0, 10.0), (1, 1, 8, 5.0, 5.0, 10.0, 10.0)], "city int, block_id int, building_id int, px0 double, py0 double, px1 double, py1 double").repartition(3)
     nodes = spark.createDataFrame([(1, 1, 5, 4), (1, 1, 5, 4), (1, 1, 6, 3), (1, 1, 9, 1)], "city int, block_id int, osmid int, street_count int").repartition(4)
     pieces = spark.createDataFrame([], "city int, block_id int, length double")
-    r = M.block_base(blocks, foot, pieces, nodes).first()
+    r = M.block_base(blocks, M.built_rectangles(foot), pieces, nodes).first()
     assert (r.n_buildings, r.built_area, r.n_intersections, r.intersections_3plus, r.intersections_4way) == (2, 100.0, 2, 2, 1)
     assert r.m4_raw == 0.5 and r.m3_raw == 0 and r.m12_raw == 50 and not r.has_roads
 
 
+def boxes_at_random(seed, n=60, size=250):
+    rng = np.random.default_rng(seed)
+    low = rng.integers(0, size, (n, 2))
+    return np.hstack((low, low + rng.integers(1, 40, (n, 2))))
+
+
+def test_covered_area_counts_every_place_once(spark):
+    """Footprints over several cells of the grid, some equal, some within others, against a raster."""
+    rows, want = [], {}
+    for block in range(3):
+        boxes = boxes_at_random(block)
+        boxes = np.vstack((boxes, boxes[:20], [[10, 10, 290, 290]] if block == 2 else np.empty((0, 4), int)))
+        raster = np.zeros((300, 300), bool)
+        for i, (x0, y0, x1, y1) in enumerate(boxes.tolist()):
+            raster[x0:x1, y0:y1] = True
+            rows.append((1, block, i, *map(float, (x0, y0, x1, y1))))
+        want[block] = (float(raster.sum()), len(boxes))
+    foot = spark.createDataFrame(rows, "city int, block_id int, building_id int, px0 double, py0 double, px1 double, py1 double").repartition(3)
+    assert {r.block_id: (round(r.built_area, 6), r.n_buildings) for r in M.built_rectangles(foot).collect()} == want
+    assert M.built_rectangles(foot.limit(0)).count() == 0
+
+
+def test_two_equal_footprints_are_one_place(spark):
+    one = spark.createDataFrame([(1, i, 10.0, 10.0, 50.0, 50.0) for i in (1, 2)], "city int, building_id int, x0 double, y0 double, x1 double, y1 double")
+    block = spark.createDataFrame([(1, 1, 0.0, 0.0, 100.0, 100.0)], "city int, block_id int, x0 double, y0 double, x1 double, y1 double")
+    r = M.built_rectangles(M.rectangle_pieces(one, block)).first()
+    assert (r.built_area, r.n_buildings) == (1_600.0, 2)
+    shape = lambda df: df.withColumn("geometry", G.rectangle_wkb("x0", "y0", "x1", "y1", F.lit(0.0)))
+    r = G.built_polygons(shape(one), shape(block), cell=30.0).first()
+    assert (round(r.built_area, 6), r.n_buildings) == (1_600.0, 2)
+
+
+def test_a_long_segment_is_a_row_for_each_piece(spark):
+    long = spark.createDataFrame([(1, 1, 0.0, 0.0, 30_000.0, 30_000.0)], "city int, road_id int, ax double, ay double, bx double, by double")
+    cut = X.split_segments(long, 400.0)
+    assert X._dealt(X.segment_box(cut), "l__", 100.0, 0.0).count() <= 2_500 < X._dealt(X.segment_box(long), "l__", 100.0, 0.0).count()
+    assert X._dealt(X.segment_box(long), "r__", 32 * 200.0, 200.0).count() <= 100
+    ends = sorted((r.ax, r.ay, r.bx, r.by) for r in cut.collect())
+    assert ends[0][:2] == (0, 0) and ends[-1][2:] == (30_000, 30_000) and all(a[2:] == b[:2] for a, b in zip(ends, ends[1:]))
+    blocks = spark.createDataFrame([(1, 7, 900.0, 900.0, 2_000.0, 1_500.0)], "city int, block_id int, x0 double, y0 double, x1 double, y1 double")
+    (r,) = M.road_pieces(long, blocks).collect()
+    assert r.length == pytest.approx(600 * 2**0.5) and (r.px0, r.py0, r.px1, r.py1) == pytest.approx((900, 900, 1_500, 1_500))
+    points = spark.createDataFrame([(1, 1, 0.0, 300.0), (1, 2, 40_000.0, 0.0)], "city int, building_id int, x double, y double")
+    out = {r.building_id: r.distance_to_nearest_road for r in M.distances(points, long).collect()}
+    assert out[1] == pytest.approx(300 / 2**0.5) and out[2] == 500
+
+
 def test_right_angles(spark):
     b = spark.createDataFrame([(1, 1, x) for x in (0.0, 90.0, 180.0, 270.0)] + [(1, 2, x) for x in (10.0, 100.0, 190.0)] + [(1, 3, 0.0), (1, 3, 90.0), (1, 3, 90.0)], "city int, osmid int, bearing double")
     n = spark.createDataFrame([(1, 1, 4), (1, 2, 3), (1, 3, 3)], "city int, osmid int, street_count int")
