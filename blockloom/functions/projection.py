@@ -22,6 +22,30 @@ def utm_epsg(lon: Column, lat: Column) -> Column:
     return (F.when(lat < 0, F.lit(32700)).otherwise(F.lit(32600)) + utm_zone(lon)).cast("int")
 
 
+def utm_text(epsg: Column) -> Column:
+    """A zone's parameters as projection libraries write them."""
+    south = F.when(epsg >= 32700, F.lit(" +south")).otherwise(F.lit(""))
+    return F.concat(F.lit("+proj=utm +zone="), (epsg % 100).cast("int").cast("string"), south, F.lit(" +datum=WGS84 +units=m +no_defs"))
+
+
+# Fixed value: the parallel of true scale of the global equal-area grid, EPSG 6933.
+TRUE_SCALE = 30.0
+
+
+def _equal_area() -> float:
+    """The factor of longitudes on that grid."""
+    s = math.sin(math.radians(TRUE_SCALE))
+    return math.cos(math.radians(TRUE_SCALE)) / math.sqrt(1 - FLATTENING * (2 - FLATTENING) * s * s)
+
+
+def to_equal_area(lon: Column, lat: Column) -> tuple[Column, Column]:
+    """Metres on the global equal-area grid (EPSG 6933): areas there are areas on the ellipsoid."""
+    e2 = FLATTENING * (2 - FLATTENING)
+    e, k, s = math.sqrt(e2), _equal_area(), F.sin(F.radians(lat))
+    q = (1.0 - e2) * (s / (1.0 - e2 * s * s) + F.atanh(e * s) / e)
+    return F.lit(RADIUS * k) * F.radians(lon), F.lit(RADIUS / (2 * k)) * q
+
+
 def _series() -> tuple[float, list[float], list[float]]:
     n = FLATTENING / (2 - FLATTENING)
     a = RADIUS / (1 + n) * (1 + n**2 / 4 + n**4 / 64)
@@ -61,3 +85,38 @@ def from_utm(x: Column, y: Column, epsg: Column) -> tuple[Column, Column]:
         s = e * F.sin(phi)
         phi = 2.0 * F.atan(F.tan(math.pi / 4 + chi / 2.0) * F.pow((1.0 + s) / (1.0 - s), e / 2.0)) - math.pi / 2
     return F.degrees(F.atan2(F.sinh(q), F.cos(p))) + (epsg % 100) * 6.0 - 183.0, F.degrees(phi)
+
+
+def convert(x, y, own: int, to: int):
+    """Arrays of coordinates from one EPSG system to another, of 4326, zones of universal transverse Mercator and, as a
+    target, 6933: the formulas above in numpy, for vertices of shapes."""
+    import numpy as np
+
+    a, alpha, beta = _series()
+    e2 = FLATTENING * (2 - FLATTENING)
+    e = math.sqrt(e2)
+    if own == to:
+        return x, y
+    if own != 4326:
+        xi, eta = (y - (SOUTH if own >= 32700 else 0.0)) / (SCALE * a), (x - EAST) / (SCALE * a)
+        p, q = xi, eta
+        for j, c in enumerate(beta, 1):
+            p, q = p - c * np.sin(2 * j * xi) * np.cosh(2 * j * eta), q - c * np.cos(2 * j * xi) * np.sinh(2 * j * eta)
+        chi = np.arcsin(np.sin(p) / np.cosh(q))
+        phi = chi
+        for _ in range(5):
+            s = e * np.sin(phi)
+            phi = 2 * np.arctan(np.tan(math.pi / 4 + chi / 2) * ((1 + s) / (1 - s)) ** (e / 2)) - math.pi / 2
+        x, y = np.degrees(np.arctan2(np.sinh(q), np.cos(p))) + own % 100 * 6.0 - 183.0, np.degrees(phi)
+    if to == 4326:
+        return x, y
+    if to == 6933:
+        k, s = _equal_area(), np.sin(np.radians(y))
+        return RADIUS * k * np.radians(x), RADIUS / (2 * k) * (1 - e2) * (s / (1 - e2 * s * s) + np.arctanh(e * s) / e)
+    phi, lam = np.radians(y), np.radians(x - to % 100 * 6.0 + 183.0)
+    t = np.sinh(np.arctanh(np.sin(phi)) - e * np.arctanh(e * np.sin(phi)))
+    xi, eta = np.arctan2(t, np.cos(lam)), np.arctanh(np.sin(lam) / np.sqrt(1 + t * t))
+    u, v = eta, xi
+    for j, c in enumerate(alpha, 1):
+        u, v = u + c * np.cos(2 * j * xi) * np.sinh(2 * j * eta), v + c * np.sin(2 * j * xi) * np.cosh(2 * j * eta)
+    return SCALE * a * u + EAST, SCALE * a * v + (SOUTH if to >= 32700 else 0.0)

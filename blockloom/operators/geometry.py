@@ -110,6 +110,34 @@ def rectangle_wkb(x0: pd.Series, y0: pd.Series, x1: pd.Series, y1: pd.Series, de
     return pd.Series(out)
 
 
+def reproject(geometry: Column, own: int, to: int) -> Column:
+    """Shapes of one EPSG system in another (``projection.convert``)."""
+
+    @F.pandas_udf(BinaryType())
+    def turn(s: pd.Series) -> pd.Series:
+        from ..functions.projection import convert
+
+        f = lambda p: np.column_stack(convert(p[:, 0], p[:, 1], own, to))
+        return s.map(lambda d: S.to_wkb(S.mapped(S.from_wkb(d), f)), na_action="ignore")
+
+    return turn(geometry)
+
+
+@F.pandas_udf(_doubles(StructType(), "x", "y"))
+def representative_point(s: pd.Series) -> pd.DataFrame:
+    """A point within the largest polygon of each shape; else its first vertex; NULL for an empty one."""
+    rows = []
+    for d in s:
+        shape = S.from_wkb(d)
+        if shape is not None and shape.polygons:
+            rows.append(tuple(S.interior_point(max(shape.polygons, key=S.polygon_area))))
+        elif shape is not None and not shape.empty:
+            rows.append(tuple((shape.lines[0] if shape.lines else shape.points)[0]))
+        else:
+            rows.append((None, None))
+    return pd.DataFrame(rows, columns=["x", "y"], dtype=float)
+
+
 PIECE = _doubles(StructType(), "length", "px0", "py0", "px1", "py1").add("geometry", BinaryType())
 
 

@@ -115,42 +115,131 @@ def files_of(spark: SparkSession, path: str) -> DataFrame:
     return rows.groupBy("file", "size", "changed").agg(F.count("*").alias("n_rows"))
 
 
-def geo_footer(crs: str, kinds: list[str], box: list[float] | None) -> bytes:
+# The names of shapes in GeoParquet footers.
+GEOMETRY_TYPES = {"point": "Point", "line": "LineString", "polygon": "Polygon", "multipoint": "MultiPoint", "multiline": "MultiLineString", "multipolygon": "MultiPolygon", "collection": "GeometryCollection"}
+
+
+def crs_json(epsg: int) -> dict:
+    """A reference system as PROJJSON: degrees, or a zone of universal transverse Mercator."""
+    base = {
+        "type": "GeographicCRS", "name": "WGS 84", "datum": {"type": "GeodeticReferenceFrame", "name": "World Geodetic System 1984", "ellipsoid": {"name": "WGS 84", "semi_major_axis": 6378137, "inverse_flattening": 298.257223563}},
+        "coordinate_system": {"subtype": "ellipsoidal", "axis": [{"name": "Geodetic latitude", "abbreviation": "Lat", "direction": "north", "unit": "degree"}, {"name": "Geodetic longitude", "abbreviation": "Lon", "direction": "east", "unit": "degree"}]},
+        "id": {"authority": "EPSG", "code": 4326},
+    }
+    if epsg == 4326:
+        return base
+    zone, south = epsg % 100, epsg // 100 == 327
+    if epsg // 100 not in (326, 327) or not 1 <= zone <= 60:
+        raise ValueError(f"EPSG:{epsg} is neither 4326 nor a zone of universal transverse Mercator")
+    values = [("Latitude of natural origin", 0, "degree"), ("Longitude of natural origin", zone * 6 - 183, "degree"), ("Scale factor at natural origin", 0.9996, "unity"), ("False easting", 500000, "metre"), ("False northing", 10000000 if south else 0, "metre")]
+    axis = lambda name, short, to: {"name": name, "abbreviation": short, "direction": to, "unit": "metre"}
+    return {
+        "type": "ProjectedCRS", "name": f"WGS 84 / UTM zone {zone}{'S' if south else 'N'}", "base_crs": base,
+        "conversion": {"name": f"UTM zone {zone}{'S' if south else 'N'}", "method": {"name": "Transverse Mercator"}, "parameters": [{"name": n, "value": v, "unit": u} for n, v, u in values]},
+        "coordinate_system": {"subtype": "Cartesian", "axis": [axis("Easting", "E", "east"), axis("Northing", "N", "north")]}, "id": {"authority": "EPSG", "code": epsg},
+    }
+
+
+def geo_footer(epsg: int, kinds: list[str], box: list[float] | None) -> bytes:
     """The ``geo`` entry of a GeoParquet footer."""
-    column = {"encoding": "WKB", "geometry_types": kinds, "crs": None, "edges": "planar", "crs_name": crs} | ({"bbox": box} if box else {})
+    column = {"encoding": "WKB", "geometry_types": sorted(GEOMETRY_TYPES[k] for k in kinds), "crs": crs_json(epsg), "edges": "planar"} | ({"bbox": box} if box else {})
     return json.dumps({"version": "1.0.0", "primary_column": "geometry", "columns": {"geometry": column}}).encode()
 
 
-def write_geoparquet(rows: DataFrame, path: str, crs: str = "EPSG:4326") -> DataFrame:
-    """GeoParquet files, one for each partition, with a footer of their own, through ``pyarrow.fs``: written under a
-    temporary name and moved into place, so that readers never see half a file. Returns (file, n_rows)."""
+def open_folder(path: str):
+    """The file system and the folder of a path."""
+    from pyarrow import fs as pafs
+
+    return pafs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (pafs.LocalFileSystem(), path)
+
+
+def write_geoparquet(rows: DataFrame, path: str, epsg: int = 4326) -> DataFrame:
+    """GeoParquet files with footers of their own (system, kinds of shapes, box), one for each partition that has rows,
+    added to the folder ``path`` through ``pyarrow.fs``. Returns (file, n_rows) of the files.
+
+    The job runs at once and only once. Tasks write to a folder of this call; when all have ended, the files that the
+    job reports are moved into place, so that neither a repeated task nor a failed job leaves rows behind."""
+    import uuid
+
     import pyarrow as pa
 
-    names = rows.schema.names
+    names, call = rows.schema.names, uuid.uuid4().hex
+    at = rows.schema.names.index("geometry")
 
     def write(batches):
-        import uuid
-
+        import numpy as np
         import pyarrow.parquet as pq
-        from pyarrow import fs as pafs
 
-        fs, folder = pafs.FileSystem.from_uri(path) if "://" in path else (pafs.LocalFileSystem(), path)
-        fs.create_dir(folder, recursive=True)
-        name, n, writer = f"{uuid.uuid4().hex}.parquet", 0, None
+        from ..geom import shapes as S
+
+        fs, folder = open_folder(path)
+        fs.create_dir(f"{folder}/_{call}", recursive=True)
+        name, n, writer, kinds, box = f"{uuid.uuid4().hex}.parquet", 0, None, set(), np.array([np.inf, np.inf, -np.inf, -np.inf])
         for b in batches:
             if writer is None:
-                schema = b.schema.with_metadata({b"geo": geo_footer(crs, [], None)})
-                sink = fs.open_output_stream(f"{folder}/_{name}.tmp")
-                writer = pq.ParquetWriter(sink, schema)
+                sink = fs.open_output_stream(f"{folder}/_{call}/{name}")
+                writer = pq.ParquetWriter(sink, b.schema)
             writer.write_batch(pa.RecordBatch.from_arrays(b.columns, schema=writer.schema))
             n += b.num_rows
+            for data in b.column(at):
+                shape = S.from_wkb(data.as_py())
+                if shape is not None:
+                    kinds.add(shape.kind)
+                    own = S.bounds(shape)
+                    if own is not None:
+                        box = np.concatenate((np.minimum(box[:2], own[:2]), np.maximum(box[2:], own[2:])))
         if writer is not None:
+            writer.add_key_value_metadata({"geo": geo_footer(epsg, sorted(kinds), box.tolist() if np.isfinite(box).all() else None).decode()})
             writer.close()
             sink.close()
-            fs.move(f"{folder}/_{name}.tmp", f"{folder}/{name}")
             yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([n], pa.int64())], names=["file", "n_rows"])
 
-    return rows.select(*names).mapInArrow(write, "file string, n_rows long")
+    found = [(r.file, r.n_rows) for r in rows.select(*names).mapInArrow(write, "file string, n_rows long").collect()]
+    fs, folder = open_folder(path)
+    for file, _ in found:
+        fs.move(f"{folder}/_{call}/{file}", f"{folder}/{file}")
+    from pyarrow import fs as pafs
+
+    if fs.get_file_info(f"{folder}/_{call}").type == pafs.FileType.Directory:
+        fs.delete_dir(f"{folder}/_{call}")
+    return rows.sparkSession.createDataFrame(found, "file string, n_rows long")
+
+
+def geo_metadata(path: str) -> dict:
+    """The ``geo`` entry of the first file of a GeoParquet file or folder; empty if it has none."""
+    import pyarrow.parquet as pq
+    from pyarrow import fs as pafs
+
+    fs, at = open_folder(path)
+    if fs.get_file_info(at).type == pafs.FileType.Directory:
+        files = sorted(i.path for i in fs.get_file_info(pafs.FileSelector(at, recursive=True)) if i.base_name.endswith(".parquet") and "/_" not in i.path[len(at) :])
+        if not files:
+            return {}
+        at = files[0]
+    with fs.open_input_file(at) as f:
+        return json.loads((pq.read_metadata(f).metadata or {}).get(b"geo", b"{}"))
+
+
+def epsg_of(meta: dict) -> int:
+    """The EPSG code of the main column; 4326 where the footer names no system, as the format has it."""
+    column = meta.get("columns", {}).get(meta.get("primary_column", "geometry"), {})
+    crs = column.get("crs") or {}
+    code = crs.get("id", {}).get("code", 4326)
+    return 4326 if code in ("CRS84", 4326) else int(code)
+
+
+def read_geoparquet(spark: SparkSession, path: str, epsg: int | None = None) -> DataFrame:
+    """A GeoParquet file or folder with its main column as ``geometry``, in the system ``epsg`` if one is asked for.
+    The system that it comes from is read from the footer."""
+    from ..operators.geometry import reproject
+
+    meta = geo_metadata(path)
+    rows = spark.read.parquet(path)
+    main = meta.get("primary_column", "geometry")
+    if main != "geometry":
+        rows = rows.withColumnRenamed(main, "geometry")
+    own = epsg_of(meta)
+    return rows if epsg in (None, own) else rows.withColumn("geometry", reproject(F.col("geometry"), own, epsg))
 
 
 def read_geopackage_blob(data: bytes | None) -> bytes | None:

@@ -7,14 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .layers import still_wanted, write_layer
+from .layers import cities_with, still_wanted, write_layer
+from .staging import staged
 
 
 def run_group(spark: SparkSession, cities: DataFrame, make: Callable[[DataFrame], DataFrame], out: str, ignore: list[str] = [], inputs: list[str] = []) -> DataFrame:
     """Make and write a layer for the cities that lack it. ``make`` takes the cities to do and returns rows with a
     ``city`` column. One job does all; only if it fails is each city tried alone, so that a bad one does not stop the
     others. Returns (city, status, n_rows, error); statuses as of ``still_wanted``, ``ok``, ``empty`` and ``failed``."""
-    plan = still_wanted(spark, cities, out, ignore, inputs).persist()
+    plan = staged(still_wanted(spark, cities, out, ignore, inputs))  # as it was before the run, whatever is lost
     todo = plan.where("status = 'todo'").select("city")
     failures: list[tuple[str, str]] = []
     if not todo.isEmpty():
@@ -27,8 +28,6 @@ def run_group(spark: SparkSession, cities: DataFrame, make: Callable[[DataFrame]
                     write_layer(make(one), out)
                 except Exception as e:
                     failures.append((r.city, f"{type(e).__name__}: {e}"[:500]))
-    from .layers import cities_with
-
     errors = spark.createDataFrame(failures, "city string, error string")
     rows = plan.join(cities_with(spark, out), "city", "left").join(errors, "city", "left")
     status = (

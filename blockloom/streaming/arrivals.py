@@ -11,12 +11,14 @@ from pyspark.sql.types import StructType
 
 
 def follow(spark: SparkSession, source: str, schema: StructType, make: Callable[[DataFrame], DataFrame], out: str, checkpoint: str) -> StreamingQuery:
-    """Work on files that are new under ``source`` since the last call, and end. Each batch's cities replace their own
-    folders of ``out``, so a batch that is done again leaves the same."""
+    """Work on files that are new under ``source`` since the last call, and end. Each batch's rows go to folders of
+    their city and batch under ``out``: a batch that is done again replaces its own, and what a city got in earlier
+    batches stays. Readers see the batch as the column ``batch``."""
     rows = spark.readStream.schema(schema).parquet(source)
 
-    def write(batch: DataFrame, _: int) -> None:
-        make(batch).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("city").parquet(out)
+    def write(batch: DataFrame, number: int) -> None:
+        made = make(batch).withColumn("batch", F.lit(number).cast("long"))
+        made.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("city", "batch").parquet(out)
 
     return rows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

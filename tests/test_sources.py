@@ -59,11 +59,37 @@ def test_csv(spark, tmp_path):
 
 def test_geoparquet(spark, tmp_path):
     rows = spark.createDataFrame([(i, S.to_wkb(SQUARE)) for i in range(10)], "block_id int, geometry binary").repartition(2)
-    written = L.write_geoparquet(rows, str(tmp_path / "g")).collect()
-    assert sum(r.n_rows for r in written) == 10
-    geo = json.loads(pq.read_schema(tmp_path / "g" / written[0].file).metadata[b"geo"])
-    assert geo["primary_column"] == "geometry" and geo["columns"]["geometry"]["encoding"] == "WKB"
-    assert spark.read.parquet(str(tmp_path / "g")).count() == 10
+    written = L.write_geoparquet(rows, str(tmp_path / "g"))
+    assert written.agg(F.sum("n_rows")).first()[0] == 10 == sum(r.n_rows for r in written.collect())
+    assert spark.read.parquet(str(tmp_path / "g")).count() == 10  # however often the result is looked at
+    geo = json.loads(pq.read_metadata(tmp_path / "g" / written.first().file).metadata[b"geo"])
+    assert geo["primary_column"] == "geometry"
+    column = geo["columns"]["geometry"]
+    assert (column["encoding"], column["geometry_types"], column["bbox"], column["crs"]["id"]["code"]) == ("WKB", ["Polygon"], [0, 0, 2, 2], 4326)
+    assert sorted(p.name for p in (tmp_path / "g").iterdir()) == sorted(r.file for r in written.collect())
+    L.write_geoparquet(rows.limit(0), str(tmp_path / "h"))
+    L.write_geoparquet(rows.limit(3), str(tmp_path / "g"))
+    assert spark.read.parquet(str(tmp_path / "g")).count() == 13
+
+
+def test_geoparquet_in_another_system(spark, tmp_path):
+    at = str(tmp_path / "g")
+    ring = np.array([(3.0, 50.0), (3.01, 50.0), (3.01, 50.01), (3.0, 50.01)])
+    shapes = [S.Shape("polygon", [[ring]]), S.Shape("collection", [S.Shape("line", [ring]), S.Shape("point", [ring[:1]])])]
+    rows = spark.createDataFrame([(i, S.to_wkb(x)) for i, x in enumerate(shapes)] + [(9, None)], "block_id int, geometry binary")
+    L.write_geoparquet(rows, at)
+    assert L.read_geoparquet(spark, at).schema == rows.schema
+    out = L.read_geoparquet(spark, at, 32631)
+    utm = {r.block_id: S.from_wkb(r.geometry and bytes(r.geometry)) for r in out.collect()}
+    assert utm[9] is None and abs(utm[0].polygons[0][0][0] - (500_000, 5_538_630.7)).max() < 0.1  # on the zone's middle
+    L.write_geoparquet(out, str(tmp_path / "u"), 32631)
+    assert L.epsg_of(L.geo_metadata(str(tmp_path / "u"))) == 32631
+    back = {r.block_id: S.from_wkb(r.geometry and bytes(r.geometry)) for r in L.read_geoparquet(spark, str(tmp_path / "u"), 4326).collect()}
+    assert abs(back[0].polygons[0][0] - ring).max() < 1e-9 and abs(back[1].lines[0] - ring).max() < 1e-9
+    area = {r.block_id: S.from_wkb(r.geometry and bytes(r.geometry)) for r in L.read_geoparquet(spark, at, 6933).collect()}
+    assert S.area(area[0]) == pytest.approx(S.area(utm[0]) / 0.9996**2, rel=1e-4)
+    with pytest.raises(ValueError):
+        L.crs_json(27700)
 
 
 def test_geopackage(spark, tmp_path):
@@ -100,12 +126,14 @@ def test_gather_status(spark):
 
 def test_arriving_cities(spark, tmp_path):
     source, out, mark = (str(tmp_path / x) for x in ("in", "out", "mark"))
-    add = lambda city, v: spark.createDataFrame([(city, v)], "city string, v int").write.mode("append").parquet(source)
+    add = lambda *rows: spark.createDataFrame(rows, "city string, v int").write.mode("append").parquet(source)
     schema = spark.createDataFrame([], "city string, v int").schema
-    for city, v in (("a", 1), ("b", 2)):
-        add(city, v)
+    for rows in ([("a", 1), ("b", 2)], [("a", 3)], [("c", 4), ("a", 5)]):
+        add(*rows)
         follow(spark, source, schema, lambda d: d.withColumn("v", F.col("v") * 10), out, mark).awaitTermination(120)
-    assert sorted((r.city, r.v) for r in spark.read.parquet(out).collect()) == [("a", 10), ("b", 20)]
+    got = spark.read.parquet(out)
+    assert sorted((r.city, r.v) for r in got.collect()) == [("a", 10), ("a", 30), ("a", 50), ("b", 20), ("c", 40)]
+    assert got.where("city = 'a'").select("batch").distinct().count() == 3
 
 
 def test_windows(spark, sf):
