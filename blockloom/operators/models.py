@@ -10,6 +10,7 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -32,6 +33,19 @@ def fold(n: int, keys: list[str], seed: int = 42) -> Column:
     return F.pmod(F.xxhash64(F.lit(seed), *keys), F.lit(n)).cast("int")
 
 
+def stratified(rows: DataFrame, n: int, keys: list[str], label: str = "y", seed: int = 42, out: str = "fold__", buckets: int = 1_024) -> DataFrame:
+    """``rows`` with a fold, 0 to n - 1: each class dealt in turn in the order of a hash of the key, so that its numbers
+    in two folds differ by one at most. A place in that order is one within a bucket of hashes, after the bucket's
+    predecessors, whose numbers are ``buckets`` rows a class."""
+    hashed = rows.withColumns({"hash__": F.xxhash64(F.lit(seed), *keys), "bucket__": F.pmod(F.xxhash64(F.lit(seed), *keys), F.lit(buckets))})
+    before = Window.partitionBy(label).orderBy("bucket__").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = hashed.groupBy(label, "bucket__").agg(F.count("*").alias("n__"))
+    starts = sizes.select(F.col(label).alias("label__"), F.col("bucket__").alias("at__"), F.coalesce(F.sum("n__").over(before), F.lit(0)).alias("start__"))
+    place = F.row_number().over(Window.partitionBy(label, "bucket__").orderBy("hash__", *keys))
+    placed = hashed.withColumn("place__", place).join(F.broadcast(starts), (F.col(label) == F.col("label__")) & (F.col("bucket__") == F.col("at__")))
+    return placed.withColumn(out, F.pmod(F.col("place__") + F.col("start__"), F.lit(n)).cast("int")).drop("hash__", "bucket__", "label__", "at__", "start__", "place__")
+
+
 @dataclass
 class Scale:
     """Means and population deviations; a constant column is only centred."""
@@ -53,17 +67,28 @@ class Scale:
         return VectorAssembler(inputCols=list(scaled), outputCol="features").transform(whole).drop(*scaled)
 
 
-def regression(rows: DataFrame, c: float = 1.0, l1_ratio: float = 0.5, max_iter: int = 100):
-    """Elastic-net logistic regression of ``y`` on ``features`` with balanced classes. ``c`` weighs the summed loss, as
-    opposed to a penalty on the mean loss; None where a class is missing."""
+def balanced(rows: DataFrame) -> DataFrame | None:
+    """Rows with ``y`` and a weight ``w`` that gives both classes the same sum; None where a class is missing."""
     counts = {r.y: r.n for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
     if set(counts) != {0, 1}:
         return None
     n = sum(counts.values())
-    weighted = rows.withColumn("w", F.when(F.col("y") == 1, n / (2 * counts[1])).otherwise(n / (2 * counts[0])))
+    return rows.withColumn("w", F.when(F.col("y") == 1, n / (2 * counts[1])).otherwise(n / (2 * counts[0])))
+
+
+def regression(rows: DataFrame, c: float = 1.0, l1_ratio: float = 0.5, max_iter: int = 100):
+    """Elastic-net logistic regression of ``y`` on ``features`` with balanced classes. ``c`` weighs the summed loss, as
+    opposed to a penalty on the mean loss; None where a class is missing."""
+    weighted = balanced(rows)
+    if weighted is None:
+        return None
+    n = rows.count()
     return LogisticRegression(labelCol="y", weightCol="w", elasticNetParam=l1_ratio, regParam=1 / (c * n), standardization=False, maxIter=max_iter).fit(weighted)
 
 
+Learner = Callable[[DataFrame], "Callable[[DataFrame], DataFrame] | None"]
+
+
 def margin(model) -> Callable[[DataFrame], DataFrame]:
     """A function that adds ``margin``, the linear score of ``features``."""
     weights, bias = [float(x) for x in model.coefficients], float(model.intercept)
@@ -75,15 +100,34 @@ def margin(model) -> Callable[[DataFrame], DataFrame]:
     return add
 
 
+def linear(rows: DataFrame) -> Callable[[DataFrame], DataFrame] | None:
+    """Learn the regression of ``y`` on ``features``; None where a class is missing."""
+    model = regression(rows)
+    return model and margin(model)
+
+
+def trees(rounds: int = 200, depth: int = 6) -> Learner:
+    """A learner of boosted trees with balanced classes, whose margin is the trees' sum."""
+
+    def learn(rows: DataFrame) -> Callable[[DataFrame], DataFrame] | None:
+        weighted = balanced(rows)
+        if weighted is None:
+            return None
+        model = GBTClassifier(labelCol="y", weightCol="w", maxIter=rounds, maxDepth=depth, stepSize=0.1, seed=42).fit(weighted)
+        return lambda df: model.transform(df).withColumn("margin", vector_to_array("rawPrediction")[1]).drop("rawPrediction", "probability", "prediction")
+
+    return learn
+
+
 @dataclass
 class Calibrated:
-    """The mean of pairs of a regression and the isotonic curve fitted on the rows that it has not seen."""
+    """The mean of pairs of a model and the isotonic curve fitted on the rows that it has not seen."""
 
     scale: Scale
     pairs: list[tuple[Callable[[DataFrame], DataFrame], list[float], list[float]]]
 
     def transform(self, rows: DataFrame, out: str = "p") -> DataFrame:
-        """``rows`` with the probability; NULL where a feature is missing. The curves are small arrays of knots."""
+        """``rows`` with the probability; NULL where a feature is missing."""
         whole = F.lit(True)
         for c in self.scale.columns:
             whole = whole & F.col(c).isNotNull()
@@ -97,10 +141,13 @@ class Calibrated:
         return scored.unionByName(rows.where(~whole).withColumn(out, F.lit(None).cast("double")))
 
 
-def interpolate(x: Column, xs: list[float], ys: list[float]) -> Column:
-    """The value at ``x`` of the line through the knots, flat beyond them."""
+def interpolate(x: Column, xs: list[float], ys: list[float], most: int = 256) -> Column:
+    """The value at ``x`` of the line through the knots, flat beyond them. A curve of more than ``most`` knots is looked
+    up in arrays outside the plan, by the same sums."""
     if len(xs) == 1:
         return F.when(x.isNotNull(), F.lit(float(ys[0])))
+    if len(xs) > most:
+        return _curve(np.array(xs, float), np.array(ys, float))(x)
     ax, ay = F.array(*map(F.lit, map(float, xs))), F.array(*map(F.lit, map(float, ys)))
     i = F.size(F.filter(ax, lambda k: k <= x))
     lo = F.least(F.greatest(i - 1, F.lit(0)), F.lit(len(xs) - 2))
@@ -110,32 +157,57 @@ def interpolate(x: Column, xs: list[float], ys: list[float]) -> Column:
     return F.when(x.isNotNull(), y0 + t * (y1 - y0))
 
 
-def thinned(xs: list[float], ys: list[float], most: int = 512) -> tuple[list[float], list[float]]:
-    """At most ``most`` knots: curves are sent with the plan."""
-    if len(xs) <= most:
-        return xs, ys
-    at = np.unique(np.linspace(0, len(xs) - 1, most).astype(int))
-    return [xs[i] for i in at], [ys[i] for i in at]
+def _curve(xs: np.ndarray, ys: np.ndarray) -> Callable[[Column], Column]:
+    @F.pandas_udf("double")
+    def at(x: pd.Series) -> pd.Series:
+        v = x.to_numpy(float)
+        lo = np.clip(np.searchsorted(xs, v, side="right") - 1, 0, len(xs) - 2)
+        wide = xs[lo + 1] - xs[lo]
+        t = np.clip(np.divide(v - xs[lo], wide, out=np.zeros(len(v)), where=wide != 0), 0, 1)
+        return pd.Series(ys[lo] + t * (ys[lo + 1] - ys[lo])).where(x.notna().to_numpy(), None)
 
+    return at
 
-def calibrated(rows: DataFrame, columns: list[str], keys: list[str], cv: int = 5, seed: int = 42) -> Calibrated:
-    """Fit on rows with ``y``: scale on all, then a pair for each of ``cv`` folds."""
+
+def knots(xs: list[float], ys: list[float]) -> tuple[list[float], list[float]]:
+    """The knots without those within a flat run, which change no value."""
+    keep = [i for i in range(len(xs)) if i in (0, len(xs) - 1) or not ys[i - 1] == ys[i] == ys[i + 1]]
+    return [xs[i] for i in keep], [ys[i] for i in keep]
+
+
+def calibrated(rows: DataFrame, columns: list[str], keys: list[str], cv: int = 5, seed: int = 42, learn: Learner = linear) -> Calibrated:
+    """Fit on rows with ``y``: scale on all, then a pair for each of ``cv`` folds, in which the classes have equal shares."""
     scale = Scale.of(rows, columns)
-    data = scale.vectors(rows).withColumn("fold__", fold(cv, keys, seed)).persist()
+    data = stratified(scale.vectors(rows), cv, keys, seed=seed).persist()
     pairs = []
     for k in range(cv):
-        model = regression(data.where(F.col("fold__") != k))
+        add = learn(data.where(F.col("fold__") != k))
         held = data.where(F.col("fold__") == k)
-        if model is None or held.select("y").distinct().count() < 2:
+        if add is None or held.select("y").distinct().count() < 2:
             continue
-        add = margin(model)
         curve = IsotonicRegression(featuresCol="margin", labelCol="y").fit(add(held).select("margin", F.col("y").cast("double")))
-        xs, ys = thinned([float(x) for x in curve.boundaries], [float(y) for y in curve.predictions])
-        pairs.append((add, xs, ys))
+        pairs.append((add, *knots([float(x) for x in curve.boundaries], [float(y) for y in curve.predictions])))
     data.unpersist()
     return Calibrated(scale, pairs)
 
 
+def out_of_fold(data: DataFrame, columns: list[str], keys: list[str], outer: int = 5, inner: int = 3, learn: Learner = linear) -> DataFrame | None:
+    """(y, p): the calibrated probability of each row by a model that has not seen its fold; None if none can be fitted."""
+    dealt, found = stratified(data, outer, keys, seed=7, out="part__").persist(), None
+    for k in range(outer):
+        model = calibrated(dealt.where(F.col("part__") != k), columns, keys, inner, 11, learn)
+        if model.pairs:
+            scored = model.transform(dealt.where(F.col("part__") == k)).select("y", "p")
+            found = scored if found is None else found.unionByName(scored)
+    return found
+
+
+def quality(scored: DataFrame) -> tuple[float | None, float | None, float | None]:
+    """Area under the curve, Brier score and calibration error of (y, p)."""
+    c = calibration_error(scored, "y", "p").first()
+    return roc_auc(scored, "y", "p").first().auc, c.brier, c.ece
+
+
 @dataclass
 class Stage:
     """What evaluating a stage gives: the model for scoring, and small tables."""
@@ -158,7 +230,7 @@ def evaluate_stage(rows: DataFrame, columns: list[str], target: str, positive: s
     vectors = scale.vectors(data).select(*keys, "features", "y").persist()
     fits, aucs = [], []
     for repeat in range(n_repeats):
-        dealt = vectors.withColumn("fold__", fold(n_splits, keys, 42 + repeat))
+        dealt = stratified(vectors, n_splits, keys, seed=42 + repeat).persist()
         for k in range(n_splits):
             model = regression(dealt.where(F.col("fold__") != k))
             if model is None:
@@ -168,23 +240,16 @@ def evaluate_stage(rows: DataFrame, columns: list[str], target: str, positive: s
             area = roc_auc(scored, "y", "p").first().auc
             if area is not None:
                 aucs.append(area)
+        dealt.unpersist()
     vectors.unpersist()
-    out_of_fold = None
-    for k in range(outer):
-        part = fold(outer, keys, 7)
-        model = calibrated(data.where(part != k), columns, keys, inner, 11)
-        scored = model.transform(data.where(part == k)).select("y", "p") if model.pairs else None
-        if scored is not None:
-            out_of_fold = scored if out_of_fold is None else out_of_fold.unionByName(scored)
+    scored = out_of_fold(data, columns, keys, outer, inner)
     table: list[dict] = []
     auc = brier = ece = None
-    if out_of_fold is not None:
-        out_of_fold = out_of_fold.persist()
-        auc = roc_auc(out_of_fold, "y", "p").first().auc
-        c = calibration_error(out_of_fold, "y", "p").first()
-        brier, ece = c.brier, c.ece
-        table = [r.asDict() for r in threshold_table(out_of_fold, "y", "p", THRESHOLDS).collect()]
-        out_of_fold.unpersist()
+    if scored is not None:
+        scored = scored.persist()
+        auc, brier, ece = quality(scored)
+        table = [r.asDict() for r in threshold_table(scored, "y", "p", THRESHOLDS).collect()]
+        scored.unpersist()
     final = calibrated(data, columns, keys, 5)
     data.unpersist()
     return Stage(name, final, coefficient_table(columns, fits), aucs, auc, brier, ece, table, np.array(fits))
@@ -208,30 +273,53 @@ def coefficient_table(columns: list[str], fits: list[np.ndarray]) -> list[dict]:
     return sorted(out, key=lambda r: -abs(r["mean"]))
 
 
-def boosted(rows: DataFrame, columns: list[str], target: str, positive: str, keys: list[str], rounds: int = 200, depth: int = 6, repeats: int = 10) -> dict:
-    """Area under the curve of boosted trees on a held-out fifth, and how much shuffling each feature costs."""
-    data = rows.select(*keys, *columns, target).na.drop().withColumn("y", (F.col(target) == positive).cast("int"))
+def boosted(rows: DataFrame, columns: list[str], target: str, positive: str, keys: list[str], rounds: int = 200, depth: int = 6, repeats: int = 10, outer: int = 5, inner: int = 3) -> dict:
+    """Boosted trees with balanced classes: area under the curve and Brier score of calibrated out-of-fold
+    probabilities, and, for a model of all rows, how much of its area shuffling each feature costs."""
+    data = rows.select(*keys, *columns, target).na.drop().withColumn("y", (F.col(target) == positive).cast("int")).persist()
+    learn = trees(rounds, depth)
+    scored = out_of_fold(data, columns, keys, outer, inner, learn)
+    auc, brier, _ = quality(scored) if scored is not None else (None, None, None)
     vectors = Scale.of(data, columns).vectors
-    train, test = data.where(fold(5, keys) != 0), data.where(fold(5, keys) == 0).persist()
-    model = GBTClassifier(labelCol="y", maxIter=rounds, maxDepth=depth, stepSize=0.1, seed=42).fit(vectors(train))
+    add = learn(vectors(data))
 
     def area(df: DataFrame) -> float | None:
-        p = model.transform(vectors(df)).select("y", vector_to_array("probability")[1].alias("p"))
-        return roc_auc(p, "y", "p").first().auc
+        return roc_auc(add(vectors(df)).select("y", (1 / (1 + F.exp(-2 * F.col("margin")))).alias("p")), "y", "p").first().auc
 
-    whole = area(test)
+    whole = area(data) if add else None
     importance = {}
-    for c in columns:
+    for c in columns if add else []:
         drops = []
         for seed in range(repeats):
             # Each value goes to the next row of a random order, within random groups: a shuffle without one sorted task.
             group = Window.partitionBy(fold(64, keys, seed)).orderBy(F.xxhash64(F.lit(seed + 1_000), *keys))
             first = F.first(c).over(group.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-            score = area(test.withColumn(c, F.coalesce(F.lead(c).over(group), first)))
+            score = area(data.withColumn(c, F.coalesce(F.lead(c).over(group), first)))
             drops.append((whole or 0) - (score or 0))
         importance[c] = (float(np.mean(drops)), float(np.std(drops)))
-    test.unpersist()
-    return {"auc": whole, "importance": importance}
+    data.unpersist()
+    return {"auc": auc, "brier": brier, "importance": importance}
+
+
+def compare_models(linear_stage: Stage, tree: dict, close: float = 0.02) -> dict:
+    """The two kinds of model side by side; the linear one is enough where the trees gain less than ``close``."""
+    gain = None if linear_stage.auc is None or tree["auc"] is None else tree["auc"] - linear_stage.auc
+    return {
+        "auc_linear": linear_stage.auc, "brier_linear": linear_stage.brier, "ece_linear": linear_stage.ece, "auc_trees": tree["auc"], "brier_trees": tree["brier"],
+        "difference": gain, "linear_is_enough": None if gain is None else abs(gain) < close, "importance": tree["importance"],
+    }
+
+
+def full_analysis(rows: DataFrame, keys: list[str], target: str = "subdivisions_settlements", positive: str = "subdivision", factors_of: int = 3, rounds: int = 200, **options) -> dict:
+    """All analyses of labelled blocks in one run: correlations with components, factors, both variants of the stage,
+    the order in which metrics enter, and trees against the linear model."""
+    data = rows.na.drop(subset=[*ALL, target])
+    stage = evaluate_stage(data, REGULARITY, target, positive, "regularity", keys, **options)
+    tree = boosted(data, REGULARITY, target, positive, keys, rounds=rounds, repeats=options.get("n_repeats", 10), outer=options.get("outer", 5), inner=options.get("inner", 3))
+    return {
+        "components": components(data, ALL), "factors": factors(data, ALL, factors_of), "variants": compare_variants(data, target, positive, keys, **options),
+        "path": regularization_path(data, ALL, target, positive), "stage": stage, "comparison": compare_models(stage, tree),
+    }
 
 
 def regularization_path(rows: DataFrame, columns: list[str], target: str, positive: str, n: int = 60) -> list[dict]:

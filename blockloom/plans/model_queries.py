@@ -38,10 +38,26 @@ def lr_score(spark, d):
     """Blocks scored by a calibrated stage that was trained on the same table."""
     rows = labelled(spark, d)
     data = rows.withColumn("y", (F.col("subdivisions_settlements") == "subdivision").cast("int"))
-    model = L.calibrated(data.select(*KEYS, *L.REGULARITY, "m11_std", "y"), [*L.REGULARITY, "m11_std"], KEYS, cv=2)
+    model = L.calibrated(data.select(*KEYS, *L.REGULARITY, "m11_std", "y"), [*L.REGULARITY, "m11_std"], KEYS, cv=5)
     return rounded(model.transform(rows, "p_subdivision").select(*KEYS, "p_subdivision"))
 
 
+@query("WITH c AS (SELECT l_returnflag <> 'N' AS y, count(*) AS n FROM lineitem GROUP BY 1) SELECT CAST(y AS INT) AS y, CAST(k AS INT) AS fold, CAST(n // 5 + CASE WHEN (k + 4) % 5 < n % 5 THEN 1 ELSE 0 END AS BIGINT) AS n FROM c, range(5) r(k)")
+def stratified_folds(spark, d):
+    """Five folds of line items, each class dealt evenly."""
+    rows = table(spark, d, "lineitem").select(*KEYS, (F.col("l_returnflag") != "N").cast("int").alias("y"))
+    return L.stratified(rows, 5, KEYS).groupBy("y", F.col("fold__").alias("fold")).agg(F.count("*").alias("n"))
+
+
+@query()
+def boosted_trees(spark, d):
+    """Calibrated boosted trees against the linear model on labelled line items; few rounds and folds."""
+    rows = labelled(spark, d).select(*KEYS, *L.REGULARITY, "subdivisions_settlements")
+    tree = L.boosted(rows, L.REGULARITY, "subdivisions_settlements", "subdivision", KEYS, rounds=5, depth=3, repeats=1, outer=2, inner=2)
+    found = [(c, tree["auc"], tree["brier"], *tree["importance"][c]) for c in L.REGULARITY]
+    return rounded(spark.createDataFrame(found, "metric string, auc double, brier double, importance double, deviation double"), 4)
+
+
 @query()
 def principal_components(spark, d):
     out = L.components(labelled(spark, d), L.ALL)

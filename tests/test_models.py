@@ -23,6 +23,29 @@ def test_interpolate(spark):
     assert spark.range(1).select(L.interpolate(F.lit(5.0), [1.0], [0.3])).first()[0] == 0.3
 
 
+def test_long_curves_keep_every_knot(spark):
+    rng = np.random.default_rng(6)
+    xs, ys = np.sort(rng.normal(size=3_000)).tolist(), np.sort(rng.random(3_000)).tolist()
+    at = [*rng.normal(size=300).tolist(), xs[0], xs[-1], xs[7], -99.0, 99.0]
+    rows = spark.createDataFrame([(x,) for x in at] + [(None,)], "x double")
+    got = [r.p for r in rows.select(L.interpolate(F.col("x"), xs, ys).alias("p")).collect()]
+    assert got[-1] is None and np.allclose(got[:-1], np.interp(at, xs, ys))
+    few = rows.select(L.interpolate(F.col("x"), xs[::60], ys[::60]).alias("a"), L.interpolate(F.col("x"), xs[::60], ys[::60], most=2).alias("b")).collect()
+    assert all(r.a == r.b for r in few)
+    assert L.knots([1, 2, 3, 4, 5], [0, 1, 1, 1, 2]) == ([1, 2, 4, 5], [0, 1, 1, 2])
+
+
+def test_folds_have_equal_shares_of_each_class(spark):
+    rows = spark.range(1_003).withColumn("y", (F.col("id") % 7 == 0).cast("int"))
+    for df in (rows, rows.repartition(5)):
+        out = L.stratified(df, 4, ["id"], buckets=16)
+        counts = out.groupBy("y").pivot("fold__", [0, 1, 2, 3]).count().toPandas().drop(columns="y")
+        assert (counts.max(axis=1) - counts.min(axis=1) <= 1).all() and counts.to_numpy().sum() == 1_003
+    first = {r.id: r.fold__ for r in L.stratified(rows, 4, ["id"]).collect()}
+    assert first == {r.id: r.fold__ for r in L.stratified(rows.repartition(3), 4, ["id"]).collect()}
+    assert first != {r.id: r.fold__ for r in L.stratified(rows, 4, ["id"], seed=1).collect()}
+
+
 def test_regression_meets_the_optimum(spark, rows):
     """The gradient of the balanced, penalised loss is 0, up to the subgradient of the absolute values."""
     data = L.Scale.of(rows, ["a", "b", "c"]).vectors(rows).withColumn("y", (F.col("t") == "yes").cast("int"))
@@ -48,9 +71,27 @@ def test_evaluate_stage(rows):
 def test_path_and_trees(rows):
     path = L.regularization_path(rows, ["a", "b", "c"], "t", "yes", n=12)
     assert [p["metric"] for p in path][:2] == ["a", "b"]
-    trees = L.boosted(rows, ["a", "b", "c"], "t", "yes", ["id"], rounds=8, depth=3, repeats=2)
+    trees = L.boosted(rows, ["a", "b", "c"], "t", "yes", ["id"], rounds=8, depth=3, repeats=2, outer=2, inner=2)
     cost = {k: v[0] for k, v in trees["importance"].items()}
-    assert trees["auc"] > 0.75 and max(cost, key=cost.get) == "a"
+    assert 0.75 < trees["auc"] < 0.95 and 0.1 < trees["brier"] < 0.2 and max(cost, key=cost.get) == "a"
+    stage = L.evaluate_stage(rows, ["a", "b", "c"], "t", "yes", "s", ["id"], n_splits=2, n_repeats=1, outer=2, inner=2)
+    both = L.compare_models(stage, trees)
+    assert both["difference"] == trees["auc"] - stage.auc and both["linear_is_enough"] == (abs(both["difference"]) < 0.02)
+
+
+def test_quality_by_hand(spark):
+    rng = np.random.default_rng(9)
+    p, y = rng.random(400).round(2), rng.integers(0, 2, 400)
+    auc, brier, ece = L.quality(spark.createDataFrame(list(zip(y.tolist(), p.tolist())), "y int, p double"))
+    wins = [(a > b) + (a == b) / 2 for a in p[y == 1] for b in p[y == 0]]
+    assert auc == pytest.approx(np.mean(wins)) and brier == pytest.approx(((p - y) ** 2).mean()) and 0 < ece < 1
+
+
+def test_trees_weigh_both_classes_alike(spark):
+    rows = spark.createDataFrame([(i, float(i % 10), int(i % 10 == 0)) for i in range(400)], "id int, a double, y int")
+    sums = {r.y: r.w for r in L.balanced(rows).groupBy("y").agg(F.sum("w").alias("w")).collect()}
+    assert sums[0] == pytest.approx(sums[1]) == pytest.approx(200)
+    assert L.trees(3, 2)(L.Scale.of(rows, ["a"]).vectors(rows.where("y = 1"))) is None
 
 
 def test_components_and_factors(spark):
