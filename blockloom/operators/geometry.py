@@ -7,14 +7,14 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType, DoubleType, IntegerType, StringType, StructType
+from pyspark.sql.types import BinaryType, BooleanType, DoubleType, IntegerType, StringType, StructType
 
 from ..geom import parcels as K
 from ..geom import planar as L
 from ..geom import shapes as S
+from ..sources.staging import staged
 from .metrics import BLOCK
 from .spatial import box_join
 
@@ -24,6 +24,11 @@ def _doubles(schema: StructType, *names: str) -> StructType:
     return schema
 
 
+def spread(rows: DataFrame, *keys: str) -> DataFrame:
+    """``rows`` dealt by ``keys`` to as many tasks as shuffles have: small tables of much work are not drawn together."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 # Types are built here without a session, as workers import this module.
 MEASURES = _doubles(StructType().add("kind", StringType()), "x0", "y0", "x1", "y1", "cx", "cy", "area", "length")
 
@@ -187,7 +192,7 @@ def built_polygons(buildings: DataFrame, blocks: DataFrame, cell: float = 200.0)
         area = sum(map(S.polygon_area, L.intersection(L.union(found), own))) if found and own else 0.0
         return pd.DataFrame({**{k: [pdf[k].iloc[0]] for k in BLOCK}, "area": [float(area)]})
 
-    cells = dealt.select(*BLOCK, "cx", "cy", "footprint", "area_of").groupBy(*BLOCK, "cx", "cy").applyInPandas(union, schema)
+    cells = spread(dealt.select(*BLOCK, "cx", "cy", "footprint", "area_of"), *BLOCK, "cx", "cy").groupBy(*BLOCK, "cx", "cy").applyInPandas(union, schema)
     return n.join(cells.groupBy(*BLOCK).agg(F.sum("area").alias("built_area")), BLOCK).select(*BLOCK, "built_area", "n_buildings")
 
 
@@ -199,20 +204,65 @@ def polygon_road_distance(buildings: DataFrame, roads: DataFrame, window: float
     return buildings.join(least, own, "left").withColumn("distance_to_nearest_road", F.coalesce("distance_to_nearest_road", F.lit(float(default))))
 
 
-def polygonize(lines: DataFrame, tiles: tuple[float, ...] = (2_000.0, 16_000.0)) -> DataFrame:
+def polygonize(lines: DataFrame, tiles: tuple[float, ...] = (2_000.0,)) -> DataFrame:
     """(city, geometry): the faces that each city's linework bounds; ``lines`` has city, geometry and box columns.
 
     Each tile cuts the lines that meet it or the tiles around it, and keeps the faces that lie in these and have
-    their lowest leftmost vertex in the tile; such a face is the same in any larger piece. Larger tiles add the faces
-    that smaller ones could not hold; a face that is wider than the largest tile's surroundings is no block."""
+    their lowest leftmost vertex in the tile; such a face is the same in any larger piece. Faces that no tile holds are
+    bounded by the outline of those held and by the lines beyond it: these, few, are brought together by city, for
+    cities that are wider than the largest tile."""
     found = None
     for i, tile in enumerate(tiles):
         cell = lambda c, d, tile=tile: F.floor(F.col(c) / tile) + d
         dealt = lines.withColumn("tx", F.explode(F.sequence(cell("x0", -1), cell("x1", 1)))).withColumn("ty", F.explode(F.sequence(cell("y0", -1), cell("y1", 1))))
         schema = StructType([lines.schema["city"], lines.schema["geometry"]])
-        part = dealt.select("city", "tx", "ty", "geometry").groupBy("city", "tx", "ty").applyInPandas(_tile_faces(tile, tiles[:i]), schema)
+        part = spread(dealt.select("city", "tx", "ty", "geometry"), "city", "tx", "ty").groupBy("city", "tx", "ty").applyInPandas(_tile_faces(tile, tiles[:i]), schema)
         found = part if found is None else found.unionByName(part)
-    return found
+    reach = lines.groupBy("city").agg((F.max("x1") - F.min("x0")).alias("w"), (F.max("y1") - F.min("y0")).alias("h"))
+    wide = reach.where((F.col("w") > max(tiles)) | (F.col("h") > max(tiles))).select("city")
+    found = staged(found)
+    return found.unionByName(_faces_beyond(lines.join(wide, "city"), found.join(wide, "city"), max(tiles)))
+
+
+def _faces_beyond(lines: DataFrame, held: DataFrame, tile: float) -> DataFrame:
+    """The faces of linework that are none of those ``held``."""
+    schema = StructType([lines.schema["city"], lines.schema["geometry"]])
+    held = with_box(held.select("city", "geometry"))
+
+    def dealt(rows: DataFrame) -> DataFrame:
+        cell = lambda a: F.explode(F.sequence(F.floor(F.col(f"{a}0") / tile), F.floor(F.col(f"{a}1") / tile)))
+        return rows.withColumn("tx", cell("x")).withColumn("ty", cell("y"))
+
+    def outline(mine: pd.DataFrame, theirs: pd.DataFrame) -> pd.DataFrame:
+        if not len(mine):
+            return pd.DataFrame({"city": [], "geometry": []})
+        x, y = mine["tx"].iloc[0] * tile, mine["ty"].iloc[0] * tile
+        square = [[np.array([(x, y), (x + tile, y), (x + tile, y + tile), (x, y + tile)])]]
+        whole = L.union([p for d in theirs["geometry_"] for p in S.from_wkb(d).polygons]) if len(theirs) else []
+        own = [p for d in mine["geometry"] for p in S.linework(S.from_wkb(d))]
+        rings = [np.vstack((r, r[:1])) for p in whole for r in p]
+        parts = L.clip_lines(L.clip_lines(own, whole, outside=True) + rings, square)
+        return pd.DataFrame({"city": [mine["city"].iloc[0]] * bool(parts), "geometry": [S.to_wkb(S.Shape("multiline", parts))] * bool(parts)})
+
+    def faces(pdf: pd.DataFrame) -> pd.DataFrame:
+        found = L.polygonize([p for d in pdf["geometry"] for p in S.from_wkb(d).lines])
+        return pd.DataFrame({"city": [pdf["city"].iloc[0]] * len(found), "geometry": [S.polygon_wkb([p]) for p in found]})
+
+    mine = dealt(lines).select("city", "tx", "ty", "geometry")
+    theirs = dealt(held).select(F.col("city").alias("city_"), F.col("tx").alias("tx_"), F.col("ty").alias("ty_"), F.col("geometry").alias("geometry_"))
+    rest = spread(mine, "city", "tx", "ty").groupBy("city", "tx", "ty").cogroup(spread(theirs, "city_", "tx_", "ty_").groupBy("city_", "tx_", "ty_")).applyInPandas(outline, schema)
+    found = staged(rest.groupBy("city").applyInPandas(faces, schema))
+    # An outline also bounds what is held: such faces have a point that a held face is around.
+    at = found.withColumns({"face__": F.xxhash64("city", "geometry"), "at__": representative_point("geometry")})
+    at = at.select("city", "face__", *[F.col(f"at__.{a}").alias(f"{a}{i}") for a in "xy" for i in (0, 1)])
+    pairs = box_join(at, held.select("city", "x0", "y0", "x1", "y1", F.col("geometry").alias("around")), ["city"], tile)
+    taken = pairs.where(_around("around", "x0", "y0")).select("face__").distinct()
+    return found.withColumn("face__", F.xxhash64("city", "geometry")).join(taken, "face__", "left_anti").select("city", "geometry")
+
+
+@F.pandas_udf(BooleanType())
+def _around(s: pd.Series, x: pd.Series, y: pd.Series) -> pd.Series:
+    return pd.Series([L.within(S.from_wkb(d).polygons, np.array((a, b))) for d, a, b in zip(s, x, y)], dtype=bool)
 
 
 def _held(p: list[np.ndarray], size: float, tile: tuple[int, int] | None = None) -> bool:
@@ -227,7 +277,12 @@ def _held(p: list[np.ndarray], size: float, tile: tuple[int, int] | None = None)
 def _tile_faces(tile: float, smaller: tuple[float, ...]):
     def faces(pdf: pd.DataFrame) -> pd.DataFrame:
         own = int(pdf["tx"].iloc[0]), int(pdf["ty"].iloc[0])
-        found = L.polygonize([p for d in pdf["geometry"] for p in S.linework(S.from_wkb(d))])
+        lines = [p for d in pdf["geometry"] for p in S.linework(S.from_wkb(d))]
+        low, high = np.array(own) * tile, (np.array(own) + 1) * tile
+        # A face of this tile has a vertex in it, so a line that meets it.
+        if not any((p.max(axis=0) >= low).all() and (p.min(axis=0) <= high).all() for p in lines):
+            return pd.DataFrame({"city": [], "geometry": []})
+        found = L.polygonize(lines)
         kept = [p for p in found if _held(p, tile, own) and not any(_held(p, s) for s in smaller)]
         return pd.DataFrame({"city": [pdf["city"].iloc[0]] * len(kept), "geometry": [S.polygon_wkb([p]) for p in kept]})
 
@@ -253,7 +308,8 @@ def cut_by(rows: DataFrame, masks: DataFrame, keep_inside: bool, key: list[str],
             out += [(*r[:-1], d) for d in found]
         return pd.DataFrame(out, columns=schema.names)
 
-    return rows.select(*own, "geometry").groupBy(*own).cogroup(near.groupBy(*[f"{c}_" for c in own])).applyInPandas(cut, schema)
+    theirs = [f"{c}_" for c in own]
+    return spread(rows.select(*own, "geometry"), *own).groupBy(*own).cogroup(spread(near, *theirs).groupBy(*theirs)).applyInPandas(cut, schema)
 
 
 def dissolve(rows: DataFrame, keys: list[str], tile: float = 2_000.0) -> DataFrame:
@@ -267,7 +323,35 @@ def dissolve(rows: DataFrame, keys: list[str], tile: float = 2_000.0) -> DataFra
 
     m = with_box(rows.select(*keys, "geometry"))
     tiles = m.withColumns({"tx": F.floor(F.col("x0") / tile), "ty": F.floor(F.col("y0") / tile)}).where("kind is not null")
-    return tiles.select(*keys, "geometry", "tx", "ty").groupBy(*keys, "tx", "ty").applyInPandas(union, schema).groupBy(*keys).applyInPandas(union, schema)
+    return spread(tiles.select(*keys, "geometry", "tx", "ty"), *keys, "tx", "ty").groupBy(*keys, "tx", "ty").applyInPandas(union, schema).groupBy(*keys).applyInPandas(union, schema)
+
+
+def by_tiles(rows: DataFrame, tile: float) -> DataFrame:
+    """(city, geometry): the parts of polygons (city, geometry, box columns) in the squares of a grid."""
+    cell = lambda a: F.explode(F.sequence(F.floor(F.col(f"{a}0") / tile), F.floor(F.col(f"{a}1") / tile)))
+    schema = StructType([rows.schema["city"], rows.schema["geometry"]])
+
+    def cut(batches):
+        for b in batches:
+            out = []
+            for city, data, i, j in b.itertuples(index=False):
+                x, y = i * tile, j * tile
+                found = L.intersection(S.from_wkb(data).polygons, [[np.array([(x, y), (x + tile, y), (x + tile, y + tile), (x, y + tile)])]])
+                out += [(city, S.polygon_wkb([p])) for p in found]
+            yield pd.DataFrame(out, columns=schema.names)
+
+    return rows.withColumn("tx", cell("x")).withColumn("ty", cell("y")).select("city", "geometry", "tx", "ty").mapInPandas(cut, schema)
+
+
+def single_polygons(rows: DataFrame) -> DataFrame:
+    """(city, geometry): each polygon of each shape as a row."""
+    schema = StructType([rows.schema["city"], rows.schema["geometry"]])
+
+    def split(batches):
+        for b in batches:
+            yield pd.DataFrame([(city, S.polygon_wkb([p])) for city, d in b.itertuples(index=False) for p in S.from_wkb(d).polygons], columns=schema.names)
+
+    return rows.select("city", "geometry").mapInPandas(split, schema)
 
 
 @F.pandas_udf(BinaryType())
@@ -296,10 +380,10 @@ def fill(lines: DataFrame, holes: DataFrame, least: float = 1.0, cell: float = 5
             out += [(city, S.polygon_wkb([p]), how) for p in faces]
         return pd.DataFrame(out, columns=schema.names)
 
-    return holes.select("city", "hole_id", "geometry").groupBy("city", "hole_id").cogroup(near.groupBy("city_", "hole_id_")).applyInPandas(cut, schema)
+    return spread(holes.select("city", "hole_id", "geometry"), "city", "hole_id").groupBy("city", "hole_id").cogroup(spread(near, "city_", "hole_id_").groupBy("city_", "hole_id_")).applyInPandas(cut, schema)
 
 
-def produce_blocks(lines: DataFrame, extents: DataFrame, land: DataFrame | None = None, water: DataFrame | None = None, least: float = 700.0, tiles: tuple[float, ...] = (2_000.0, 16_000.0)) -> DataFrame:
+def produce_blocks(lines: DataFrame, extents: DataFrame, land: DataFrame | None = None, water: DataFrame | None = None, least: float = 700.0, tiles: tuple[float, ...] = (2_000.0,)) -> DataFrame:
     """Blocks of each city: faces of its linework, in land and out of water, and fill for the rest of its extent, with
     inscribed circles, areas and numbers; none below ``least`` square metres. Inputs have city and geometry."""
     boxed = lambda df: with_box(df.select("city", "geometry"))
@@ -312,10 +396,11 @@ def produce_blocks(lines: DataFrame, extents: DataFrame, land: DataFrame | None
                 df = cut_by(numbered(boxed(df)), boxed(mask), inside, ["face__"]).select("city", "geometry")
         return df
 
-    # Read by several steps below; kept on disk, and made anew from the lines where an executor is lost.
-    faces = polygonize(lines, tiles).persist(StorageLevel.DISK_ONLY)
-    base = dry(faces).persist(StorageLevel.DISK_ONLY)
-    rest = cut_by(numbered(boxed(extents)), boxed(base), False, ["face__"]).select("city", "geometry").persist(StorageLevel.DISK_ONLY)
+    # Read by several steps below, so written.
+    base = staged(dry(polygonize(lines, tiles)))
+    # The extent is cut by tiles, so that no task holds all faces of a city; what is left grows together again.
+    rest = cut_by(numbered(boxed(by_tiles(boxed(extents), max(tiles)))), boxed(base), False, ["face__"]).select("city", "geometry")
+    rest = staged(single_polygons(dissolve(rest, ["city"], max(tiles))))
     holes = boxed(dry(rest)).withColumn("hole_id", F.xxhash64("geometry"))
     both = base.withColumns({"is_fill_block": F.lit(False), "fill_method": F.lit(None).cast("string")}).unionByName(fill(lines, holes).withColumn("is_fill_block", F.lit(True)))
     m = both.withColumn("m", measures("geometry")).withColumns({"block_area": F.col("m.area"), "x0": F.col("m.x0"), "y0": F.col("m.y0"), "x1": F.col("m.x1"), "y1": F.col("m.y1")}).drop("m")
@@ -357,7 +442,7 @@ def parcel_layers(blocks: DataFrame, buildings: DataFrame, roads: DataFrame, rad
 
     # Renamed, so that both sides of the cogroup have columns of their own.
     around = held.unionByName(near).select(F.col("city").alias("city_"), F.col("block_id").alias("block_id_"), "x", "y", "line")
-    return b.select(*BLOCK, "area").groupBy(*BLOCK).cogroup(around.groupBy("city_", "block_id_")).applyInPandas(layers, schema)
+    return spread(b.select(*BLOCK, "area"), *BLOCK).groupBy(*BLOCK).cogroup(spread(around, "city_", "block_id_").groupBy("city_", "block_id_")).applyInPandas(layers, schema)
 
 
 def geojson(geometry: Column, tolerance: float = 0.0001) -> Column:

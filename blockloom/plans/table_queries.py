@@ -173,22 +173,12 @@ def replace_names(spark, d):
     return table(spark, d, "nation").select("n_nationkey", R.replaced(F.col("n_name"), pairs).alias("n_name"))
 
 
-FIRST_LINE = "split_part(replace(replace(substr(text, 1, 60), chr(10), ' '), '|', ' '), '.', 1)"
+PHRASES = "SELECT doc_id, unnest(range(len(x))) AS phrase, unnest(x) AS name FROM (SELECT doc_id, regexp_split_to_array(coalesce(text, ''), '[\\n|.]') AS x FROM documents)"
+CLEARED = "CASE WHEN lower(trim(name)) IN ('', 'nan', 'none') THEN '' ELSE trim(name) END"
 
 
-def phrases(spark, d) -> DataFrame:
-    first = F.split(F.translate(F.substring("text", 1, 60), "\n|", "  "), "[.]")[0]
-    return table(spark, d, "documents").select("doc_id", first.alias("name"), "source")
-
-
-@query(f"SELECT doc_id, regexp_replace(lower(strip_accents(trim(replace(x, 'ß', 'ß')))), '[^a-z0-9]+', '', 'g') AS name_key, regexp_replace(regexp_replace(strip_accents(trim(x)), '[^A-Za-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g') AS token, regexp_replace(lower(strip_accents(x)), '[^a-z0-9]+', '', 'g') AS join_key FROM (SELECT doc_id, {FIRST_LINE} AS x FROM documents)")
+@query(f"SELECT doc_id, CAST(phrase AS INT) AS phrase, regexp_replace(lower(strip_accents({CLEARED})), '[^a-z0-9]+', '', 'g') AS name_key, regexp_replace(regexp_replace(strip_accents({CLEARED}), '[^A-Za-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g') AS token, regexp_replace(lower(strip_accents(name)), '[^a-z0-9]+', '', 'g') AS join_key FROM ({PHRASES})")
 def city_name_keys(spark, d):
-    p = phrases(spark, d)
-    return p.select("doc_id", N.name_key(F.col("name")).alias("name_key"), N.folder_token(F.col("name")).alias("token"), N.join_key(F.col("name")).alias("join_key"))
-
-
-@query()
-def text_name_keys(spark, d):
     """Keys of every phrase of every text, up to its end; phrases end at a line, a bar or a full stop."""
     every = F.posexplode(F.split(F.coalesce("text", F.lit("")), "[\n|.]")).alias("phrase", "name")
     p = table(spark, d, "documents").select("doc_id", every)
@@ -201,9 +191,10 @@ def city_folders(spark, d):
     return both.select("n_nationkey", N.city_folder(F.col("n_name"), F.col("r_name")).alias("folder"))
 
 
-@query("SELECT DISTINCT p_name FROM part WHERE lower(p_name) LIKE '%p%1%' ORDER BY p_name LIMIT 50")
+@query("SELECT DISTINCT c_name FROM customer WHERE lower(c_name) LIKE '%c%r%1%' ORDER BY c_name LIMIT 50")
 def city_like_match(spark, d):
-    return A.names_like(table(spark, d, "part"), "p_name", "%P%1%")
+    """The first 50 names of a report, whatever their case."""
+    return A.names_like(table(spark, d, "customer"), "c_name", "%C%R%1%")
 
 
 @query("SELECT DISTINCT p_type FROM part WHERE p_type IS NOT NULL")

@@ -6,7 +6,7 @@ from blockloom.plans import registry
 def test_every_phrase_of_a_text_is_keyed(spark, tmp_path):
     late = "x" * 70 + ". São Paulo|“Zürich”\nnone.L’Aquila, CafÃ© " + "y" * 5_000 + " Łódź"
     spark.createDataFrame([(1, late), (2, None), (3, "")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    rows = registry.QUERIES["text_name_keys"](spark, str(tmp_path)).collect()
+    rows = registry.QUERIES["city_name_keys"](spark, str(tmp_path)).collect()
     got = {(r.doc_id, r.phrase): (r.name_key, r.token, r.join_key) for r in rows}
     assert len(got) == len(rows) == 7
     assert got[1, 0] == ("x" * 70,) * 3

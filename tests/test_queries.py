@@ -34,7 +34,7 @@ def test_equals_sql(spark, sf, sql, name):
     assert got == want
 
 
-@pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - set(registry.ORACLE_SQL) - {"city_blocks", "k_layers"}))
+@pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - set(registry.ORACLE_SQL)))
 def test_gives_rows(spark, sf, name):
     assert registry.QUERIES[name](spark, sf).limit(1).count() == 1
 
