@@ -377,6 +377,20 @@ def verify(members: DataFrame, least: tuple[int, ...], threshold: float, tile: i
     return dealt.select(*GROUP, "side", "tag", "copies", "sig", "hashes").mapInArrow(run, "a long, b long, links long")
 
 
+def may_have(rows: DataFrame, wanted: DataFrame, key: str, bits: int = 1 << 27) -> DataFrame:
+    """``rows`` without most of those whose ``key``, a hash, no row of ``wanted`` has: a filter before a shuffle.
+
+    One bit for each of ``bits`` values of the hash, in pieces of 4 KB: a broadcast of 16 MB at most, whatever the
+    number of rows. With very many wanted rows all bits are set, and every row passes."""
+    h = F.pmod(F.col(key), F.lit(bits)) + 1
+    bitmap = F.broadcast(wanted.groupBy(F.bitmap_bucket_number(h).alias("piece__")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(h)).alias("bits__")))
+    at = F.bitmap_bit_position(h).cast("int")
+    byte = F.conv(F.hex(F.expr("substring(bits__, place__ div 8 + 1, 1)")), 16, 10).cast("int")
+    found = rows.withColumns({"piece__": F.bitmap_bucket_number(h), "place__": at}).join(bitmap, "piece__")
+    here = F.call_function("shiftright", byte, F.col("place__") % 8).bitwiseAND(F.lit(1)) == 1
+    return found.where(here).select(*rows.columns)
+
+
 def placed(wanted: DataFrame, threshold: float, block: int, weight: int) -> DataFrame:
     """Rows (tag, root, copies, size) dealt to the groups in which pairs of a component meet.
 
@@ -460,7 +474,7 @@ def jaccard_join(
     # The sets of representatives that have a plausible partner: one text each, however many copies there are.
     wanted = written(near.join(copies.select("tag", "copies", "text_hash", "row_hash"), "tag").join(reps.select("tag", "size"), "tag"), "join-wanted")
     key = ["text_hash", "row_hash"]
-    texts = rows.select(*key, "text").join(wanted.select(*key, "tag"), key).groupBy(*key, "tag").agg(F.first("text").alias("text"))
+    texts = may_have(rows.select(*key, "text"), wanted, "row_hash").join(wanted.select(*key, "tag"), key).groupBy(*key, "tag").agg(F.first("text").alias("text"))
     sets = written(sets_of(texts, n), "join-sets")
     groups = placed(wanted.select("tag", "root", "copies", "size"), threshold, block, weight)
     found = written(verify(groups.join(sets, "tag"), least, threshold), "join-links")

@@ -4,6 +4,7 @@ import re
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from blockloom.llm import ngram_join as J
 
@@ -152,3 +153,12 @@ def test_exact_counts_by_pairs_and_by_matrices():
     assert 0 < sum(want) < len(want)
     assert J.alike(sets, i, j, 0.8).tolist() == want
     assert [bool(J.alike(sets, i[k : k + 1], j[k : k + 1], 0.8)[0]) for k in range(0, len(i), 9)] == want[::9]
+
+
+def test_the_filter_lets_every_wanted_row_pass(spark):
+    rows = spark.range(20_000).select(F.xxhash64("id").alias("h"), "id")
+    wanted = rows.where("id % 50 = 0")
+    for bits, most in ((1 << 27, 410), (1 << 16, 1_100), (64, 20_000)):
+        out = [r.id for r in J.may_have(rows, wanted, "h", bits).collect()]
+        assert {i for i in range(0, 20_000, 50)} <= set(out) and len(out) == len(set(out)) <= most
+    assert J.may_have(rows, wanted.limit(0), "h").count() == 0
