@@ -53,7 +53,7 @@ def written(df: DataFrame, label: str) -> DataFrame:
 
 def heavy_limit(rows: int) -> int:
     """How many of ``rows`` a key must have to be heavy; at most 1,000 keys have more."""
-    return max(1_000, rows // 1_000)
+    return max(100, rows // 1_000)
 
 
 def lookup(left: DataFrame, right: DataFrame, keys: list[str], heavy: Column) -> DataFrame:
