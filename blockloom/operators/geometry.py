@@ -5,6 +5,8 @@ Work is dealt in pairs of neighbours, in tiles of a city or in blocks, so that n
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -128,6 +130,30 @@ def reproject(geometry: Column, own: int, to: int) -> Column:
     return turn(geometry)
 
 
+def _polygons(change) -> Callable[[Column], Column]:
+    """A column function from one on lists of polygons; NULL for nothing."""
+
+    @F.pandas_udf(BinaryType())
+    def each(s: pd.Series) -> pd.Series:
+        def one(d: bytes | None) -> bytes | None:
+            found = change(S.from_wkb(d).polygons) if d is not None else []
+            return S.polygon_wkb(found) if found else None
+
+        return s.map(one)
+
+    return each
+
+
+def buffered(geometry: Column, d: float) -> Column:
+    """The places within ``d`` of each polygon, or further in than ``-d`` (``planar.buffer``)."""
+    return _polygons(lambda p: L.buffer(p, d))(geometry)
+
+
+def shrunk_to_area(geometry: Column, target: float) -> Column:
+    """Each polygon shrunk to an area (``planar.inner_buffer_of_area``)."""
+    return _polygons(lambda p: L.inner_buffer_of_area(p, target))(geometry)
+
+
 @F.pandas_udf(_doubles(StructType(), "x", "y"))
 def representative_point(s: pd.Series) -> pd.DataFrame:
     """A point within the largest polygon of each shape; else its first vertex; NULL for an empty one."""

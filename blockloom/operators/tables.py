@@ -113,6 +113,25 @@ def composites(rows: DataFrame) -> DataFrame:
     return rows.withColumns({"m1_m2_composite": (F.col("m1_std") + F.col("m2_std")) / 2.0, "m3_m7_composite": (F.col("m3_std") + F.col("m7_std")) / 2.0})
 
 
+def without_featureless(rows: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """``has_features``, whether a block has buildings, roads or intersections, and the standardised metrics (twelve,
+    those that are there) NULL where it has none. A flag that is NULL is false."""
+    flag = F.lit(False)
+    for c in ("has_buildings", "has_roads", "has_intersections"):
+        flag = flag | F.coalesce(F.col(c), F.lit(False))
+    columns = columns or [f"m{i}_std" for i in range(1, 13) if f"m{i}_std" in rows.columns]
+    return rows.withColumn("has_features", flag).withColumns({c: F.when(F.col("has_features"), F.col(c)) for c in columns})
+
+
+def tooltip(rows: DataFrame, out: str = "tooltip") -> DataFrame:
+    """A label of three lines for each scored block: its class in words, the index to two digits, the area."""
+    words = F.initcap(F.translate(F.coalesce("classification", F.lit("unclassified")), "_", " "))
+    index = F.coalesce(F.format_string("%.2f", "regularity_index"), F.lit("N/A")) if "regularity_index" in rows.columns else F.lit("N/A")
+    index = F.when(F.col("regularity_index").isNull(), F.lit("N/A")).otherwise(index) if "regularity_index" in rows.columns else index
+    area = F.format_number(F.coalesce("block_area", F.lit(0.0)), 0)
+    return rows.withColumn(out, F.concat(F.lit("<b>"), words, F.lit("</b><br>Regularity index: "), index, F.lit("<br>Block area: "), area, F.lit(" m²")))
+
+
 # Thresholds of the hierarchy.
 BUILT, RESIDENTIAL, SUBDIVISION, FORMAL = 0.5, 0.5, 0.8, 0.5
 

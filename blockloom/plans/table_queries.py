@@ -167,6 +167,15 @@ def open_space_quartiles(spark, d):
     return rounded(R.quartiles_by(labelled(spark, d).withColumn("n_chars", F.col("n_chars").cast("double")), ["toxic", "quality"], ["n_chars"]))
 
 
+@query("WITH f AS (SELECT l_orderkey, l_linenumber, l_discount > 0.05 AS b, CASE WHEN l_partkey % 3 > 0 THEN l_tax > 0.04 END AS r, l_quantity > 40 AS i, l_discount * 10 AS m1, l_tax * 10 AS m4 FROM lineitem) SELECT l_orderkey, l_linenumber, b OR coalesce(r, false) OR i AS has_features, round(CASE WHEN b OR coalesce(r, false) OR i THEN m1 END, 6) AS m1_std, round(CASE WHEN b OR coalesce(r, false) OR i THEN m4 END, 6) AS m4_std FROM f")
+def featureless_mask(spark, d):
+    rows = table(spark, d, "lineitem").select(
+        "l_orderkey", "l_linenumber", (F.col("l_discount") > 0.05).alias("has_buildings"), F.when(F.col("l_partkey") % 3 > 0, F.col("l_tax") > 0.04).alias("has_roads"),
+        (F.col("l_quantity") > 40).alias("has_intersections"), (F.col("l_discount") * 10).alias("m1_std"), (F.col("l_tax") * 10).alias("m4_std"),
+    )
+    return rounded(R.without_featureless(rows).select("l_orderkey", "l_linenumber", "has_features", "m1_std", "m4_std"))
+
+
 @query("SELECT n_nationkey, CASE n_name WHEN 'CHINA' THEN 'Zhongguo' WHEN 'FRANCE' THEN 'Hexagone' ELSE n_name END AS n_name FROM nation")
 def replace_names(spark, d):
     pairs = [("CHINA", "FRANCE_"), ("FRANCE_", "Zhongguo"), ("FRANCE", "Hexagone")]

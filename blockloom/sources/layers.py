@@ -95,9 +95,11 @@ def cities_with(spark: SparkSession, path: str) -> DataFrame:
     return rows.groupBy(F.col("city").cast("string").alias("city")).agg(F.count("*").alias("n_rows"))
 
 
-def still_wanted(spark: SparkSession, cities: DataFrame, out: str, ignore: list[str] = [], inputs: list[str] = []) -> DataFrame:
-    """(city, status): ``todo``, or why not: ``ignored``, ``done`` (rows are there), ``missing_input``."""
-    done = cities_with(spark, out).where("n_rows > 0").select("city", F.lit(True).alias("done__"))
+def still_wanted(spark: SparkSession, cities: DataFrame, out: str | None, ignore: list[str] = [], inputs: list[str] = []) -> DataFrame:
+    """(city, status): ``todo``, or why not: ``ignored``, ``done`` (rows are there; without ``out`` nothing is), or
+    ``missing_input``."""
+    there = cities_with(spark, out) if out else spark.createDataFrame([], "city string, n_rows long")
+    done = there.where("n_rows > 0").select("city", F.lit(True).alias("done__"))
     rows = cities.select(F.col("city").cast("string").alias("city")).distinct().join(done, "city", "left")
     ready = F.lit(True)
     for i, path in enumerate(inputs):

@@ -221,3 +221,25 @@ def test_dissolve_and_hull(spark):
     assert S.area(out["a"]) == pytest.approx(4) and len(out["a"].polygons) == 2 and set(out) == {"a", "b"}
     hulls = G.dissolve(rows, ["city"]).withColumn("h", G.convex_hull("geometry")).collect()
     assert {r.city: S.area(S.from_wkb(bytes(r.h))) for r in hulls} == {"a": 10, "b": 1}
+
+
+def test_labels_and_bounds(spark):
+    rows = spark.createDataFrame([("formal_subdivision", 0.8765, 12345.6, 0.0, 1.0, 2.0, 3.0), (None, None, None, -1.0, 0.0, 1.0, 9.0)], "classification string, regularity_index double, block_area double, x0 double, y0 double, x1 double, y1 double")
+    assert [r.tooltip for r in R.tooltip(rows).collect()] == [
+        "<b>Formal Subdivision</b><br>Regularity index: 0.88<br>Block area: 12,346 m²", "<b>Unclassified</b><br>Regularity index: N/A<br>Block area: 0 m²",
+    ]
+    assert tuple(R.bounds(rows).first()) == (-1.0, 0.0, 2.0, 9.0)
+
+
+def test_buffers():
+    from blockloom.geom import planar as L
+
+    total = lambda p: sum(map(S.polygon_area, p))
+    corner = 32 * np.sin(np.pi / 32)  # a disc of 64 sides
+    ell = [[np.array([(0, 0), (10, 0), (10, 4), (4, 4), (4, 10), (0, 10)], float)]]
+    assert total(L.buffer(ell, 1.0)) == pytest.approx(64 + 40 + corner - (1 - corner / 4), abs=1e-6)  # the inner corner lacks a square less a quarter disc
+    assert total(L.buffer(ell, -1.0)) == pytest.approx(64 - 40 + 4 + (1 - corner / 4), abs=1e-6)
+    assert L.buffer(ell, -3.0) == [] and L.buffer([], 2.0) == [] and L.buffer(ell, 0.0) is ell
+    square = [[np.array([(0, 0), (10, 0), (10, 10), (0, 10)], float)]]
+    near = L.inner_buffer_of_area(square, 50.0, tries=12)
+    assert abs(total(near) - 50) < 10 and L.inner_buffer_of_area(square, 100.0) is square and L.inner_buffer_of_area(square, 64.0)[0][0].min() == pytest.approx(1)

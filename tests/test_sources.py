@@ -150,3 +150,23 @@ def test_shapefile_round_trip(spark, tmp_path):
     back = L.read_shapefile(spark, str(tmp_path / "o.shp")).collect()
     assert n == len(back) == 4 and [r.name for r in back] == ["ñ0", "ñ1", "ñ2", None] and back[2].radius == 1.0
     assert [S.area(S.from_wkb(bytes(r.geometry))) for r in back[:3]] == [4, 3.75, 8] and back[3].geometry is None
+
+
+def test_preprocess_makes_distances_then_directions(spark, tmp_path):
+    paths = {n: str(tmp_path / n) for n in ("buildings", "roads", "distances", "azimuths")}
+    line = S.to_wkb(S.Shape("line", [np.array([(0.0, -3.0), (9.0, -3.0)])]))
+    L.write_layer(spark.createDataFrame([("a", "h1", S.to_wkb(SQUARE)), ("b", "h2", S.to_wkb(SQUARE))], "city string, id string, geometry binary"), paths["buildings"])
+    L.write_layer(spark.createDataFrame([("a", line)], "city string, geometry binary"), paths["roads"])
+    cities = spark.createDataFrame([("a",), ("b",)], "city string")
+    run = lambda: {r.city: (r.status, r.distances_skipped) for r in R.preprocess(spark, cities, paths["buildings"], paths["roads"], paths["distances"], paths["azimuths"]).collect()}
+    assert run() == {"a": ("ok", False), "b": ("missing_inputs", False)}
+    assert run() == {"a": ("ok", True), "b": ("missing_inputs", False)}
+    (r,) = spark.read.parquet(paths["azimuths"]).collect()
+    assert (r.city, r.id, r.distance_to_nearest_road, r.azimuth) == ("a", "h1", 3.0, 0.0)
+
+
+def test_gather_every_layer(spark, tmp_path):
+    cities = spark.createDataFrame([("a",), ("b",)], "city string")
+    layers = {"roads": lambda todo: todo.withColumn("v", F.lit(1)), "water": lambda todo: todo.where("city = 'a'").withColumn("v", F.lit(1))}
+    got = {(r.city, r.status, r.missing) for r in R.gather(spark, cities, layers, str(tmp_path)).collect()}
+    assert got == {("a", "OK", ""), ("b", "PARTIAL", "water")}
