@@ -144,6 +144,20 @@ def _polygons(change) -> Callable[[Column], Column]:
     return each
 
 
+def polygons_only(rows: DataFrame) -> DataFrame:
+    """Rows whose shape has polygons, without its points and lines, and with rings that cross made valid."""
+    whole = _polygons(lambda p: [q for x in p for q in L.repaired(x)])
+    return rows.withColumn("geometry", whole(F.col("geometry"))).where("geometry is not null")
+
+
+def areal_overlaps(blocks: DataFrame, grid: DataFrame, cell: float = 200.0) -> DataFrame:
+    """(city, block_id, grid_id, overlap_area, grid_area) of blocks and grid cells that share area, both with geometry
+    and box columns: what ``metrics.areal_weights`` takes."""
+    cells = grid.select("city", "grid_id", "x0", "y0", "x1", "y1", F.col("geometry").alias("cell_shape"), measures("geometry")["area"].alias("grid_area"))
+    pairs = box_join(cells, blocks.select(*BLOCK, "x0", "y0", "x1", "y1", F.col("geometry").alias("block_shape")), ["city"], cell)
+    return pairs.select(*BLOCK, "grid_id", overlap_area("cell_shape", "block_shape").alias("overlap_area"), "grid_area").where("overlap_area > 0")
+
+
 def buffered(geometry: Column, d: float) -> Column:
     """The places within ``d`` of each polygon, or further in than ``-d`` (``planar.buffer``)."""
     return _polygons(lambda p: L.buffer(p, d))(geometry)

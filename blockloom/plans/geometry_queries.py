@@ -60,6 +60,17 @@ def polygon_built_area(spark, d):
     return rounded(G.built_polygons(upright(P.buildings(spark, d)), upright(P.blocks(spark, d))), 3)
 
 
+@query(PROXY_SQL + ", grid AS (SELECT DISTINCT city, CAST(floor(x / 70) AS BIGINT) AS gx, CAST(floor(y / 70) AS BIGINT) AS gy FROM building), lap AS (SELECT k.city, k.block_id, (gx + 1000) * 10000 + gy + 1000 AS grid_id, (least(k.x1, gx * 70.0::DOUBLE + 70) - greatest(k.x0, gx * 70.0::DOUBLE)) * (least(k.y1, gy * 70.0::DOUBLE + 70) - greatest(k.y0, gy * 70.0::DOUBLE)) AS a FROM block k JOIN grid g ON g.city = k.city AND k.x0 < gx * 70 + 70 AND k.x1 > gx * 70 AND k.y0 < gy * 70 + 70 AND k.y1 > gy * 70) "
+       "SELECT city, block_id, grid_id, round(a, 3) AS overlap_area, 4900.0::DOUBLE AS grid_area FROM lap")
+def polygon_areal_overlaps(spark, d):
+    """Blocks laid over a grid of 70 m."""
+    at = lambda c: F.floor(F.col(c) / 70.0)
+    g = P.buildings(spark, d).select("city", at("x").alias("gx"), at("y").alias("gy")).distinct()
+    box = {"x0": F.col("gx") * 70.0, "y0": F.col("gy") * 70.0, "x1": (F.col("gx") + 1) * 70.0, "y1": (F.col("gy") + 1) * 70.0}
+    grid = g.withColumns({**box, "grid_id": (F.col("gx") + 1000) * 10000 + F.col("gy") + 1000}).drop("gx", "gy")
+    return rounded(G.areal_overlaps(upright(P.blocks(spark, d)), upright(grid)), 3)
+
+
 @query(PROXY_SQL + "SELECT city, building_id, round(4 * hw * hh + 4 * (hw + hh) * 5 + 32 * 25 * sin(pi() / 32), 3) AS outer_area, round(greatest(2 * hw - 1, 0) * greatest(2 * hh - 1, 0), 3) AS inner_area FROM building")
 def polygon_buffer(spark, d):
     """Footprints with 5 m around, their corners round, and without half a metre at the edge."""

@@ -117,6 +117,25 @@ def files_of(spark: SparkSession, path: str) -> DataFrame:
     return rows.groupBy("file", "size", "changed").agg(F.count("*").alias("n_rows"))
 
 
+def read_land(spark: SparkSession, path: str, x0: float, y0: float, x1: float, y1: float, city: str, epsg: int | None = None) -> DataFrame:
+    """(city, geometry): the polygons of a mask of land near a box, united; the box reaches the scan."""
+    from ..operators.geometry import dissolve, polygons_only
+
+    rows = polygons_only(in_box(read_geoparquet(spark, path), x0, y0, x1, y1)).withColumn("city", F.lit(city))
+    if epsg:
+        from ..operators.geometry import reproject
+
+        rows = rows.withColumn("geometry", reproject(F.col("geometry"), epsg_of(geo_metadata(path)), epsg))
+    return dissolve(rows.select("city", "geometry"), ["city"])
+
+
+def read_water(spark: SparkSession, path: str, epsg: int | None = None) -> DataFrame:
+    """A layer of inland water: polygons alone, made valid, in the system asked for, with the other columns."""
+    from ..operators.geometry import polygons_only
+
+    return polygons_only(read_geoparquet(spark, path, epsg))
+
+
 # The names of shapes in GeoParquet footers.
 GEOMETRY_TYPES = {"point": "Point", "line": "LineString", "polygon": "Polygon", "multipoint": "MultiPoint", "multiline": "MultiLineString", "multipolygon": "MultiPolygon", "collection": "GeometryCollection"}
 

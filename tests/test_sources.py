@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from blockloom.geom import shapes as S
+from blockloom.operators.geometry import with_box
 from blockloom.sources import layers as L
 from blockloom.sources import runs as R
 from blockloom.streaming.arrivals import follow, windowed_counts
@@ -170,3 +171,17 @@ def test_gather_every_layer(spark, tmp_path):
     layers = {"roads": lambda todo: todo.withColumn("v", F.lit(1)), "water": lambda todo: todo.where("city = 'a'").withColumn("v", F.lit(1))}
     got = {(r.city, r.status, r.missing) for r in R.gather(spark, cities, layers, str(tmp_path)).collect()}
     assert got == {("a", "OK", ""), ("b", "PARTIAL", "water")}
+
+
+def test_masks_of_land_and_water(spark, tmp_path):
+    """Lines and points are left out, crossing rings made valid, what is far from the box is not read."""
+    at = str(tmp_path / "m")
+    ring = SQUARE.parts[0][0]
+    bow = S.Shape("polygon", [[np.array([(0, 0), (2, 2), (2, 0), (0, 2)], float)]])
+    shapes = [SQUARE, S.Shape("polygon", [[ring + (1, 0)]]), S.Shape("line", [ring]), S.Shape("polygon", [[ring + (50, 50)]]), bow]
+    rows = spark.createDataFrame([(i, S.to_wkb(s)) for i, s in enumerate(shapes)], "id int, geometry binary")
+    L.write_geoparquet(with_box(rows), at)
+    water = {r.id: S.area(S.from_wkb(bytes(r.geometry))) for r in L.read_water(spark, at).collect()}
+    assert water == {0: 4, 1: 4, 3: 4, 4: pytest.approx(2)}
+    (land,) = L.read_land(spark, at, 0, 0, 4, 4, "a").collect()
+    assert land.city == "a" and S.area(S.from_wkb(bytes(land.geometry))) == pytest.approx(6)
