@@ -39,7 +39,14 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def shared_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/blockloom/{label}-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/blockloom/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
+
+
+def clear_written(spark: SparkSession) -> None:
+    """Remove all tables and archives that this application wrote here. What was made of them and not yet saved can no
+    longer be read, so this is for the end of a job."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/blockloom/{spark.sparkContext.applicationId}")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def written(df: DataFrame, label: str) -> DataFrame:

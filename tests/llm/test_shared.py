@@ -2,6 +2,7 @@ import re
 
 import public_tokenizers
 import sentencepiece
+from pyspark.sql import functions as F
 
 from blockloom.llm import _shared, langid, ngram_join, packing, pieces
 
@@ -29,3 +30,20 @@ def test_long_texts_are_read_in_parts_with_the_same_result(monkeypatch):
     for n in (1, 2, 3, 5):
         for t in (text, "a " * 60, "1 " * 60, "1 " * 60 + "b"):
             assert [x.tolist() for x in langid.gram_counts(t, n, 40)] == [x.tolist() for x in langid.gram_counts(t, n)]
+
+
+def test_written_tables_can_be_cleared(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(_shared, "shared_dir", lambda spark: f"file://{tmp_path}")
+    assert _shared.written(spark.range(5), "x").count() == 5
+    (app,) = (tmp_path / "blockloom").iterdir()
+    _shared.clear_written(spark)
+    assert not app.exists()
+
+
+def test_lookup_with_heavy_keys_is_a_join(spark):
+    left = spark.range(1_000).select((F.col("id") % 7 * (F.col("id") % 3)).alias("k"), "id")
+    right = left.groupBy("k").agg(F.count("*").alias("n")).withColumn("v", F.col("k") * 10).where("k <> 4")
+    want = sorted(map(tuple, left.join(right, "k").select("k", "id", "n", "v").collect()))
+    for heavy in (F.col("n") > 100, F.lit(False), F.lit(True), F.col("n") > F.lit(None)):
+        assert sorted(map(tuple, _shared.lookup(left, right, ["k"], heavy).select("k", "id", "n", "v").collect())) == want
+    assert all(n // _shared.heavy_limit(n) <= 1_000 for n in (0, 99, 1_000, 10**6, 10**9 + 7))
