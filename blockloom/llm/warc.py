@@ -112,14 +112,17 @@ def resolve_revisits(records: DataFrame, spans: int = 64) -> DataFrame:
     asked = found.where(resolved).groupBy(*names).agg(F.count("*").alias("asked"))
     # A source that more than ``limit`` revisits ask for, of which there are at most 1,000, is dealt to several tasks.
     limit = heavy_limit(found.count())
-    cuts = F.ceil(F.col("asked") / limit).cast("int").alias("cuts")
-    heavy = F.broadcast(asked.where(F.col("asked") > limit).select(*names, cuts))
-    salted = found.join(heavy, names, "left").withColumn("salt", F.pmod(F.xxhash64("record_id"), F.coalesce("cuts", F.lit(1))).cast("int")).drop("cuts")
+    heavy = F.broadcast(asked.where(F.col("asked") > limit).select(*names, F.ceil(F.col("asked") / limit).cast("int").alias("cuts")))
     stored = full.where("record_id is not null and ts is not null").select(
         F.col("record_id").alias("source_id"), F.col("ts").alias("source_ts"), F.col("content").alias("source_content"), F.col("headers").alias("stored"), "payload"
     )
-    stored = stored.join(asked.select(*names, cuts), names).dropDuplicates(names).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1))).drop("cuts")
-    out = salted.join(stored, [*names, "salt"], "left").withColumn("headers", F.when(F.col("stored").isNotNull(), merged(F.col("stored"), F.col("headers"))).otherwise(F.col("headers")))
+    # One key all the way, so that payloads are shuffled once.
+    light = stored.join(asked.where(F.col("asked") <= limit).select(*names), names, "left_semi").dropDuplicates(names)
+    out = found.join(heavy.select(*names), names, "left_anti").join(light, names, "left")
+    dealt = found.join(heavy, names).withColumn("salt", F.pmod(F.xxhash64("record_id"), F.col("cuts")).cast("int")).drop("cuts")
+    copies = stored.join(heavy, names).dropDuplicates(names).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1))).drop("cuts")
+    out = out.unionByName(dealt.join(copies, [*names, "salt"]).drop("salt"))
+    out = out.withColumn("headers", F.when(F.col("stored").isNotNull(), merged(F.col("stored"), F.col("headers"))).otherwise(F.col("headers")))
     columns = ["record_id", "url", "url_key", "ts", "is_full", "status", "source_id", "headers", "payload"]
     whole = full.withColumns({"status": F.lit("full"), "source_id": F.col("record_id")})
     return whole.select(*columns).unionByName(out.withColumn("is_full", F.lit(False)).select(*columns))
