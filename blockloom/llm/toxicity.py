@@ -59,7 +59,7 @@ class Known(dict):
         self.weights = weights
 
     def __missing__(self, word: str) -> tuple[int, ...]:
-        if len(self) > 250_000:
+        if len(self) > 100_000:
             self.clear()
         own = self[word] = tuple(h for h in word_features(word) if h in self.weights)
         return own
@@ -98,15 +98,18 @@ def once(rows: list[np.ndarray]) -> list[np.ndarray]:
     if not rows:
         return []
     names, inverse, count = np.unique(np.concatenate(rows), return_inverse=True, return_counts=True)
+    inverse = inverse.astype(np.int32)
     rank = np.empty(len(names), np.int32)
     rank[np.lexsort((names, count))] = np.arange(len(names))
+    shared = int((count == 1).sum())  # those below are in one row alone, so no other row is found by them
     kept, ranks, sizes, holders, start = [], [], [], {}, 0
     mine = np.zeros(len(names), bool)
     for f in rows:
         n = len(f)
         r = np.sort(rank[inverse[start : start + n]])
         start += n
-        rare = r[: n // 5 + 1].tolist()
+        rare = r[: n // 5 + 1]
+        rare = rare[rare >= shared].tolist()
         near = set().union(*[holders[h] for h in rare if h in holders])
         mine[r] = True
         copy = any(4 * n <= 5 * sizes[i] and 4 * sizes[i] <= 5 * n and 9 * np.count_nonzero(mine[ranks[i]]) >= 4 * (n + sizes[i]) for i in near)
