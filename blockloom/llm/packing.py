@@ -159,7 +159,7 @@ class WordTokenizer(dict):
     OTHER = re.compile(r"[^\n\t\r\x20-\x7eÀ-ÖØ-öø-įı-ſ]|<\|")
     WORD = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
 
-    def __init__(self, path: str, max_words: int = 500_000):
+    def __init__(self, path: str, max_words: int = 200_000):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)

@@ -209,7 +209,7 @@ class Caches:
         return row
 
     def lookup(self, tokens: list[str]) -> np.ndarray:
-        if len(self.ids) > 400_000 or len(self.signatures) > 50_000:
+        if len(self.ids) > 200_000 or len(self.signatures) > 50_000:
             self.clear()
         get = self.ids.get
         found = [get(t, -1) for t in tokens]
