@@ -50,7 +50,7 @@ class WordHash(dict):
     """64-bit hashes of words; bounded."""
 
     def __missing__(self, word: str) -> int:
-        if len(self) > 250_000:
+        if len(self) > 100_000:
             self.clear()
         value = self[word] = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"))
         return value
@@ -377,11 +377,12 @@ def verify(members: DataFrame, least: tuple[int, ...], threshold: float, tile: i
     return dealt.select(*GROUP, "side", "tag", "copies", "sig", "hashes").mapInArrow(run, "a long, b long, links long")
 
 
-def may_have(rows: DataFrame, wanted: DataFrame, key: str, bits: int = 1 << 27) -> DataFrame:
+def may_have(rows: DataFrame, wanted: DataFrame, key: str, most_bits: int = 1 << 27) -> DataFrame:
     """``rows`` without most of those whose ``key``, a hash, no row of ``wanted`` has: a filter before a shuffle.
 
-    One bit for each of ``bits`` values of the hash, in pieces of 4 KB: a broadcast of 16 MB at most, whatever the
-    number of rows. With very many wanted rows all bits are set, and every row passes."""
+    About ten bits for each wanted row, one for each value of the hash, in pieces of 4 KB: a broadcast of
+    ``most_bits``, 16 MB, at most. Beyond 13 million wanted rows more and more bits are set and other rows pass too."""
+    bits = min(most_bits, 1 << max(15, (10 * wanted.count()).bit_length()))
     h = F.pmod(F.col(key), F.lit(bits)) + 1
     bitmap = F.broadcast(wanted.groupBy(F.bitmap_bucket_number(h).alias("piece__")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(h)).alias("bits__")))
     at = F.bitmap_bit_position(h).cast("int")
