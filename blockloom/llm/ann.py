@@ -218,6 +218,7 @@ def search(
     members = written(tagged.mapInArrow(place, "row long, vec_id long, raw binary, list int"), "ann-members")
     asked = members.where(F.col("vec_id") % query_every == 0).groupBy("vec_id").agg(F.min("raw").alias("raw"))
     queries = written(asked.mapInArrow(probe, "vec_id long, raw binary, lists array<int>"), "ann-queries")
+    block = min(block, max(1_024, 4 * n // len(index.centroids)))  # a list above four times the mean is several blocks
     sizes = written(members.groupBy("list").agg(F.ceil(F.count("*") / block).cast("int").alias("m_cuts")), "ann-sizes")
 
     def visit(pairs: DataFrame, label: str) -> DataFrame:
