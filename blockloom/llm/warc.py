@@ -118,10 +118,12 @@ def resolve_revisits(records: DataFrame, spans: int = 64) -> DataFrame:
     )
     # One key all the way, so that payloads are shuffled once.
     light = stored.join(asked.where(F.col("asked") <= limit).select(*names), names, "left_semi").dropDuplicates(names)
-    out = found.join(heavy.select(*names), names, "left_anti").join(light, names, "left")
+    out = found.where(resolved).join(heavy.select(*names), names, "left_anti").join(light, names)
     dealt = found.join(heavy, names).withColumn("salt", F.pmod(F.xxhash64("record_id"), F.col("cuts")).cast("int")).drop("cuts")
     copies = stored.join(heavy, names).dropDuplicates(names).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1))).drop("cuts")
     out = out.unionByName(dealt.join(copies, [*names, "salt"]).drop("salt"))
+    # What is not resolved has no key to join by; as nulls it would all be one task's.
+    out = out.unionByName(found.where(~resolved), allowMissingColumns=True)
     out = out.withColumn("headers", F.when(F.col("stored").isNotNull(), merged(F.col("stored"), F.col("headers"))).otherwise(F.col("headers")))
     columns = ["record_id", "url", "url_key", "ts", "is_full", "status", "source_id", "headers", "payload"]
     whole = full.withColumns({"status": F.lit("full"), "source_id": F.col("record_id")})
