@@ -97,17 +97,15 @@ def once(rows: list[np.ndarray]) -> list[np.ndarray]:
     """
     if not rows:
         return []
-    names, inverse, count = np.unique(np.concatenate(rows), return_inverse=True, return_counts=True)
-    inverse = inverse.astype(np.int32)
+    names, count = np.unique(np.concatenate(rows), return_counts=True)
     rank = np.empty(len(names), np.int32)
     rank[np.lexsort((names, count))] = np.arange(len(names))
     shared = int((count == 1).sum())  # those below are in one row alone, so no other row is found by them
-    kept, ranks, sizes, holders, start = [], [], [], {}, 0
+    kept, ranks, sizes, holders = [], [], [], {}
     mine = np.zeros(len(names), bool)
     for f in rows:
         n = len(f)
-        r = np.sort(rank[inverse[start : start + n]])
-        start += n
+        r = np.sort(rank[np.searchsorted(names, f)])
         rare = r[: n // 5 + 1]
         rare = rare[rare >= shared].tolist()
         near = set().union(*[holders[h] for h in rare if h in holders])
