@@ -144,3 +144,20 @@ def test_complexity_without_buildings_or_area():
 def test_simplified():
     p = A((0, 0), (1, 0.01), (2, 0), (2, 5))
     assert S.simplified(p, 0.1).tolist() == [[0, 0], [2, 0], [2, 5]]
+
+
+def test_a_hole_with_an_island_belongs_to_the_ring_around_it():
+    """The island's largest part reaches over the hole's interior point; a hole is never a part of what lies in it."""
+    frame = [[square(0, 0, 40), square(10, 10, 20)]]
+    island = [[square(11, 11, 18)]]
+    both = L.union(frame, island)
+    assert sum(map(S.polygon_area, both)) == pytest.approx(1200 + 324) and len(both) == 2
+    assert sum(map(S.polygon_area, L.intersection(both, [[square(0, 0, 40)]]))) == pytest.approx(1524)
+
+
+def test_the_union_of_many_polygons():
+    rng = np.random.default_rng(5)
+    boxes = [(int(x), int(y), int(w), int(h)) for x, y, w, h in zip(*rng.integers(0, 60, (2, 150)), *rng.integers(1, 9, (2, 150)))]
+    cells = {(i, j) for x, y, w, h in boxes for i in range(x, x + w) for j in range(y, y + h)}
+    found = L.union([[square(x, y, w, h)] for x, y, w, h in boxes])
+    assert sum(map(S.polygon_area, found)) == pytest.approx(len(cells))
