@@ -124,3 +124,27 @@ def test_cascade_and_scores(spark):
     assert set(out[out.n_buildings == 0].classification) == {"open_space"} and {"subdivision", "irregular_settlement"} <= set(out.classification)
     counts, _ = L.open_space(rows.withColumns({"m10_raw": F.col("m10_std"), "m11_raw": F.col("m11_std")}))
     assert sum(r.n for r in counts.collect()) == n
+
+
+def test_regressions_of_all_folds_at_once_are_those_of_each(spark, rows):
+    data = L.Scale.of(rows, ["a", "b", "c"]).vectors(rows).withColumn("y", (F.col("t") == "yes").cast("int"))
+    dealt = L.stratified(data, 3, ["id"]).persist()
+    for c in (1.0, 0.02):
+        for k, line in enumerate(L.regressions(dealt, 3, c=c)):
+            one = L.regression(dealt.where(F.col("fold__") != k), c=c, max_iter=300)
+            assert np.allclose(line.coefficients, one.coefficients.toArray(), atol=1e-4) and line.intercept == pytest.approx(one.intercept, abs=1e-4)
+    dealt.unpersist()
+    lone = data.withColumn("fold__", F.when(F.col("y") == 1, 0).otherwise(F.pmod("id", F.lit(2))))
+    first, second = L.regressions(lone, 2)
+    assert first is None and second is not None
+
+
+def test_calibration_takes_few_jobs(spark, rows):
+    """One pass a step for all folds: five times as many folds are no five times as many passes."""
+    data = rows.withColumn("y", (F.col("t") == "yes").cast("int"))
+    spark.sparkContext.setJobGroup("few", "")
+    try:
+        assert len(L.calibrated(data, ["a", "b", "c"], ["id"], 5).pairs) == 5
+        assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("few")) < 150
+    finally:
+        spark.sparkContext.setJobGroup("rest", "")
