@@ -82,49 +82,89 @@ def voronoi_edges(points: np.ndarray, box: tuple[float, float, float, float]) ->
     return np.array(out) if out else np.empty((0, 4))
 
 
-def _paired_distance(p: np.ndarray, e: np.ndarray) -> np.ndarray:
-    """Distance of each point from the segment of the same row."""
-    d = e[:, 2:] - e[:, :2]
-    t = np.clip(((p - e[:, :2]) * d).sum(axis=1) / np.maximum((d * d).sum(axis=1), 1e-300), 0, 1)
-    return np.hypot(*(p - e[:, :2] - t[:, None] * d).T)
+def _near_interval(e: np.ndarray, t: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarray]:
+    """From and to, as shares of each segment of ``e``, of the part within ``radius`` of the target of the same row; to
+    below from: none. The places near a target are its band and a disc at each end, together convex."""
+    p, d = e[:, :2], e[:, 2:] - e[:, :2]
+    u = t[:, 2:] - t[:, :2]
+    long, a = np.hypot(*u.T), (d * d).sum(axis=1)
+    lo, hi = np.full(len(e), np.inf), np.full(len(e), -np.inf)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        for end in (t[:, :2], t[:, 2:]):
+            r = p - end
+            half, c = (r * d).sum(axis=1) / a, ((r * r).sum(axis=1) - radius * radius) / a
+            root = np.sqrt(half * half - c)  # nan where the disc is missed
+            lo, hi = np.fmin(lo, -half - root), np.fmax(hi, -half + root)
+        along, r = u / long[:, None], p - t[:, :2]
+        x, dx = (r * along).sum(axis=1), (d * along).sum(axis=1)
+        y, dy = along[:, 0] * r[:, 1] - along[:, 1] * r[:, 0], along[:, 0] * d[:, 1] - along[:, 1] * d[:, 0]
+        first, last = np.full(len(e), -np.inf), np.full(len(e), np.inf)
+        for v, dv, low, high in ((x, dx, np.zeros(len(e)), long), (y, dy, -radius, radius)):
+            one, two = (low - v) / dv, (high - v) / dv
+            level = np.where((v >= low) & (v <= high), -np.inf, np.inf)
+            first = np.maximum(first, np.where(dv == 0, level, np.minimum(one, two)))
+            last = np.minimum(last, np.where(dv == 0, -level, np.maximum(one, two)))
+        band = (long > 0) & (first <= last)
+    return np.clip(np.where(band, np.minimum(lo, first), lo), 0, None), np.clip(np.where(band, np.maximum(hi, last), hi), None, 1)
+
+
+def _joined(row: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Intervals within 0 to 1 of each row, as those apart from each other that cover the same."""
+    order = np.lexsort((lo, row))
+    row, lo, hi = row[order], lo[order], hi[order]
+    # Rows lie two apart on one axis, so that what lies before on it is the same row's, or ends before the row.
+    reached = np.maximum.accumulate(np.concatenate(([-1.0], hi + 2.0 * row)))[:-1]
+    first = np.flatnonzero(lo + 2.0 * row > reached)
+    return row[first], lo[first], np.maximum.reduceat(hi, first) if len(first) else hi[:0]
 
 
 def reach_within(e: np.ndarray, targets: np.ndarray, radius: float, at_once: int = 500_000) -> float:
-    """The total length of the parts of segments within ``radius`` of the target segments.
-
-    Along a segment the distance to a target is convex, so each target is near along one interval; its ends are found
-    for all pairs at once, by thirds down to the least distance and by halves from there."""
+    """The total length of the parts of segments within ``radius`` of the target segments: each target is near along one
+    interval of a segment, and the intervals of a segment are united. Only the part in the box around the targets can be
+    near; a segment that is near along all of it is done, so targets come in parts from all over, few at first."""
     size = np.hypot(e[:, 2] - e[:, 0], e[:, 3] - e[:, 1])
     e, size = e[size > EPS], size[size > EPS]
-    total, step = 0.0, max(1, at_once // max(1, len(targets)))
-    for start in range(0, len(e), step):
-        part = e[start : start + step]
-        row, column = (x.ravel() for x in np.indices((len(part), len(targets))))
-        p, d, t = part[row, :2], (part[:, 2:] - part[:, :2])[row], targets[column]
-        far_from = lambda at: _paired_distance(p + at[:, None] * d, t)  # noqa: E731, B023
-        lo, hi = np.zeros(len(row)), np.ones(len(row))
-        for _ in range(60):
-            a, b = lo + (hi - lo) / 3, hi - (hi - lo) / 3
-            left = far_from(a) <= far_from(b)
-            lo, hi = np.where(left, lo, a), np.where(left, b, hi)
-        mid = (lo + hi) / 2
-        near = far_from(mid) <= radius
-        ends = []
-        for far in (0.0, 1.0):
-            a, b = mid.copy(), np.full(len(row), far)
-            done = far_from(b) <= radius
-            for _ in range(45):
-                c = (a + b) / 2
-                ok = far_from(c) <= radius
-                a, b = np.where(ok, c, a), np.where(ok, b, c)
-            ends.append(np.where(done, far, a))
-        for k in range(len(part)):
-            here = near & (row == k)
-            at = 0.0
-            for a, b in sorted(zip(ends[0][here].tolist(), ends[1][here].tolist())):
-                total += max(0.0, b - max(a, at)) * float(size[start + k])
-                at = max(at, b)
-    return total
+    if not len(targets) or not len(e):
+        return 0.0
+    low, high = np.minimum(targets[:, :2], targets[:, 2:]) - radius, np.maximum(targets[:, :2], targets[:, 2:]) + radius
+    p, d = e[:, :2], e[:, 2:] - e[:, :2]
+    with np.errstate(divide="ignore", invalid="ignore"):
+        one, two = (low.min(axis=0) - p) / d, (high.max(axis=0) - p) / d
+    outside = (p < low.min(axis=0)) | (p > high.max(axis=0))
+    start = np.where(d == 0, np.where(outside, 2.0, 0.0), np.minimum(one, two)).max(axis=1).clip(0, None)
+    end = np.where(d == 0, 1.0, np.maximum(one, two)).min(axis=1).clip(None, 1)
+    left = np.flatnonzero(start < end)
+    a, b = np.minimum(e[:, :2], e[:, 2:]), np.maximum(e[:, :2], e[:, 2:])
+    order = np.random.default_rng(0).permutation(len(targets))
+    total, at, many = 0.0, 0, 16
+    row, lo, hi = np.empty(0, int), np.empty(0), np.empty(0)
+    while at < len(order) and len(left):
+        some, at, many = order[at : at + many], at + many, many * 2
+        step, found = max(1, at_once // len(some)), [(row, lo, hi)]
+        for k in range(0, len(left), step):
+            own = left[k : k + step]
+            i, j = np.nonzero(((a[own][:, None] <= high[some]) & (b[own][:, None] >= low[some])).all(axis=2))
+            x, y = _near_interval(e[own[i]], targets[some[j]], radius)
+            real = x < y
+            found.append((own[i[real]], x[real], y[real]))
+        row, lo, hi = _joined(*(np.concatenate(x) for x in zip(*found)))
+        sums = np.bincount(row, hi - lo, len(e))
+        done = left[sums[left] >= (end - start)[left] - 1e-12]
+        total += float((sums[done] * size[done]).sum())
+        left = np.setdiff1d(left, done)
+        kept = np.isin(row, left)
+        row, lo, hi = row[kept], lo[kept], hi[kept]
+    return total + float(((hi - lo) * size[row]).sum())
+
+
+def _boxes(lines: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    return np.array([p.min(axis=0) for p in lines]).reshape(-1, 2), np.array([p.max(axis=0) for p in lines]).reshape(-1, 2)
+
+
+def _around(lines: list[np.ndarray], p: np.ndarray, radius: float) -> list[np.ndarray]:
+    """The lines whose box comes within ``radius`` of that of points."""
+    low, high = _boxes(lines)
+    return [lines[i] for i in np.flatnonzero(((low <= p.max(axis=0) + radius) & (high >= p.min(axis=0) - radius)).all(axis=1))]
 
 
 def complexity(block: list[Polygon], buildings: np.ndarray, streets: list[np.ndarray], radius: float = 100.0) -> dict:
@@ -138,13 +178,15 @@ def complexity(block: list[Polygon], buildings: np.ndarray, streets: list[np.nda
     if not whole or not len(buildings):
         return {**out, "building_count": len(buildings) if whole else 0}
     shape = max(whole, key=polygon_area)
-    inner = clip_lines(streets, [shape])
+    crossed = _around(streets, shape[0], EPS)  # others have no part in the block
+    inner = clip_lines(crossed, [shape])
     connected, inner_segments = False, line_segments(inner)
     if inner:
         rim = segments_of(shape[:1])
-        outward = [s for s in streets if _near(line_segments([s]), rim, radius)]
+        outward = [s for s, near in zip(streets, near_lines(streets, rim, radius)) if near]
         if outward:
-            rest = [s for s in streets if not any(s is o for o in outward)]
+            taken = set(map(id, outward))
+            rest = [s for s in crossed if id(s) not in taken]
             net = line_segments(outward + clip_lines(rest, [shape]))
             total = float(np.hypot(net[:, 2] - net[:, 0], net[:, 3] - net[:, 1]).sum())
             on = reach_within(net, inner_segments, radius / 2)
@@ -168,7 +210,12 @@ def complexity(block: list[Polygon], buildings: np.ndarray, streets: list[np.nda
             beside[here].add(there) if there in parcels else outer.add(here)
     ring: set[int] = set()
     if connected:
-        ring = {s for s in parcels if _near(inner_segments, segments_of(faces.polygon(s)), 1.0) or inside(faces.polygon(s), inner_segments[0, 0], inner_segments[0, 1])[0]}
+        low, high = np.minimum(inner_segments[:, :2], inner_segments[:, 2:]) - 1.0, np.maximum(inner_segments[:, :2], inner_segments[:, 2:]) + 1.0
+        for s in parcels:
+            p = faces.polygon(s)
+            beside_it = inner_segments[((low <= p[0].max(axis=0)) & (high >= p[0].min(axis=0))).all(axis=1)]
+            if len(beside_it) and (_near(beside_it, segments_of(p), 1.0) or inside(p, inner_segments[0, 0], inner_segments[0, 1])[0]):
+                ring.add(s)
     ring = ring or outer or set(parcels)
     layers, left = [len(ring)], parcels - ring
     while left:
@@ -181,6 +228,22 @@ def complexity(block: list[Polygon], buildings: np.ndarray, streets: list[np.nda
     return {**out, "building_layers": layers, "k_complexity": len(layers)}
 
 
+def near_lines(lines: list[np.ndarray], b: np.ndarray, radius: float, at_once: int = 200_000) -> np.ndarray:
+    """For each line, whether it comes within ``radius`` of one of the segments ``b``."""
+    owner, e = np.repeat(np.arange(len(lines)), [max(len(p) - 1, 0) for p in lines]), line_segments(lines)
+    out, step = np.zeros(len(lines), bool), max(1, at_once // max(1, len(b)))
+    corners = np.unique(np.vstack((b[:, :2], b[:, 2:])), axis=0)
+    for start in range(0, len(e), step):
+        a = e[start : start + step]
+        near = crossing(a, b).any(axis=1) | (points_to_segments(a[:, :2], b) <= radius) | (points_to_segments(a[:, 2:], b) <= radius)
+        d = (a[:, 2:] - a[:, :2])[:, None]
+        rel = corners[None] - a[:, None, :2]
+        t = np.clip((rel * d).sum(axis=2) / np.maximum((d * d).sum(axis=2), 1e-300), 0, 1)
+        near |= (np.hypot(*np.moveaxis(rel - t[..., None] * d, 2, 0)) <= radius).any(axis=1)
+        out[owner[start : start + step][near]] = True
+    return out
+
+
 def _near(a: np.ndarray, b: np.ndarray, radius: float) -> bool:
     """Whether any segment of ``a`` comes within ``radius`` of one of ``b``."""
     if crossing(a, b).any():

@@ -471,11 +471,12 @@ def parcel_layers(blocks: DataFrame, buildings: DataFrame, roads: DataFrame, rad
         xy = theirs.loc[theirs["x"].notna(), ["x", "y"]].to_numpy(float) if len(theirs) else np.empty((0, 2))
         if len(xy) and area:
             e = np.vstack([S.segments_of(p) for p in area])
-            xy = xy[np.array([any(S.inside(p, x, y)[0] for p in area) for x, y in xy]) | (S.points_to_segments(xy, e) <= 1e-9)]
+            xy = xy[L.covered(area, xy) | (S.points_to_segments(xy, e) <= 1e-9)]
         lines = [p for d in theirs["line"].dropna() for p in S.from_wkb(d).lines] if len(theirs) else []
         if lines and area:
             edges = S.segments_of(area[0])
-            lines = [p for p in lines if K._near(S.line_segments([p]), edges, radius) or S.inside(area[0], *p[0])[0]]
+            first = np.array([p[0] for p in lines])
+            lines = [lines[i] for i in np.flatnonzero(K.near_lines(lines, edges, radius) | S.inside(area[0], first[:, 0], first[:, 1]))]
         out = K.complexity(area, xy, lines, radius)
         out["building_layers"] = ",".join(map(str, out["building_layers"]))
         return pd.DataFrame([{**{k: mine[k].iloc[0] for k in BLOCK}, **out}])[schema.names]

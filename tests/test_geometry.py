@@ -161,3 +161,27 @@ def test_the_union_of_many_polygons():
     cells = {(i, j) for x, y, w, h in boxes for i in range(x, x + w) for j in range(y, y + h)}
     found = L.union([[square(x, y, w, h)] for x, y, w, h in boxes])
     assert sum(map(S.polygon_area, found)) == pytest.approx(len(cells))
+
+
+def test_reach_is_the_share_of_points_that_are_near():
+    rng = np.random.default_rng(2)
+    e, targets = rng.uniform(-50, 50, (40, 4)), rng.uniform(-30, 30, (50, 4))
+    e[0, 2:], targets[0, 2:], targets[1, 1] = e[0, :2], targets[0, :2], targets[1, 3]  # points, and a level one
+    t = (np.arange(4_000) + 0.5) / 4_000
+    for radius in (1.0, 6.0):
+        want = 0.0
+        for s in e:
+            at = s[:2] + t[:, None] * (s[2:] - s[:2])
+            want += (S.points_to_segments(at, targets) <= radius).mean() * np.hypot(*(s[2:] - s[:2]))
+        assert K.reach_within(e, targets, radius) == pytest.approx(want, rel=2e-4)
+
+
+def test_a_block_of_many_streets_is_quick():
+    """Pairs of a street near the block and one in it were some 200 rounds of distances each."""
+    import time
+
+    rng = np.random.default_rng(4)
+    streets, points = list(rng.uniform(-120, 220, (1_200, 2, 2))), np.round(rng.uniform(0, 100, (500, 2)), 3)
+    start = time.process_time()
+    out = K.complexity([[square(0, 0, 100)]], points, streets)
+    assert time.process_time() - start < 15 and sum(out["building_layers"]) >= 500
