@@ -148,3 +148,10 @@ def test_calibration_takes_few_jobs(spark, rows):
         assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("few")) < 150
     finally:
         spark.sparkContext.setJobGroup("rest", "")
+
+
+def test_quality_of_trees_reads_written_scores(spark, rows, monkeypatch):
+    seen = []
+    monkeypatch.setattr(L, "quality", lambda scored: (seen.append(scored.inputFiles()), (0.5, 0.2, 0.1))[1])
+    L.boosted(rows, ["a"], "t", "yes", ["id"], rounds=1, depth=1, repeats=0, outer=2, inner=2)
+    assert seen and seen[0] and all("blockloom-stages" in f for f in seen[0])
