@@ -3,16 +3,22 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import re
 import shutil
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructType
 
 _local_dirs: dict[str, str] = {}
+#: What a Python process keeps from one task to the next, by operator: functions that drop it, and whose task was last.
+_kept: dict[str, Callable[[], None]] = {}
+_last: list[str] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -75,6 +81,51 @@ def lookup(left: DataFrame, right: DataFrame, keys: list[str], heavy: Column) ->
     return found.unionByName(rest.select(*found.columns))
 
 
+def release() -> None:
+    """Give back to the system what this process has freed: a Python worker outlives its tasks and stages."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # no such function in this C library
+        pass
+
+
+def keeps(operator: str, drop: Callable[[], None]) -> None:
+    """Say how to drop what ``operator`` keeps in a process between tasks."""
+    _kept[operator] = drop
+
+
+def parts(batches: Iterator[pa.RecordBatch], operator: str, rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """A task's batches in slices of at most ``rows``, which bound the lists made of each. A worker that comes from
+    another operator's task drops what that one kept, and every task gives back what it freed."""
+    if _last != [operator]:
+        for name, drop in _kept.items():
+            if name != operator:
+                drop()
+        _last[:] = [operator]
+        release()
+    try:
+        for b in batches:
+            for start in range(0, max(1, b.num_rows), rows):
+                yield b.slice(start, rows)
+    finally:
+        release()
+
+
+def with_text(docs: DataFrame, keep: list[str], text_col: str) -> tuple[DataFrame, Callable[[pa.RecordBatch], pa.Array]]:
+    """Columns ``keep`` and the text as a string, and where a batch has it. A text that is among ``keep``, or in a
+    struct there (``struct.field``), is not sent to Python a second time."""
+    head, _, child = text_col.partition(".")
+    if head in keep:
+        at, kind = keep.index(head), docs.select(head).schema[0].dataType
+        if not child and isinstance(kind, StringType):
+            return docs.select(*keep), lambda b: b.column(at)
+        if isinstance(kind, StructType) and kind.names.count(child) == 1 and isinstance(kind[child].dataType, StringType):
+            i = kind.names.index(child)
+            return docs.select(*keep), lambda b: b.column(at).field(i)
+    return docs.select(*keep, F.col(text_col).cast("string").alias("whole__text")), lambda b: b.column(len(keep))
+
+
 def slices(text: str, cut: re.Pattern, size: int = 1_000_000) -> Iterator[str]:
     """A text in parts of about ``size``, each but the first starting where ``cut`` matches, so that lists of a part's
     words are bounded; one part where it matches nowhere."""

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._shared import SPACE, int_seed, slices, table
+from ._shared import SPACE, int_seed, parts, slices, table, with_text
 
 GAP = 0
 PLACES = 1 << 7  # symbols: the gap and 127 classes of letters, 26 + 101
@@ -197,7 +197,7 @@ def train(labelled: DataFrame, space: Space, per_lang: int = 4_000, text_col: st
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}
-        for b in batches:
+        for b in parts(batches, "langid"):
             texts, langs = b.column(0).to_pylist(), np.array(b.column(1).to_pylist(), object)
             for x, y in space.groups(texts):
                 v, _ = space.bundle(texts[x:y])
@@ -225,14 +225,15 @@ def identify(docs: DataFrame, profiles: Profiles, keep: list[str], text_col: str
     Defined results: ``und``, score 0 and cosine 0 for a null text, one without a letter, or when no language was
     learned; equal texts get equal results; an empty table stays empty. ``keep`` may not name the added columns.
     """
+    sent, text = with_text(docs, keep, text_col)
     schema = docs.select(*keep).schema.add("lang_pred", "string").add("score", "double").add("lang_cosine", "double")
 
     def tag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            langs, scores, cos = profiles.predict(b.column(len(keep)).to_pylist())
+        for b in parts(batches, "langid"):
+            langs, scores, cos = profiles.predict(text(b).to_pylist())
             yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array(langs, pa.string()), pa.array(scores), pa.array(cos)], names=[f.name for f in schema])
 
-    return docs.select(*keep, F.col(text_col).cast("string").alias("lang__text")).mapInArrow(tag, schema)
+    return sent.mapInArrow(tag, schema)
 
 
 def op2_hyperdimensional_language(spark: SparkSession, sf_dir: str) -> DataFrame:

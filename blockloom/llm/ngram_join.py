@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import SPACE, heavy_limit, lookup, slices, table, written
+from ._shared import SPACE, heavy_limit, keeps, lookup, parts, slices, table, written
 
 BANDS, ROWS = 32, 5
 SIZE = BANDS * ROWS
@@ -57,6 +57,7 @@ class WordHash(dict):
 
 
 _words = WordHash()
+keeps("ngram_join", _words.clear)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -225,23 +226,21 @@ def hashes_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def sketches(rows: DataFrame, n: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for start in range(0, b.num_rows, 2_048):
-                part = b.slice(start, 2_048)
-                h1, h2, sizes, keys, sigs = [], [], [], [], []
-                for x in part.column(4):
-                    text = x.as_py() or ""
-                    s = shingles(text, n)
-                    whole = xxhash.xxh128_digest(s.tobytes() if len(s) else b"text:" + text.encode("utf-8", "surrogatepass"))
-                    a, c = np.frombuffer(whole, np.int64)
-                    h1.append(a)
-                    h2.append(c)
-                    sizes.append(len(s))
-                    low = signature(s) if len(s) else None
-                    keys.append(None if low is None else band_keys(low))
-                    sigs.append(None if low is None else short(low))
-                made = [pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(sigs, pa.binary())]
-                yield pa.RecordBatch.from_arrays([*part.columns[:4], *made], names=["doc_id", "tag", "text_hash", "row_hash", "h1", "h2", "size", "keys", "sig"])
+        for part in parts(batches, "ngram_join"):
+            h1, h2, sizes, keys, sigs = [], [], [], [], []
+            for x in part.column(4):
+                text = x.as_py() or ""
+                s = shingles(text, n)
+                whole = xxhash.xxh128_digest(s.tobytes() if len(s) else b"text:" + text.encode("utf-8", "surrogatepass"))
+                a, c = np.frombuffer(whole, np.int64)
+                h1.append(a)
+                h2.append(c)
+                sizes.append(len(s))
+                low = signature(s) if len(s) else None
+                keys.append(None if low is None else band_keys(low))
+                sigs.append(None if low is None else short(low))
+            made = [pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(sigs, pa.binary())]
+            yield pa.RecordBatch.from_arrays([*part.columns[:4], *made], names=["doc_id", "tag", "text_hash", "row_hash", "h1", "h2", "size", "keys", "sig"])
 
     return rows.select("doc_id", F.monotonically_increasing_id().alias("tag"), "text_hash", "row_hash", "text").mapInArrow(run, SKETCH)
 
@@ -255,11 +254,9 @@ def sets_of(texts: DataFrame, n: int) -> DataFrame:
     """(tag, sig, hashes) of rows (tag, text): the set of hashes of each text, in ascending order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for start in range(0, b.num_rows, 1_024):
-                part = b.slice(start, 1_024)
-                sets = [shingles(x.as_py() or "", n) for x in part.column(1)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([short(signature(s)) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["tag", "sig", "hashes"])
+        for part in parts(batches, "ngram_join"):
+            sets = [shingles(x.as_py() or "", n) for x in part.column(1)]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([short(signature(s)) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["tag", "sig", "hashes"])
 
     return texts.select("tag", "text").mapInArrow(run, "tag long, sig binary, hashes binary")
 
@@ -285,7 +282,7 @@ def bucket_edges(members: DataFrame, least: tuple[int, ...], threshold: float) -
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.Table] = []
         rows = 0
-        for g in groups_of(batches, 3):
+        for g in groups_of(parts(batches, "ngram_join", 10_000), 3):
             if g.num_rows == 1:
                 continue
             if g.num_rows <= 8:
@@ -341,7 +338,7 @@ def verify(members: DataFrame, least: tuple[int, ...], threshold: float, tile: i
     Where a group has two sides, pairs across them alone."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for g in groups_of(batches, len(GROUP)):
+        for g in groups_of(parts(batches, "ngram_join", 10_000), len(GROUP)):
             if g.num_rows < 2:
                 continue
             order = np.argsort(g["side"].to_numpy(), kind="stable")

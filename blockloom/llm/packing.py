@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._shared import SPACE, slices, table, written
+from ._shared import SPACE, keeps, parts, slices, table, written
 
 CAPACITY = 2048
 
@@ -182,6 +182,7 @@ class WordTokenizer(dict):
 
 
 _tokenizers: dict[str, WordTokenizer] = {}
+keeps("packing", _tokenizers.clear)
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -207,10 +208,12 @@ def token_pieces(
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        if tokenizer_path not in _tokenizers:
-            _tokenizers[tokenizer_path] = WordTokenizer(tokenizer_path)
-        encode = _tokenizers[tokenizer_path].encode
-        for batch in batches:
+        encode = None
+        for batch in parts(batches, "packing"):
+            if encode is None:
+                if tokenizer_path not in _tokenizers:
+                    _tokenizers[tokenizer_path] = WordTokenizer(tokenizer_path)
+                encode = _tokenizers[tokenizer_path].encode
             out: list[list] = [[] for _ in range(5 + with_ids)]
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 ids = encode(text.as_py() or "") + end

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import SPACE, slices, table
+from ._shared import SPACE, parts, slices, table, with_text
 
 KINDS = ("email", "ip", "card", "phone")
 Span = tuple[str, int, int]
@@ -561,19 +561,20 @@ def detect(docs: DataFrame, keep: list[str], model: Field | None = None, text_co
     added = f"pii__a {ddl}, pii__b {ddl}" + (", pii__m string" if masked else "")
     from pyspark.sql.types import StructType
 
+    sent, text = with_text(docs, keep, text_col)
     schema = docs.select(*keep).schema
     for f, name in zip(StructType.fromDDL(added), ("base", "spans", "masked")):
         schema = schema.add(name, f.dataType)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            texts = b.column(len(keep)).to_pylist()
+        for b in parts(batches, "pii"):
+            texts = text(b).to_pylist()
             found = find([t or "" for t in texts], model)
             lists = [pa.array([[dict(zip(("kind", "start", "end"), s)) for s in pair[i]] for pair in found], pa.list_(span)) for i in (0, 1)]
             hidden = [pa.array([None if t is None else mask(t, pair[1]) for t, pair in zip(texts, found)], pa.string())] if masked else []
             yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], *lists, *hidden], names=schema.names)
 
-    return docs.select(*keep, F.col(text_col).cast("string").alias("pii__text")).mapInArrow(run, schema)
+    return sent.mapInArrow(run, schema)
 
 
 def op7_random_field_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

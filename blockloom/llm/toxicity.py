@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import SPACE, slices, table
+from ._shared import SPACE, parts, release, slices, table, with_text
 
 TOKEN = re.compile(r"\w+|[^\w\s]+")
 HEADS = (4, 5, 6)
@@ -250,7 +250,7 @@ def train(
     some = texts.where(F.pmod(F.xxhash64("text"), F.lit(scale)) < min(scale, -(-max_unlabelled * scale // n_texts)))
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in parts(batches, "toxicity"):
             yield pa.RecordBatch.from_arrays([pa.array([features(t.as_py()).tobytes() for t in b.column(0)], pa.binary())], names=["f"])
 
     def rows(df: DataFrame, most: int) -> list[np.ndarray]:
@@ -258,7 +258,9 @@ def train(
         found = once_each.mapInArrow(hashed, "f binary").orderBy(F.xxhash64("f"), "f").limit(most).toArrow()["f"]
         return [np.frombuffer(f, np.uint32) for f in sorted(x.as_py() for chunk in found.chunks for x in chunk)]
 
-    return fit(rows(toxic, max_positive), rows(some, max_unlabelled), n_toxic / n)
+    model = fit(rows(toxic, max_positive), rows(some, max_unlabelled), n_toxic / n)
+    release()
+    return model
 
 
 def score(docs: DataFrame, model: Classifier, keep: list[str], text_col: str = "text", score_col: str = "score") -> DataFrame:
@@ -268,12 +270,13 @@ def score(docs: DataFrame, model: Classifier, keep: list[str], text_col: str = "
     ``keep`` may not name the added column.
     """
     schema = docs.select(*keep).schema.add(score_col, "double")
+    sent, text = with_text(docs, keep, text_col)
 
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array(model.score(b.column(len(keep)).to_pylist()))], names=[f.name for f in schema])
+        for b in parts(batches, "toxicity"):
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array(model.score(text(b).to_pylist()))], names=[f.name for f in schema])
 
-    return docs.select(*keep, F.col(text_col).cast("string").alias("toxic__text")).mapInArrow(rate, schema)
+    return sent.mapInArrow(rate, schema)
 
 
 THRESHOLD = 0.7

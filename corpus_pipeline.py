@@ -44,7 +44,7 @@ def drop_without_language(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     learned = bool(profiles.langs)
     if not learned:
         profiles = langid.Profiles(profiles.space, ["any"], np.zeros((1, profiles.space.dim)))
-    tagged = langid.identify(docs.select(F.struct(*docs.columns).alias("doc"), F.col("text").alias("doc_text")), profiles, ["doc"], text_col="doc_text")
+    tagged = langid.identify(docs.select(F.struct(*docs.columns).alias("doc")), profiles, ["doc"], text_col="doc.text")
     length = F.length(F.col("doc.text").cast("string"))
     least = F.coalesce(*[F.when(length >= n, cosine) for n, cosine in LEAST_COSINES if learned], F.lit(-1.0))
     return tagged.where((F.col("lang_pred") != "und") & (F.col("lang_cosine") >= least)).select("doc.*")
@@ -66,7 +66,7 @@ def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """With each span of personal data replaced by its kind, and n_chars, if it is there, after it."""
-    found = pii.detect(docs.select(F.struct(*docs.columns).alias("doc"), F.col("text").alias("doc_text")), ["doc"], text_col="doc_text", masked=True)
+    found = pii.detect(docs.select(F.struct(*docs.columns).alias("doc")), ["doc"], text_col="doc.text", masked=True)
     put = {"text": F.col("masked"), "n_chars": F.length("masked").cast(docs.schema["n_chars"].dataType if "n_chars" in docs.columns else "long")}
     return found.select(*[F.coalesce(put[c], F.col(f"doc.`{c}`")).alias(c) if c in put else F.col(f"doc.`{c}`") for c in docs.columns])
 

@@ -1,6 +1,7 @@
 import re
 
 import public_tokenizers
+import pyarrow as pa
 import sentencepiece
 from pyspark.sql import functions as F
 
@@ -47,3 +48,26 @@ def test_lookup_with_heavy_keys_is_a_join(spark):
     for heavy in (F.col("n") > 100, F.lit(False), F.lit(True), F.col("n") > F.lit(None)):
         assert sorted(map(tuple, _shared.lookup(left, right, ["k"], heavy).select("k", "id", "n", "v").collect())) == want
     assert all(n // _shared.heavy_limit(n) <= 1_000 for n in (0, 99, 1_000, 10**6, 10**9 + 7))
+
+
+def test_tasks_read_batches_in_parts_and_drop_what_other_operators_keep():
+    kept, own = {"a": 1}, {"b": 2}
+    _shared.keeps("test-other", kept.clear)
+    _shared.keeps("test-own", own.clear)
+    batches = [pa.RecordBatch.from_arrays([pa.array(range(n))], names=["x"]) for n in (1_300, 0, 2)]
+    found = list(_shared.parts(iter(batches), "test-own", 512))
+    assert [b.num_rows for b in found] == [512, 512, 276, 0, 2]
+    assert [x for b in found for x in b.column(0).to_pylist()] == [*range(1_300), 0, 1]
+    assert not kept and own
+
+
+def test_a_kept_text_is_sent_once(spark):
+    docs = spark.createDataFrame([(1, "a b", 5), (2, None, 6), (3, "c", 7)], "doc_id long, text string, n int")
+    inner = docs.select(F.struct(*docs.columns).alias("doc"))
+    for rows, keep, col, columns in ((docs, ["doc_id", "text"], "text", 2), (inner, ["doc"], "doc.text", 1), (docs, ["doc_id"], "text", 2), (docs, ["doc_id", "n"], "n", 3)):
+        sent, text = _shared.with_text(rows, keep, col)
+        assert len(sent.columns) == columns
+        want = ["5", "6", "7"] if col == "n" else ["a b", None, "c"]
+        assert [x for b in sent.toArrow().to_batches() for x in text(b.slice(0)).to_pylist()] == want
+        (whole,) = sent.toArrow().combine_chunks().to_batches()
+        assert text(whole.slice(1)).to_pylist() == want[1:]
