@@ -5,14 +5,17 @@ Work is dealt in pairs of neighbours, in tiles of a city or in blocks, so that n
 
 from __future__ import annotations
 
+import functools
+import math
 from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType, BooleanType, DoubleType, IntegerType, StringType, StructType
+from pyspark.sql.types import BinaryType, BooleanType, DoubleType, IntegerType, LongType, StringType, StructType
 
+from ..geom import arrangement as R
 from ..geom import parcels as K
 from ..geom import planar as L
 from ..geom import shapes as S
@@ -245,88 +248,79 @@ def polygon_road_distance(buildings: DataFrame, roads: DataFrame, window: float
 
 
 def polygonize(lines: DataFrame, tiles: tuple[float, ...] = (2_000.0,)) -> DataFrame:
-    """(city, geometry): the faces that each city's linework bounds; ``lines`` has city, geometry and box columns.
-
-    Each tile cuts the lines that meet it or the tiles around it, and keeps the faces that lie in these and have
-    their lowest leftmost vertex in the tile; such a face is the same in any larger piece. Faces that no tile holds are
-    bounded by the outline of those held and by the lines beyond it: these, few, are brought together by city, for
-    cities that are wider than the largest tile."""
-    found = None
-    for i, tile in enumerate(tiles):
-        cell = lambda c, d, tile=tile: F.floor(F.col(c) / tile) + d
-        dealt = lines.withColumn("tx", F.explode(F.sequence(cell("x0", -1), cell("x1", 1)))).withColumn("ty", F.explode(F.sequence(cell("y0", -1), cell("y1", 1))))
-        schema = StructType([lines.schema["city"], lines.schema["geometry"]])
-        part = spread(dealt.select("city", "tx", "ty", "geometry"), "city", "tx", "ty").groupBy("city", "tx", "ty").applyInPandas(_tile_faces(tile, tiles[:i]), schema)
-        found = part if found is None else found.unionByName(part)
-    reach = lines.groupBy("city").agg((F.max("x1") - F.min("x0")).alias("w"), (F.max("y1") - F.min("y0")).alias("h"))
-    wide = reach.where((F.col("w") > max(tiles)) | (F.col("h") > max(tiles))).select("city")
-    found = staged(found)
-    return found.unionByName(_faces_beyond(lines.join(wide, "city"), found.join(wide, "city"), max(tiles)))
-
-
-def _faces_beyond(lines: DataFrame, held: DataFrame, tile: float) -> DataFrame:
-    """The faces of linework that are none of those ``held``."""
-    schema = StructType([lines.schema["city"], lines.schema["geometry"]])
-    held = with_box(held.select("city", "geometry"))
-
-    def dealt(rows: DataFrame) -> DataFrame:
-        cell = lambda a: F.explode(F.sequence(F.floor(F.col(f"{a}0") / tile), F.floor(F.col(f"{a}1") / tile)))
-        return rows.withColumn("tx", cell("x")).withColumn("ty", cell("y"))
-
-    def outline(mine: pd.DataFrame, theirs: pd.DataFrame) -> pd.DataFrame:
-        if not len(mine):
-            return pd.DataFrame({"city": [], "geometry": []})
-        x, y = mine["tx"].iloc[0] * tile, mine["ty"].iloc[0] * tile
-        square = [[np.array([(x, y), (x + tile, y), (x + tile, y + tile), (x, y + tile)])]]
-        whole = L.union([p for d in theirs["geometry_"] for p in S.from_wkb(d).polygons]) if len(theirs) else []
-        own = [p for d in mine["geometry"] for p in S.linework(S.from_wkb(d))]
-        rings = [np.vstack((r, r[:1])) for p in whole for r in p]
-        parts = L.clip_lines(L.clip_lines(own, whole, outside=True) + rings, square)
-        return pd.DataFrame({"city": [mine["city"].iloc[0]] * bool(parts), "geometry": [S.to_wkb(S.Shape("multiline", parts))] * bool(parts)})
-
-    def faces(pdf: pd.DataFrame) -> pd.DataFrame:
-        found = L.polygonize([p for d in pdf["geometry"] for p in S.from_wkb(d).lines])
-        return pd.DataFrame({"city": [pdf["city"].iloc[0]] * len(found), "geometry": [S.polygon_wkb([p]) for p in found]})
-
-    mine = dealt(lines).select("city", "tx", "ty", "geometry")
-    theirs = dealt(held).select(F.col("city").alias("city_"), F.col("tx").alias("tx_"), F.col("ty").alias("ty_"), F.col("geometry").alias("geometry_"))
-    rest = spread(mine, "city", "tx", "ty").groupBy("city", "tx", "ty").cogroup(spread(theirs, "city_", "tx_", "ty_").groupBy("city_", "tx_", "ty_")).applyInPandas(outline, schema)
-    found = staged(rest.groupBy("city").applyInPandas(faces, schema))
-    # An outline also bounds what is held: such faces have a point that a held face is around.
-    at = found.withColumns({"face__": F.xxhash64("city", "geometry"), "at__": representative_point("geometry")})
-    at = at.select("city", "face__", *[F.col(f"at__.{a}").alias(f"{a}{i}") for a in "xy" for i in (0, 1)])
-    pairs = box_join(at, held.select("city", "x0", "y0", "x1", "y1", F.col("geometry").alias("around")), ["city"], tile)
-    taken = pairs.where(_around("around", "x0", "y0")).select("face__").distinct()
-    return found.withColumn("face__", F.xxhash64("city", "geometry")).join(taken, "face__", "left_anti").select("city", "geometry")
-
-
-@F.pandas_udf(BooleanType())
-def _around(s: pd.Series, x: pd.Series, y: pd.Series) -> pd.Series:
-    return pd.Series([L.within(S.from_wkb(d).polygons, np.array((a, b))) for d, a, b in zip(s, x, y)], dtype=bool)
-
-
-def _held(p: list[np.ndarray], size: float, tile: tuple[int, int] | None = None) -> bool:
-    """Whether a face lies in the tile of its lowest leftmost vertex and the tiles around it; and that is ``tile``."""
-    corner = p[0][np.lexsort((p[0][:, 1], p[0][:, 0]))[0]]
-    cell = np.floor(corner / size)
-    if tile is not None and tuple(cell) != tile:
-        return False
-    return bool((p[0].min(axis=0) >= (cell - 1) * size).all() and (p[0].max(axis=0) <= (cell + 2) * size).all())
-
-
-def _tile_faces(tile: float, smaller: tuple[float, ...]):
-    def faces(pdf: pd.DataFrame) -> pd.DataFrame:
-        own = int(pdf["tx"].iloc[0]), int(pdf["ty"].iloc[0])
-        lines = [p for d in pdf["geometry"] for p in S.linework(S.from_wkb(d))]
-        low, high = np.array(own) * tile, (np.array(own) + 1) * tile
-        # A face of this tile has a vertex in it, so a line that meets it.
-        if not any((p.max(axis=0) >= low).all() and (p.min(axis=0) <= high).all() for p in lines):
-            return pd.DataFrame({"city": [], "geometry": []})
-        found = L.polygonize(lines)
-        kept = [p for p in found if _held(p, tile, own) and not any(_held(p, s) for s in smaller)]
-        return pd.DataFrame({"city": [pdf["city"].iloc[0]] * len(kept), "geometry": [S.polygon_wkb([p]) for p in kept]})
-
-    return faces
+    """(city, geometry): the faces that each city's linework bounds; ``lines`` has city, geometry and box columns."""
+    return _faces_and_outlines(lines, tiles)[0]
+
+
+SEGMENT = _doubles(StructType(), "x1", "y1", "x2", "y2")
+SIDES = StructType().add("left", BooleanType()).add("right", BooleanType()).add("tx", LongType()).add("ty", LongType())
+
+
+def _faces_and_outlines(lines: DataFrame, tiles: tuple[float, ...], least: float = 0.0, edges: float = 1e5, grow: int = 4) -> tuple[DataFrame, DataFrame]:
+    """(city, geometry) twice: the faces of an area of ``least`` or more, and the rings around all faces.
+
+    Squares of a grid, at most as wide as the least of ``tiles`` and for dense linework so narrow that about ``edges``
+    edges are expected in one, settle the faces that they hold whole. What goes on to squares ``grow`` times as wide is
+    edges beside faces that reach a square's border, and in the end, by city, those beside the outside: a task holds
+    what borders its squares, not what is in them."""
+    city = lines.schema["city"]
+    widest = 2.0 ** math.floor(math.log2(min(tiles)))
+    split_schema = StructType([city, *SEGMENT.fields])
+
+    def split(batches):
+        for b in batches:
+            for name, d in b.itertuples(index=False):
+                e = S.line_segments(S.linework(S.from_wkb(d)))
+                if len(e):
+                    yield pd.DataFrame({"city": [name] * len(e), **dict(zip(SEGMENT.names, e.T))})
+
+    segments = staged(lines.select("city", "geometry").mapInPandas(split, split_schema))
+    # Lines that lie at random cross (length / area) ** 2 / pi times a square metre: in the middle half of a city each way,
+    # which is taken to hold a quarter of it.
+    middle = {a: (F.col(f"{a}1") + F.col(f"{a}2")) / 2 for a in "xy"}
+    quarter = [(F.percentile_approx(middle[a], 0.75) - F.percentile_approx(middle[a], 0.25)).alias(f"w{a}") for a in "xy"]
+    span = F.greatest(*[F.max(F.greatest(f"{a}1", f"{a}2")) - F.min(F.least(f"{a}1", f"{a}2")) for a in "xy"]).alias("span")
+    found = segments.groupBy("city").agg(F.sum(F.hypot(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1"))).alias("length"), F.count("*").alias("n"), span, *quarter)
+    area = F.greatest(F.col("wx") * F.col("wy"), F.lit(1e-6))
+    density = F.greatest((F.col("length") / 4) ** 2 / math.pi / area / area, F.col("n") / 4 / area)
+    power = F.floor(F.log2(F.least(F.lit(widest), F.greatest(F.lit(1.0 / 64), F.sqrt(edges / 2 / density)))))
+    sizes = staged(found.select(F.col("city").alias("city_"), F.pow(F.lit(2.0), power).alias("size"), "span"))
+    ratio = sizes.agg(F.max(F.col("span") / F.col("size"))).first()[0] or 1.0
+    levels = max(1, math.ceil(math.log(ratio, grow))) if ratio > 1 else 1
+
+    row = StructType([city, *SEGMENT.fields, *SIDES.fields, *_doubles(StructType(), "size").fields])
+    out = StructType([*row.fields, *StructType().add("geometry", BinaryType()).add("outline", BooleanType()).fields])
+
+    def deal(batches):
+        for b in batches:
+            for size, rows in b.groupby("size"):
+                e = rows[SEGMENT.names].to_numpy(float)
+                for at in range(0, len(e), 1_000):
+                    which, x, y, p = R.pieces_in_squares(e[at : at + 1_000], size)
+                    yield pd.DataFrame({"city": rows["city"].to_numpy()[at + which], **dict(zip(SEGMENT.names, p.T)), "left": False, "right": False, "tx": x, "ty": y, "size": size}, columns=row.names)
+
+    def settle(wide: int | None):
+        def one(pdf: pd.DataFrame) -> pd.DataFrame:
+            unit = float(pdf["size"].iloc[0])
+            x, y, w = int(pdf["tx"].iloc[0]), int(pdf["ty"].iloc[0]), unit * (wide or 1)
+            box = None if wide is None else (x * w, y * w, (x + 1) * w, (y + 1) * w)
+            f = R.settle(pdf[SEGMENT.names].to_numpy(float), pdf["left"].to_numpy(bool), pdf["right"].to_numpy(bool), box, least, unit)
+            made = [pd.DataFrame({**dict(zip(SEGMENT.names, f.edges.T)), "left": f.left, "right": f.right, "geometry": None, "outline": False})]
+            shapes = [S.polygon_wkb([p]) for p in [*f.faces, *f.outlines]]
+            made.append(pd.DataFrame({**dict.fromkeys(SEGMENT.names, 0.0), "left": False, "right": False, "geometry": shapes, "outline": [False] * len(f.faces) + [True] * len(f.outlines)}))
+            both = pd.concat([m for m in made if len(m)]) if any(map(len, made)) else made[0]
+            return both.assign(city=pdf["city"].iloc[0], tx=x // grow, ty=y // grow, size=unit)[out.names]
+
+        return one
+
+    rows = segments.join(sizes, segments["city"].eqNullSafe(sizes["city_"])).select("city", *SEGMENT.names, "size").mapInPandas(deal, row)
+    made = []
+    for i in range(levels):
+        made.append(staged(spread(rows, "city", "tx", "ty").groupBy("city", "tx", "ty").applyInPandas(settle(grow**i), out)))
+        rows = made[-1].where("geometry is null").select(row.names)
+    made.append(staged(rows.groupBy("city").applyInPandas(settle(None), out)))
+    faces = functools.reduce(DataFrame.unionByName, [m.where("geometry is not null and not outline").select("city", "geometry") for m in made])
+    return faces, made[-1].where("outline").select("city", "geometry")
 
 
 def cut_by(rows: DataFrame, masks: DataFrame, keep_inside: bool, key: list[str], cell: float = 500.0) -> DataFrame:
@@ -436,10 +430,11 @@ def produce_blocks(lines: DataFrame, extents: DataFrame, land: DataFrame | None
                 df = cut_by(numbered(boxed(df)), boxed(mask), inside, ["face__"]).select("city", "geometry")
         return df
 
-    # Read by several steps below, so written.
-    base = staged(dry(polygonize(lines, tiles)))
-    # The extent is cut by tiles, so that no task holds all faces of a city; what is left grows together again.
-    rest = cut_by(numbered(boxed(by_tiles(boxed(extents), max(tiles)))), boxed(base), False, ["face__"]).select("city", "geometry")
+    faces, outlines = _faces_and_outlines(lines, tiles, least)
+    base = dry(faces)
+    # The extent is cut by tiles, so that no task holds a city's; what is left grows together again. What no face takes
+    # is what the rings around all of them leave; fill in water or off land goes below.
+    rest = cut_by(numbered(boxed(by_tiles(boxed(extents), max(tiles)))), boxed(outlines), False, ["face__"]).select("city", "geometry")
     rest = staged(single_polygons(dissolve(rest, ["city"], max(tiles))))
     holes = boxed(dry(rest)).withColumn("hole_id", F.xxhash64("geometry"))
     both = base.withColumns({"is_fill_block": F.lit(False), "fill_method": F.lit(None).cast("string")}).unionByName(fill(lines, holes).withColumn("is_fill_block", F.lit(True)))
