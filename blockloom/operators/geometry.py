@@ -281,7 +281,9 @@ def _faces_and_outlines(lines: DataFrame, tiles: tuple[float, ...], least: float
     quarter = [(F.percentile_approx(middle[a], 0.75) - F.percentile_approx(middle[a], 0.25)).alias(f"w{a}") for a in "xy"]
     span = F.greatest(*[F.max(F.greatest(f"{a}1", f"{a}2")) - F.min(F.least(f"{a}1", f"{a}2")) for a in "xy"]).alias("span")
     found = segments.groupBy("city").agg(F.sum(F.hypot(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1"))).alias("length"), F.count("*").alias("n"), span, *quarter)
-    area = F.greatest(F.col("wx") * F.col("wy"), F.lit(1e-6))
+    # Many lines may have their middles on one line, so a sixteenth of the city's reach is the least that counts.
+    wide = lambda a: F.greatest(F.col(f"w{a}"), F.col("span") / 16, F.lit(1e-3))
+    area = wide("x") * wide("y")
     density = F.greatest((F.col("length") / 4) ** 2 / math.pi / area / area, F.col("n") / 4 / area)
     power = F.floor(F.log2(F.least(F.lit(widest), F.greatest(F.lit(1.0 / 64), F.sqrt(edges / 2 / density)))))
     sizes = staged(found.select(F.col("city").alias("city_"), F.pow(F.lit(2.0), power).alias("size"), "span"))

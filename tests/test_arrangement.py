@@ -68,3 +68,9 @@ def test_what_is_settled_is_not_found_again():
     out = R.settle(e, left, np.zeros(8, bool), None)
     assert [S.polygon_area(p) for p in out.faces] == [96.0] and [S.polygon_area(p) for p in out.outlines] == [100.0]
     assert not len(R.settle(np.empty((0, 4)), np.empty(0, bool), np.empty(0, bool), (0, 0, 1, 1)).edges)
+
+
+def test_lines_with_their_middles_in_a_row_are_not_dealt_to_tiny_squares(spark):
+    lines = [np.array([(x, -10), (x, 310)], float) for x in (0, 100, 200)] + [np.array([(-10, y), (210, y)], float) for y in (0, 100, 200, 300)]
+    rows = spark.createDataFrame([(1, wkb(p)) for p in lines], "city int, geometry binary")
+    assert rings(p for r in G.polygonize(G.with_box(rows)).collect() for p in S.from_wkb(bytes(r.geometry)).polygons) == [(10_000.0, 4)] * 6
