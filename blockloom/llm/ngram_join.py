@@ -41,6 +41,7 @@ BANDS, ROWS = 32, 5
 SIZE = BANDS * ROWS
 STEPS = (16, 32, 64, 96, 128, SIZE)
 KEY_BLOCKS = 16
+FEW_EDGES = 250_000
 WORD = re.compile(r"\w+")
 U = np.uint64
 ODD, PLUS = np.random.default_rng(23).integers(0, 1 << 63, (2, SIZE), dtype=np.uint64) * U(2) + U(1)
@@ -194,10 +195,27 @@ def in_blocks(dealt: DataFrame, salt: int) -> DataFrame:
     )
 
 
+def trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(tag, root) for each end of the edges (a, b) of one task, root the least tag of its component."""
+    ends = [np.stack([b.column(0).to_numpy(), b.column(1).to_numpy()]) for b in parts(batches, "ngram_join", 100_000)]
+    if not ends:
+        return
+    tags, at = np.unique(np.concatenate(ends, axis=1).ravel(), return_inverse=True)
+    a, b = at.reshape(2, -1).tolist()
+    sets = Sets(len(tags))
+    for x, y in zip(a, b):
+        sets.join(x, y)
+    roots = np.array([sets.root(x) for x in range(len(tags))], np.int64)
+    yield pa.RecordBatch.from_arrays([pa.array(tags, pa.int64()), pa.array(tags[roots], pa.int64())], names=["tag", "root"])
+
+
 def components(edges: DataFrame, label: str) -> DataFrame:
-    """(tag, root) for each end of an edge, root the least tag of its component: rounds of large and small stars,
-    each a written table, until a round changes nothing."""
+    """(tag, root) for each end of an edge, root the least tag of its component. Up to ``FEW_EDGES`` edges, which are
+    at most 4 MB, are one task's. More go through rounds of large and small stars, each a written table, until a round
+    changes nothing. Each table is a job, and its files are processes that a JVM without native Hadoop starts."""
     now = written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), label)
+    if now.count() <= FEW_EDGES:
+        return now.coalesce(1).mapInArrow(trees, "tag long, root long")
     state = None
     while True:
         seen = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()

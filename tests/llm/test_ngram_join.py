@@ -162,3 +162,32 @@ def test_the_filter_lets_every_wanted_row_pass(spark):
         out = [r.id for r in J.may_have(rows, wanted, "h", bits).collect()]
         assert {i for i in range(0, 20_000, 50)} <= set(out) and len(out) == len(set(out)) <= most
     assert J.may_have(rows, wanted.limit(0), "h").count() == 0
+
+
+def test_components_in_one_task_and_in_rounds(spark, monkeypatch):
+    monkeypatch.setattr(J, "heavy_limit", lambda rows: 3)
+    rng = random.Random(8)
+    pairs = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 30)] + [(rng.randrange(200, 400), rng.randrange(200, 400)) for _ in range(150)]
+    pairs = [((b, a) if rng.random() < 0.5 else (a, b)) for a, b in pairs if a != b] * 2
+    up = J.Sets(400)
+    for a, b in pairs:
+        up.join(a, b)
+    want = sorted((x << 33, up.root(x) << 33) for x in {x for p in pairs for x in p})
+    edges = spark.createDataFrame([(a << 33, b << 33) for a, b in pairs], "a long, b long").repartition(5)
+    found = lambda few, e: monkeypatch.setattr(J, "FEW_EDGES", few) or sorted(map(tuple, J.components(e, "test").select("tag", "root").collect()))
+    assert found(J.FEW_EDGES, edges) == found(0, edges) == want
+    assert found(10, edges.limit(0)) == found(-1, edges.limit(0)) == []
+
+
+def test_few_edges_take_one_table(spark, monkeypatch):
+    """Each table is a job and starts processes; chains of near copies took two tables for each round of stars."""
+    texts = near_texts(40)
+    df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], COLUMNS)
+    tables = []
+    real = J.written
+    monkeypatch.setattr(J, "written", lambda df, label: tables.append(label) or real(df, label))
+    want = brute(list(range(len(texts))), texts)
+    assert rows(J.jaccard_join(df)) == want
+    assert sorted(tables) == sorted(set(tables))
+    monkeypatch.setattr(J, "FEW_EDGES", 0)
+    assert rows(J.jaccard_join(df)) == want
