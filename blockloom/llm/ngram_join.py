@@ -424,6 +424,8 @@ def placed(wanted: DataFrame, threshold: float, block: int, weight: int) -> Data
         "band", F.floor(F.log("size") / (-math.log(threshold) + 1e-9)).cast("int")
     )
     many = written(many.drop("members"), "join-bands")
+    if many.isEmpty():  # most of the plan is for the others, and a driver keeps what it plans
+        return alone
     bands = many.groupBy("root", "band").agg(n(), F.count("*").alias("members"))
     near = lookup(many, bands, ["root", "band"], heavy)
     within = in_blocks(near.drop("members"), 1).withColumn("far", zero).withColumn("side", F.when(F.col("b1") == F.col("b2"), 0).otherwise(F.col("own")))

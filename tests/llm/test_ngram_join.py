@@ -191,3 +191,12 @@ def test_few_edges_take_one_table(spark, monkeypatch):
     assert sorted(tables) == sorted(set(tables))
     monkeypatch.setattr(J, "FEW_EDGES", 0)
     assert rows(J.jaccard_join(df)) == want
+
+
+def test_bands_are_planned_only_for_components_of_many_blocks(spark):
+    wanted = spark.range(60).select(F.col("id").alias("tag"), (F.col("id") % 3).alias("root"), F.lit(1).alias("copies"), (F.col("id") + 5).alias("size"))
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    one, cut = J.placed(wanted, 0.8, 1_024, 2_000_000), J.placed(wanted, 0.8, 4, 2_000_000)
+    assert "Union" not in plan(one) and "Union" in plan(cut)
+    assert sorted(map(tuple, one.select("root", "side", "tag", "copies").collect())) == sorted((i % 3, 0, i, 1) for i in range(60))
+    assert {r.tag for r in cut.collect()} == set(range(60))
