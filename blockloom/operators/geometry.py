@@ -260,7 +260,8 @@ def _faces_and_outlines(lines: DataFrame, tiles: tuple[float, ...], least: float
     """(city, geometry) twice: the faces of an area of ``least`` or more, and the rings around all faces.
 
     Squares of a grid, at most as wide as the least of ``tiles`` and for dense linework so narrow that about ``edges``
-    edges are expected in one, settle the faces that they hold whole. What goes on to squares ``grow`` times as wide is
+    edges are expected in one, settle the faces that they hold whole. With a ``least`` most lines are not cut in a square
+    (``arrangement.settle_large``), so it may be as wide as about half as many lines allow. What goes on to squares ``grow`` times as wide is
     edges beside faces that reach a square's border, and in the end, by city, those beside the outside: a task holds
     what borders its squares, not what is in them."""
     city = lines.schema["city"]
@@ -269,10 +270,9 @@ def _faces_and_outlines(lines: DataFrame, tiles: tuple[float, ...], least: float
 
     def split(batches):
         for b in batches:
-            for name, d in b.itertuples(index=False):
-                e = S.line_segments(S.linework(S.from_wkb(d)))
-                if len(e):
-                    yield pd.DataFrame({"city": [name] * len(e), **dict(zip(SEGMENT.names, e.T))})
+            found = [S.line_segments(S.linework(S.from_wkb(d))) for d in b["geometry"]]
+            if len(found):
+                yield pd.DataFrame({"city": b["city"].repeat(list(map(len, found))), **dict(zip(SEGMENT.names, np.vstack(found).T))})
 
     segments = staged(lines.select("city", "geometry").mapInPandas(split, split_schema))
     # Lines that lie at random cross (length / area) ** 2 / pi times a square metre: in the middle half of a city each way,
@@ -285,7 +285,11 @@ def _faces_and_outlines(lines: DataFrame, tiles: tuple[float, ...], least: float
     wide = lambda a: F.greatest(F.col(f"w{a}"), F.col("span") / 16, F.lit(1e-3))
     area = wide("x") * wide("y")
     density = F.greatest((F.col("length") / 4) ** 2 / math.pi / area / area, F.col("n") / 4 / area)
-    power = F.floor(F.log2(F.least(F.lit(widest), F.greatest(F.lit(1.0 / 64), F.sqrt(edges / 2 / density)))))
+    side = F.sqrt(edges / 2 / density)
+    if least > 0:  # Lines with their middles in a square, and those that come in over its sides.
+        b, a = F.col("length") / 8 / area, F.col("n") / 4 / area
+        side = F.greatest(side, F.when(F.col("n") <= edges / 2, F.lit(widest)).otherwise(edges / 2 / (b + F.sqrt(b * b + a * edges / 2))))
+    power = F.floor(F.log2(F.least(F.lit(widest), F.greatest(F.lit(1.0 / 64), side))))
     sizes = staged(found.select(F.col("city").alias("city_"), F.pow(F.lit(2.0), power).alias("size"), "span"))
     ratio = sizes.agg(F.max(F.col("span") / F.col("size"))).first()[0] or 1.0
     levels = max(1, math.ceil(math.log(ratio, grow))) if ratio > 1 else 1
@@ -306,7 +310,8 @@ def _faces_and_outlines(lines: DataFrame, tiles: tuple[float, ...], least: float
             unit = float(pdf["size"].iloc[0])
             x, y, w = int(pdf["tx"].iloc[0]), int(pdf["ty"].iloc[0]), unit * (wide or 1)
             box = None if wide is None else (x * w, y * w, (x + 1) * w, (y + 1) * w)
-            f = R.settle(pdf[SEGMENT.names].to_numpy(float), pdf["left"].to_numpy(bool), pdf["right"].to_numpy(bool), box, least, unit)
+            e = pdf[SEGMENT.names].to_numpy(float)
+            f = R.settle_large(e, box, least, unit) if wide == 1 and least > 0 else R.settle(e, pdf["left"].to_numpy(bool), pdf["right"].to_numpy(bool), box, least, unit)
             made = [pd.DataFrame({**dict(zip(SEGMENT.names, f.edges.T)), "left": f.left, "right": f.right, "geometry": None, "outline": False})]
             shapes = [S.polygon_wkb([p]) for p in [*f.faces, *f.outlines]]
             made.append(pd.DataFrame({**dict.fromkeys(SEGMENT.names, 0.0), "left": False, "right": False, "geometry": shapes, "outline": [False] * len(f.faces) + [True] * len(f.outlines)}))
@@ -423,7 +428,7 @@ def produce_blocks(lines: DataFrame, extents: DataFrame, land: DataFrame | None
     """Blocks of each city: faces of its linework, in land and out of water, and fill for the rest of its extent, with
     inscribed circles, areas and numbers; none below ``least`` square metres. Inputs have city and geometry."""
     boxed = lambda df: with_box(df.select("city", "geometry"))
-    lines = boxed(lines).where("kind is not null")
+    lines = staged(boxed(spread(lines.select("city", "geometry"), "geometry")).where("kind is not null"))
     numbered = lambda df: df.withColumn("face__", F.xxhash64("city", "geometry"))
 
     def dry(df: DataFrame) -> DataFrame:

@@ -74,3 +74,44 @@ def test_lines_with_their_middles_in_a_row_are_not_dealt_to_tiny_squares(spark):
     lines = [np.array([(x, -10), (x, 310)], float) for x in (0, 100, 200)] + [np.array([(-10, y), (210, y)], float) for y in (0, 100, 200, 300)]
     rows = spark.createDataFrame([(1, wkb(p)) for p in lines], "city int, geometry binary")
     assert rings(p for r in G.polygonize(G.with_box(rows)).collect() for p in S.from_wkb(bytes(r.geometry)).polygons) == [(10_000.0, 4)] * 6
+
+
+@pytest.mark.parametrize("first,seed", [(20, 0), (60, 1), (150, 2)])
+def test_rounds_give_the_large_faces_of_all_lines(first, seed):
+    """Lines in rounds, in squares that the lines reach over, and then all that is open: as all lines at once."""
+    own = dense(220, seed + 10) + [np.array([(30, 60), (90, 60), (90, 100), (30, 100), (30, 60)], float), np.array([(95, 20), (140, 80)], float)]
+    e = S.line_segments(own)
+    none = np.zeros(len(e), bool)
+    want = R.settle(e, none, none, None, 30.0)
+    _, x, y, p = R.pieces_in_squares(e, 64.0)
+    found, left = [], []
+    for i, j in np.unique(np.column_stack((x, y)), axis=0):
+        f = R.settle_large(p[(x == i) & (y == j)], (i * 64.0, j * 64.0, i * 64.0 + 64, j * 64.0 + 64), 30.0, 64.0, first)
+        found += f.faces
+        left.append((f.edges, f.left, f.right))
+    f = R.settle(*map(np.concatenate, zip(*left)), None, 30.0, 64.0)
+    assert rings(found + f.faces) == rings(want.faces)
+    assert sum(map(S.polygon_area, f.outlines)) == pytest.approx(sum(map(S.polygon_area, want.outlines)), abs=1e-5)
+
+
+def test_rounds_leave_most_of_a_dense_square_uncut(monkeypatch):
+    e = np.random.default_rng(3).uniform(0, 300, (4_000, 4))
+    count, points_on = [], R.points_on
+    monkeypatch.setattr(R, "points_on", lambda e: count.append(len((out := points_on(e))[0])) or out)
+    f = R.settle_large(e, (0.0, 0.0, 512.0, 512.0), 700.0)
+    every = np.random.default_rng(4).integers(0, 4_000, (2, 20_000))
+    crossings = S.crossing(e[every[0][:200]], e[every[1][:200]]).mean() * 4_000**2 / 2
+    assert max(count) < crossings / 3 and len(f.edges)
+
+
+def test_a_short_edge_does_not_settle_a_face():
+    """An edge turned by rounding tells that a large face is settled; the rest of its outline tells that it is not."""
+    e = np.array([(0, 0, 30, 0), (30, 0, 30, 30), (30, 30, 0, 30), (0, 30, 0, 1e-4), (0, 1e-4, 0, 0)], float)
+    assert [S.polygon_area(p) for p in R.settle(e, np.array([False] * 4 + [True]), np.zeros(5, bool), None).faces] == [900.0]
+
+
+def test_links_and_pairs():
+    assert R.linked(6, np.array([5, 4, 1]), np.array([4, 2, 0])).tolist() == [0, 0, 2, 3, 2, 2]
+    e = np.random.default_rng(8).uniform(0, 50, (300, 4))
+    pairs = {(min(i, j), max(i, j)) for a in R.pairs_in_cells(e, 1_000) for i, j in zip(*a)}
+    assert pairs >= {(i, j) for i, j in np.argwhere(np.triu(S.crossing(e, e), 1))}
