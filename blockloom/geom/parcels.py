@@ -7,8 +7,8 @@ import math
 
 import numpy as np
 
-from .planar import EPS, Faces, Vertices, clip_lines, cut, repaired
-from .shapes import Polygon, Shape, centroid, crossing, inside, interior_point, line_length, line_segments, points_to_segments, polygon_area, segments_of
+from .planar import EPS, Faces, Vertices, clip_segments, cut, repaired
+from .shapes import Polygon, Shape, centroid, crossing, inside, interior_point, line_segments, points_to_segments, polygon_area, segments_of
 
 
 def inscribed_circle(polygons: list[Polygon], tolerance: float = 1.0) -> tuple[float, float, float] | None:
@@ -118,43 +118,101 @@ def _joined(row: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray
     return row[first], lo[first], np.maximum.reduceat(hi, first) if len(first) else hi[:0]
 
 
-def reach_within(e: np.ndarray, targets: np.ndarray, radius: float, at_once: int = 500_000) -> float:
-    """The total length of the parts of segments within ``radius`` of the target segments: each target is near along one
-    interval of a segment, and the intervals of a segment are united. Only the part in the box around the targets can be
-    near; a segment that is near along all of it is done, so targets come in parts from all over, few at first."""
+def least_distance(p: np.ndarray, e: np.ndarray, at_once: int = 200_000) -> float:
+    """The least distance of points from segments, some pairs at a time; 0 where a point is an end of one."""
+    if np.isin(np.ascontiguousarray(p).view(complex), np.ascontiguousarray(np.vstack((e[:, :2], e[:, 2:]))).view(complex)).any():
+        return 0.0
+    lo, hi = np.minimum(e[:, :2], e[:, 2:]), np.maximum(e[:, :2], e[:, 2:])
+    best, many = np.inf, max(1, min(100, at_once // max(1, len(e))))
+    for start in range(0, len(p), many):
+        own = p[start : start + many]
+        near = e[((lo <= own.max(axis=0) + best) & (hi >= own.min(axis=0) - best)).all(axis=1)]
+        for at in range(0, len(near), at_once):
+            best = min(best, float(points_to_segments(own, near[at : at + at_once]).min()))
+    return best
+
+
+def _dealt(n: np.ndarray, at_once: int) -> list[tuple[int, int]]:
+    """From and to of runs of rows with about ``at_once`` pairs each; row i has ``n[i]``."""
+    made, out, start = np.cumsum(n), [], 0
+    while start < len(n):
+        end = max(start + 1, int(np.searchsorted(made, (made[start - 1] if start else 0) + at_once, "right")))
+        out.append((start, end))
+        start = end
+    return out
+
+
+def _runs(first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The numbers from ``first[i]`` on, ``n[i]`` of them, for one i after the other."""
+    return np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first, n)
+
+
+def reach_within(e: np.ndarray, targets: np.ndarray, radius: float, at_once: int = 200_000, few: int = 8) -> float:
+    """The total length of the parts of segments within ``radius`` of the target segments. Squares around the targets are
+    near or far as a whole, by the least distance of their middles, or quartered, with the parts of segments in them and
+    those targets that can be the nearest to a place in them. In squares with ``few`` targets, or that are small, each
+    target is near along one interval of a part, and the intervals of a part are united."""
     size = np.hypot(e[:, 2] - e[:, 0], e[:, 3] - e[:, 1])
     e, size = e[size > EPS], size[size > EPS]
     if not len(targets) or not len(e):
         return 0.0
-    low, high = np.minimum(targets[:, :2], targets[:, 2:]) - radius, np.maximum(targets[:, :2], targets[:, 2:]) + radius
+    low, high = np.minimum(targets[:, :2], targets[:, 2:]).min(axis=0) - radius, np.maximum(targets[:, :2], targets[:, 2:]).max(axis=0) + radius
     p, d = e[:, :2], e[:, 2:] - e[:, :2]
     with np.errstate(divide="ignore", invalid="ignore"):
-        one, two = (low.min(axis=0) - p) / d, (high.max(axis=0) - p) / d
-    outside = (p < low.min(axis=0)) | (p > high.max(axis=0))
-    start = np.where(d == 0, np.where(outside, 2.0, 0.0), np.minimum(one, two)).max(axis=1).clip(0, None)
-    end = np.where(d == 0, 1.0, np.maximum(one, two)).min(axis=1).clip(None, 1)
-    left = np.flatnonzero(start < end)
-    a, b = np.minimum(e[:, :2], e[:, 2:]), np.maximum(e[:, :2], e[:, 2:])
-    order = np.random.default_rng(0).permutation(len(targets))
-    total, at, many = 0.0, 0, 16
-    row, lo, hi = np.empty(0, int), np.empty(0), np.empty(0)
-    while at < len(order) and len(left):
-        some, at, many = order[at : at + many], at + many, many * 2
-        step, found = max(1, at_once // len(some)), [(row, lo, hi)]
-        for k in range(0, len(left), step):
-            own = left[k : k + step]
-            i, j = np.nonzero(((a[own][:, None] <= high[some]) & (b[own][:, None] >= low[some])).all(axis=2))
-            x, y = _near_interval(e[own[i]], targets[some[j]], radius)
+        one, two = (low - p) / d, (high - p) / d
+    outside = (p < low) | (p > high)
+    t0 = np.where(d == 0, np.where(outside, 2.0, 0.0), np.minimum(one, two)).max(axis=1).clip(0, None)
+    t1 = np.where(d == 0, 1.0, np.maximum(one, two)).min(axis=1).clip(None, 1)
+    own = np.flatnonzero(t0 < t1)  # parts of segments: which, from, to, in which square
+    t0, t1, square = t0[own], t1[own], np.zeros(len(own), np.int64)
+    half, middle = float((high - low).max()) / 2, ((low + high) / 2)[None]
+    first, n, cand = np.zeros(1, np.int64), np.array([len(targets)]), np.arange(len(targets))
+    q, way = targets[:, :2], targets[:, 2:] - targets[:, :2]
+    long = np.maximum((way * way).sum(axis=1), 1e-300)
+    total = 0.0
+    while len(own):
+        used, square = np.unique(square, return_inverse=True)
+        middle, first, n = middle[used], first[used], n[used]
+        reach, least, kept, count = half * math.sqrt(2), np.empty(len(used)), [], []
+        for a, b in _dealt(n, at_once):
+            c = cand[_runs(first[a:b], n[a:b])]
+            r = np.repeat(middle[a:b], n[a:b], axis=0) - q[c]
+            t = np.clip((r * way[c]).sum(axis=1) / long[c], 0, 1)
+            gap = np.hypot(*(r - t[:, None] * way[c]).T)
+            at = np.cumsum(n[a:b]) - n[a:b]
+            least[a:b] = np.minimum.reduceat(gap, at)
+            near = gap <= np.repeat(least[a:b], n[a:b]) + 2 * reach + EPS
+            kept.append(c[near])
+            count.append(np.add.reduceat(near, at, dtype=np.int64))
+        cand, n = np.concatenate(kept), np.concatenate(count)
+        first = np.cumsum(n) - n
+        whole, none = least + reach <= radius, least - reach > radius
+        k = whole[square]
+        total += float(((t1 - t0)[k] * size[own[k]]).sum())
+        last = ~whole & ~none & ((n <= few) | (half < radius / 256))
+        k = np.flatnonzero(last[square])
+        pairs = n[square[k]]
+        for a, b in _dealt(pairs, at_once):
+            i, row = k[a:b], np.repeat(np.arange(b - a), pairs[a:b])
+            part = np.hstack([p[own[i]] + t[i, None] * d[own[i]] for t in (t0, t1)])
+            x, y = _near_interval(part[row], targets[cand[_runs(first[square[i]], pairs[a:b])]], radius)
             real = x < y
-            found.append((own[i[real]], x[real], y[real]))
-        row, lo, hi = _joined(*(np.concatenate(x) for x in zip(*found)))
-        sums = np.bincount(row, hi - lo, len(e))
-        done = left[sums[left] >= (end - start)[left] - 1e-12]
-        total += float((sums[done] * size[done]).sum())
-        left = np.setdiff1d(left, done)
-        kept = np.isin(row, left)
-        row, lo, hi = row[kept], lo[kept], hi[kept]
-    return total + float(((hi - lo) * size[row]).sum())
+            row, x, y = _joined(row[real], x[real], y[real])
+            total += float(((y - x) * ((t1 - t0) * size[own])[i[row]]).sum())
+        k = ~(whole | none | last)[square]
+        own, t0, t1, square = own[k], t0[k], t1[k], square[k]
+        # Parts are cut by the lines between the quarters, and each is in that of its middle.
+        with np.errstate(divide="ignore", invalid="ignore"):
+            cuts = np.sort(np.clip(np.nan_to_num((middle[square] - p[own]) / d[own], nan=-1.0), t0[:, None], t1[:, None]), axis=1)
+        ends = np.column_stack((t0, cuts, t1))
+        own, square, t0, t1 = np.repeat(own, 3), np.repeat(square, 3), ends[:, :-1].ravel(), ends[:, 1:].ravel()
+        real = t1 > t0
+        own, square, t0, t1 = own[real], square[real], t0[real], t1[real]
+        right, above = ((p[own] + ((t0 + t1) / 2)[:, None] * d[own]) >= middle[square]).T
+        square, half = 4 * square + 2 * above + right, half / 2
+        middle = np.repeat(middle, 4, axis=0) + half * np.tile([(-1, -1), (1, -1), (-1, 1), (1, 1)], (len(middle), 1))
+        first, n = np.repeat(first, 4), np.repeat(n, 4)
+    return total
 
 
 def _boxes(lines: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -179,21 +237,21 @@ def complexity(block: list[Polygon], buildings: np.ndarray, streets: list[np.nda
         return {**out, "building_count": len(buildings) if whole else 0}
     shape = max(whole, key=polygon_area)
     crossed = _around(streets, shape[0], EPS)  # others have no part in the block
-    inner = clip_lines(crossed, [shape])
-    connected, inner_segments = False, line_segments(inner)
-    if inner:
+    inner = clip_segments(line_segments(crossed), [shape])
+    connected = False
+    if len(inner):
         rim = segments_of(shape[:1])
         outward = [s for s, near in zip(streets, near_lines(streets, rim, radius)) if near]
         if outward:
             taken = set(map(id, outward))
             rest = [s for s in crossed if id(s) not in taken]
-            net = line_segments(outward + clip_lines(rest, [shape]))
+            net = np.vstack((line_segments(outward), clip_segments(line_segments(rest), [shape])))
             total = float(np.hypot(net[:, 2] - net[:, 0], net[:, 3] - net[:, 1]).sum())
-            on = reach_within(net, inner_segments, radius / 2)
-            out |= {"on_network_street_length": on, "off_network_street_length": max(0.0, total - on), "nearest_external_street": float(points_to_segments(buildings, line_segments(outward)).min())}
+            on = reach_within(net, inner, radius / 2)
+            out |= {"on_network_street_length": on, "off_network_street_length": max(0.0, total - on), "nearest_external_street": least_distance(buildings, line_segments(outward))}
             connected = on > 0
         else:
-            out["off_network_street_length"] = sum(map(line_length, inner))
+            out["off_network_street_length"] = float(np.hypot(inner[:, 2] - inner[:, 0], inner[:, 3] - inner[:, 1]).sum())
     lo, hi = shape[0].min(axis=0) - 1, shape[0].max(axis=0) + 1
     points = np.unique(buildings, axis=0)
     edges = np.vstack((segments_of(shape), voronoi_edges(points, (*lo, *hi))))
@@ -210,11 +268,11 @@ def complexity(block: list[Polygon], buildings: np.ndarray, streets: list[np.nda
             beside[here].add(there) if there in parcels else outer.add(here)
     ring: set[int] = set()
     if connected:
-        low, high = np.minimum(inner_segments[:, :2], inner_segments[:, 2:]) - 1.0, np.maximum(inner_segments[:, :2], inner_segments[:, 2:]) + 1.0
+        low, high = np.minimum(inner[:, :2], inner[:, 2:]) - 1.0, np.maximum(inner[:, :2], inner[:, 2:]) + 1.0
         for s in parcels:
             p = faces.polygon(s)
-            beside_it = inner_segments[((low <= p[0].max(axis=0)) & (high >= p[0].min(axis=0))).all(axis=1)]
-            if len(beside_it) and (_near(beside_it, segments_of(p), 1.0) or inside(p, inner_segments[0, 0], inner_segments[0, 1])[0]):
+            beside_it = inner[((low <= p[0].max(axis=0)) & (high >= p[0].min(axis=0))).all(axis=1)]
+            if len(beside_it) and (_near(beside_it, segments_of(p), 1.0) or inside(p, inner[0, 0], inner[0, 1])[0]):
                 ring.add(s)
     ring = ring or outer or set(parcels)
     layers, left = [len(ring)], parcels - ring

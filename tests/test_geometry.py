@@ -1,3 +1,5 @@
+import tracemalloc
+
 import numpy as np
 import pytest
 from hypothesis import given, settings
@@ -185,3 +187,43 @@ def test_a_block_of_many_streets_is_quick():
     start = time.process_time()
     out = K.complexity([[square(0, 0, 100)]], points, streets)
     assert time.process_time() - start < 15 and sum(out["building_layers"]) >= 500
+
+
+def test_reach_and_access_take_little_memory():
+    """What streets reach and how near they are, of thousands of streets in one block: as all pairs give, in little memory."""
+    rng = np.random.default_rng(6)
+    at = rng.uniform(0, 100, (1_500, 2))
+    out = np.hstack((at, rng.normal(50, 120, (1_500, 2))))
+    streets = [s.reshape(2, 2) for s in out]
+    tracemalloc.start()
+    found = K.complexity([[np.array([(0, 0), (100, 0), (100, 100), (0, 100)], float)]], at + 1e-3, streets, 100.0)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 150e6
+    assert found["nearest_external_street"] == pytest.approx(min(S.points_to_segments(at[k : k + 50] + 1e-3, out).min() for k in range(0, 1_500, 50)))
+
+
+def test_clipped_segments_are_those_of_lines():
+    rng = np.random.default_rng(7)
+    hole = [[np.array([(0, 0), (10, 0), (10, 10), (0, 10)], float), np.array([(3, 3), (3, 6), (6, 6), (6, 3)], float)]]
+    e = np.vstack((np.round(rng.uniform(-3, 13, (300, 4))), rng.uniform(-3, 13, (300, 4))))
+    for s in e:
+        want = sum(map(S.line_length, L.clip_lines([s.reshape(2, 2)], hole)))
+        own = L.clip_segments(s[None], hole, 5)
+        assert np.hypot(own[:, 2] - own[:, 0], own[:, 3] - own[:, 1]).sum() == pytest.approx(want, abs=1e-9)
+    both = L.clip_segments(e, hole, 50)
+    assert len(both) == sum(len(L.clip_segments(s[None], hole)) for s in e)
+
+
+def test_what_is_reached_lies_within_the_radius():
+    """Against points along the segments, with targets that are points, parallel, and far apart."""
+    for seed in range(4):
+        rng = np.random.default_rng(seed)
+        e, c = rng.uniform(-200, 200, (60, 4)), rng.uniform(-60, 60, (40, 2))
+        targets = np.hstack((c, c + rng.normal(0, (0.0, 20.0, 80.0, 1e-3)[seed], (40, 2))))
+        t = (np.arange(4_000) + 0.5) / 4_000
+        want = 0.0
+        for s in e:
+            p = s[:2] + t[:, None] * (s[2:] - s[:2])
+            want += float((S.points_to_segments(p, targets) <= 30).mean() * np.hypot(*(s[2:] - s[:2])))
+        assert K.reach_within(e, targets, 30.0, 500, 3) == pytest.approx(want, rel=1e-3)
